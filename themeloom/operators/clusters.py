@@ -108,7 +108,8 @@ def similar_clusters(centers: DataFrame, target: int, threshold: float = 0.8) ->
     aim = centers.where(F.col("cluster_id") == target).select("centroid").scalar()
     return (
         centers.where(F.col("cluster_id") != target)
-        .withColumn("similarity", vector.cosine(aim, F.col("centroid")))
+        .withColumn("_aim", aim)  # a subquery may not sit inside a lambda
+        .withColumn("similarity", vector.cosine(F.col("_aim"), F.col("centroid")))
         .where(F.col("similarity") >= threshold)
         .select("cluster_id", "similarity")
         .orderBy(F.desc("similarity"), "cluster_id")

@@ -143,7 +143,7 @@ def _search(visits: DataFrame, cells: DataFrame, sizes: DataFrame, k: int, skip_
         cells.join(plan, "cell")
         .withColumn("chunk", part("row_id", F.col("chunks")))
         .withColumn("q_chunk", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)))
-        .select("cell", "chunk", "q_chunk", "row_id", "point")
+        .select("cell", "chunk", "q_chunk", F.col("row_id").alias("pid"), F.col("point").alias("at"))
     )
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +151,7 @@ def _search(visits: DataFrame, cells: DataFrame, sizes: DataFrame, k: int, skip_
             return pd.DataFrame({"row_id": [], "neighbor_id": [], "distance": []})
         return block_top_k(
             q["row_id"].to_numpy(), matrix(q["point"]),
-            p["row_id"].to_numpy(), matrix(p["point"]), k, skip_self,
+            p["pid"].to_numpy(), matrix(p["at"]), k, skip_self,
         )
 
     keys = ["cell", "chunk", "q_chunk"]
@@ -261,9 +261,10 @@ def most_similar(points: DataFrame, query: Column, k: int = 5, column: str = "em
     """(index, similarity): exact cosine top-k of one query vector (a literal array or a
     scalar subquery). Every task keeps k rows; only those are merged."""
     return (
-        points.select(
-            F.col("row_id").alias("index"),
-            vector.cosine(query, vector.as_double(F.col(column))).alias("similarity"),
+        # the query becomes a column first: a subquery may not sit inside a lambda
+        points.select(F.col("row_id").alias("index"), F.col(column).alias("_v"), query.alias("_q"))
+        .select(
+            "index", vector.cosine(F.col("_q"), vector.as_double(F.col("_v"))).alias("similarity")
         )
         .orderBy(F.desc("similarity"), "index")
         .limit(k)

@@ -69,17 +69,20 @@ def silhouette_values(points: DataFrame) -> DataFrame:
     left = placed.select(
         "pid", "cluster_id", "point", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("left")
     ).withColumn("right", F.explode(homes))
-    right = placed.select("cluster_id", "point", "weight", "right").withColumn(
-        "left", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
+    right = placed.select(
+        F.col("cluster_id").alias("other"),
+        F.col("point").alias("member"),
+        F.col("weight").alias("copies"),
+        "right",
+    ).withColumn("left", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"pid": [], "other": [], "total": []})
-        names, code = np.unique(b["cluster_id"].to_numpy(), return_inverse=True)
+        names, code = np.unique(b["other"].to_numpy(), return_inverse=True)
         hot = np.zeros((len(b), len(names)))
-        hot[np.arange(len(b)), code] = b["weight"].to_numpy()
-        total = distances(matrix(a["point"]), matrix(b["point"])) @ hot
+        hot[np.arange(len(b)), code] = b["copies"].to_numpy()
+        total = distances(matrix(a["point"]), matrix(b["member"])) @ hot
         return pd.DataFrame(
             {
                 "pid": np.repeat(a["pid"].to_numpy(), len(names)),
@@ -225,11 +228,11 @@ def quality_label(num_clusters: Column, num_noise: Column, total: Column, score:
 def clustering_statistics(points: DataFrame, metric: str = "auto") -> DataFrame:
     """One row: counts, silhouette with its metric, and the quality label."""
     counts = cluster_counts(points)
-    score = silhouette_by(points, metric)
+    score = silhouette_by(points, metric).first()
     return counts.select(
         "*",
-        score.select("silhouette_score").scalar().alias("silhouette_score"),
-        score.select("silhouette_metric").scalar().alias("silhouette_metric"),
+        F.lit(score["silhouette_score"]).alias("silhouette_score"),
+        F.lit(score["silhouette_metric"]).alias("silhouette_metric"),
     ).withColumn(
         "clustering_quality",
         quality_label(
@@ -249,10 +252,12 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
     members = _members(points)
     centers = centroids(members)
     sizes = cluster_sizes(members)
-    grand = mean_vector(members, "point").scalar()
     between = (
         centers.join(sizes, "cluster_id")
-        .select((F.col("size") * vector.squared_euclidean(F.col("centroid"), grand)).alias("x"))
+        .withColumn("_grand", mean_vector(members, "point").scalar())
+        .select(
+            (F.col("size") * vector.squared_euclidean(F.col("centroid"), F.col("_grand"))).alias("x")
+        )
         .agg(F.sum("x"))
         .scalar()
     )
@@ -299,12 +304,12 @@ def count_score(points: DataFrame) -> DataFrame:
 
 def composite_score(points: DataFrame, metric: str = "auto") -> DataFrame:
     """One row with the parts and their weighted ``score``; 0 below two points or clusters."""
-    score = silhouette_by(points, metric)
+    score = silhouette_by(points, metric).first()
     counts = cluster_counts(points)
     parts = count_score(points).select(
         "noise_penalty",
         "cluster_count_score",
-        score.select("silhouette_score").scalar().alias("silhouette"),
+        F.lit(score["silhouette_score"]).alias("silhouette"),
         calinski_harabasz(points).scalar().alias("calinski_harabasz"),
         balance(points).scalar().alias("cluster_balance"),
         counts.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from themeloom.plans import text_queries
+from themeloom.plans import text_queries, theme_queries, vector_queries
 
-RUN = {**text_queries.RUN}
-SQL = {**text_queries.SQL}
+RUN = {**text_queries.RUN, **vector_queries.RUN, **theme_queries.RUN}
+SQL = {**text_queries.SQL, **vector_queries.SQL, **theme_queries.SQL}
