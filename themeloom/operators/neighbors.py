@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import vector
-from themeloom.runtime import BROADCAST_BYTES, cut, fits
+from themeloom.runtime import BROADCAST_BYTES, cut, fits, sized_broadcast
 
 #: Aimed-at rows of a cell block and of a query block.
 CELL_ROWS = 2048
@@ -105,57 +105,95 @@ def _small_side(queries: DataFrame, points: DataFrame, k: int, skip_self: bool)
     return queries.select("row_id", "point").mapInPandas(run, FOUND + ", rank int")
 
 
-def _place(df: DataFrame, pivots) -> DataFrame:
-    """Add the nearest pivot (``cell``) and the distance to it."""
+def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add the nearest pivot (``cell``) and the distance to it (``gap``)."""
+    share = df.sparkSession.sparkContext.broadcast(pivots)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pivots.value
+        p = share.value
         for frame in frames:
             if not len(frame):
                 continue
             x, step = matrix(frame["point"]), max(1, 4_000_000 // len(p))
-            cell, reach = [], []
+            cell, gap = [], []
             for at in range(0, len(x), step):
                 d = distances(x[at : at + step], p)
                 cell.append(d.argmin(axis=1))
-                reach.append(d.min(axis=1))
-            yield frame.assign(cell=np.concatenate(cell), reach=np.concatenate(reach))
+                gap.append(d.min(axis=1))
+            yield frame.assign(cell=np.concatenate(cell), gap=np.concatenate(gap))
 
-    return df.mapInPandas(run, "row_id bigint, point array<double>, cell int, reach double")
+    return df.select("row_id", "point").mapInPandas(
+        run, "row_id bigint, point array<double>, cell int, gap double"
+    )
+
+
+def make_cells(
+    points: DataFrame, cell_rows: int = CELL_ROWS
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Points with their cell, the pivots, and the radius of every cell (-1 when empty).
+
+    Pivots are a hash sample of the points, so they are as dense as the data; their number
+    is bounded by ``BROADCAST_BYTES``.
+    """
+    n = points.count()
+    first = points.select(F.size("point").alias("d")).first()
+    dim = max(1, first["d"] if first else 1)
+    wanted = max(1, min(ceil(n / cell_rows), BROADCAST_BYTES // (8 * dim)))
+    head = points.orderBy(F.xxhash64("row_id", F.lit(42)), "row_id").limit(wanted).toPandas()
+    pivots = matrix(head["point"])
+    cells = cut(_place(points, pivots))
+    facts = cells.groupBy("cell").agg(F.max("gap").alias("radius")).toPandas()
+    radius = np.full(len(pivots), -1.0)
+    radius[facts["cell"].to_numpy()] = facts["radius"].to_numpy()
+    return cells, pivots, radius
 
 
-def _search(visits: DataFrame, cells: DataFrame, sizes: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Top-k of every (query, cell) visit, in blocks bounded on both sides."""
+def blocked(visits: DataFrame, members: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+    """``run(query frame, member frame)`` for every (query, cell) visit.
+
+    Both sides carry ``cell`` and ``columns``, the first of which is an id; the members'
+    columns arrive as ``r_<name>``. A cell is cut into chunks and so are its visitors, so
+    no task sees more than about CELL_ROWS members and QUERY_ROWS queries.
+    """
+    key = columns[0]
     load = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n_queries"))
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     plan = sizes.join(load, "cell").select(
         "cell",
         F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("chunks"),
         F.ceil(F.col("n_queries") / QUERY_ROWS).cast("int").alias("q_chunks"),
     )
-    part = lambda id_, n: F.pmod(F.xxhash64(id_), n).cast("int")
+    plan = sized_broadcast(plan, 32)
+    part = lambda n: F.pmod(F.xxhash64(key), n).cast("int")
     left = (
         visits.join(plan, "cell")
-        .withColumn("q_chunk", part("row_id", F.col("q_chunks")))
+        .withColumn("q_chunk", part(F.col("q_chunks")))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("cell", "chunk", "q_chunk", "row_id", "point")
+        .select("cell", "chunk", "q_chunk", *columns)
     )
     right = (
-        cells.join(plan, "cell")
-        .withColumn("chunk", part("row_id", F.col("chunks")))
+        members.join(plan, "cell")
+        .withColumn("chunk", part(F.col("chunks")))
         .withColumn("q_chunk", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)))
-        .select("cell", "chunk", "q_chunk", F.col("row_id").alias("pid"), F.col("point").alias("at"))
+        .select(*[F.col(c).alias(f"r_{c}") for c in ["cell", "chunk", "q_chunk", *columns]])
     )
+    keys = ["cell", "chunk", "q_chunk"]
+    grouped = right.groupBy(*[f"r_{c}" for c in keys])
+    return left.groupBy(*keys).cogroup(grouped).applyInPandas(run, schema)
+
+
+def _search(visits: DataFrame, cells: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """Top-k of every (query, cell) visit."""
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame({"row_id": [], "neighbor_id": [], "distance": []})
         return block_top_k(
             q["row_id"].to_numpy(), matrix(q["point"]),
-            p["pid"].to_numpy(), matrix(p["at"]), k, skip_self,
+            p["r_row_id"].to_numpy(), matrix(p["r_point"]), k, skip_self,
         )
 
-    keys = ["cell", "chunk", "q_chunk"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, FOUND)
+    return blocked(visits, cells, ["row_id", "point"], run, FOUND)
 
 
 def knn_join(
@@ -178,32 +216,20 @@ def knn_join(
     if n * (8 * dim + 8) <= small_bytes:
         return _small_side(queries, points, k, skip_self)
 
-    n_pivots = max(1, min(ceil(n / cell_rows), BROADCAST_BYTES // (8 * dim)))
-    head = (
-        points.orderBy(F.xxhash64("row_id", F.lit(42)), "row_id").limit(n_pivots).toPandas()
-    )  # bounded by BROADCAST_BYTES
-    sc = points.sparkSession.sparkContext
-    pivots = sc.broadcast(matrix(head["point"]))
-    cells = cut(_place(points, pivots))
+    cells, pivots, radius = make_cells(points, cell_rows)
     placed = cells if skip_self else cut(_place(queries, pivots))
-    sizes = cut(
-        cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
-    )
-    own = cut(_search(placed.select("row_id", "cell", "point"), cells, sizes, k, skip_self))
+    own = cut(_search(placed.select("row_id", "cell", "point"), cells, k, skip_self))
     bounds = (
         _keep_k(own, k)
         .groupBy("row_id")
         .agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("have"))
         .select("row_id", F.when(F.col("have") >= k, F.col("kth")).alias("kth"))
     )
-    facts = sizes.toPandas()  # one row per pivot
-    radius = np.full(len(head), -1.0)
-    radius[facts["cell"].to_numpy()] = facts["radius"].to_numpy()
-    radii = sc.broadcast(radius)
+    share = points.sparkSession.sparkContext.broadcast((pivots, radius))
     has_bound = placed.join(bounds, "row_id", "left")
 
     def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, r = pivots.value, radii.value
+        p, r = share.value
         for frame in frames:
             if not len(frame):
                 continue
@@ -225,7 +251,7 @@ def knn_join(
         .mapInPandas(others, "row_id bigint, cells array<int>, point array<double>")
         .select("row_id", F.explode("cells").alias("cell"), "point")
     )
-    return _keep_k(own.unionByName(_search(visits, cells, sizes, k, skip_self)), k)
+    return _keep_k(own.unionByName(_search(visits, cells, k, skip_self)), k)
 
 
 def _unit(column: Column, dim: int, side: int) -> Column:
