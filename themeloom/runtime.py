@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +35,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables written by ``cut`` in this process, for ``drop_cuts``.
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and read it back.
+
+    A lost executor costs one read, not a recomputation. A table is used rather than
+    ``checkpoint()`` because that keeps the size estimate of the old plan, and estimates
+    multiply with every join of an iterative job; the files tell the planner real sizes.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/themeloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables ``cut`` wrote; call when results derived from them are stored."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
