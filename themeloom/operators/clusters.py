@@ -126,7 +126,9 @@ def nearest_cluster(points: DataFrame, centers: DataFrame, point: str = "point")
     )
     return near.select(
         *points.columns,
-        F.coalesce(F.col("nearest_id"), F.lit(NOISE)).cast("int").alias("nearest_cluster"),
+        F.coalesce(F.col("nearest_id"), F.lit(NOISE))
+        .cast(centers.schema["cluster_id"].dataType)
+        .alias("nearest_cluster"),
         F.coalesce(F.col("distance"), F.lit(float("inf"))).alias("distance"),
     )
 
@@ -151,7 +153,7 @@ def predict_assign(new_points: DataFrame, radii: DataFrame) -> DataFrame:
         "point",
         F.when(F.col("distance") <= F.col("radius"), F.col("nearest_cluster"))
         .otherwise(F.lit(NOISE))
-        .cast("int")
+        .cast(radii.schema["cluster_id"].dataType)
         .alias("cluster_id"),
     )
 

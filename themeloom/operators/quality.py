@@ -40,7 +40,10 @@ def silhouette_values(points: DataFrame) -> DataFrame:
     """
     folded = cut(
         _members(points)
-        .groupBy("cluster_id", vector.as_double(F.col("point")).alias("point"))
+        .groupBy(
+            F.col("cluster_id").cast("bigint").alias("cluster_id"),
+            vector.as_double(F.col("point")).alias("point"),
+        )
         .agg(F.min("row_id").alias("pid"), F.count(F.lit(1)).alias("weight"))
     )
     sizes = folded.groupBy("cluster_id").agg(
@@ -95,7 +98,7 @@ def silhouette_values(points: DataFrame) -> DataFrame:
     sums = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(run, "pid bigint, other int, total double")
+        .applyInPandas(run, "pid bigint, other bigint, total double")
         .groupBy("pid", "other")
         .agg(F.sum("total").alias("total"))
     )
@@ -168,7 +171,7 @@ def silhouette_squared(points: DataFrame) -> DataFrame:
         .agg(F.min(F.when(~own, F.col("distance") * F.col("distance"))).alias("b"))
     )
     mine = lifted.select(
-        F.col("row_id").cast("int").alias("cluster_id"), F.col("point").alias("home"), "size"
+        F.col("row_id").alias("cluster_id"), F.col("point").alias("home"), "size"
     )
     scored = (
         members.join(sized_broadcast(mine, 1024), "cluster_id")

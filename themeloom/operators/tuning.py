@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from themeloom.functions import fixed
+from themeloom.operators import density, quality
+from themeloom.operators.reduce import fit_reducer, reduce
+from themeloom.runtime import cut
+
+log = logging.getLogger(__name__)
+
 
 def best_trial(trials: DataFrame) -> DataFrame:
     """The row with the highest score, ties to the lowest trial_id."""
@@ -19,3 +28,102 @@ def trial_statistics(trials: DataFrame) -> DataFrame:
         F.min("score").alias("min_score"),
         F.max("score").alias("max_score"),
     )
+
+
+def random_trials(spark: SparkSession, n: int = 100, seed: int = 42) -> DataFrame:
+    """``n`` seeded draws from the search space, one row per trial."""
+    out = spark.range(n).withColumnRenamed("id", "trial_id")
+    for i, (name, (low, high)) in enumerate(fixed.SEARCH_SPACE.items()):
+        draw = F.rand(seed + i)
+        if isinstance(low, int):
+            value = F.floor(F.lit(low) + draw * (high - low + 1)).cast("int")
+        else:
+            value = F.lit(low) + draw * (high - low)
+        out = out.withColumn(name, value)
+    return out
+
+
+def grid_trials(spark: SparkSession, **values: list) -> DataFrame:
+    """Every combination of the listed values, one row per trial."""
+    out = spark.range(1).drop("id")
+    for name, options in values.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in options])))
+    w = Window.orderBy(*values)
+    return out.withColumn("trial_id", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def run_trials(vectors: DataFrame, trials: DataFrame, metric: str = "auto") -> DataFrame:
+    """Trials with their ``score``; a failing trial scores -1.
+
+    Trials are few, so the driver walks them; each is a set of distributed jobs. Trials that
+    share n_components share the reduction, and with min_samples also the spanning tree, which
+    carries nearly all the cost; min_cluster_size and epsilon only cut it. ``n_neighbors``
+    is the least length of the neighbour lists behind the tree; ``min_dist`` shapes no
+    linear reduction and is only carried along.
+    """
+    rows = [r.asDict() for r in trials.collect()]
+    rows.sort(key=lambda r: (r["n_components"], r["min_samples"]))
+    reduced, tree, scored = {}, {}, []
+    for r in rows:
+        try:
+            d = r["n_components"]
+            if d not in reduced:
+                model = fit_reducer(vectors, d)
+                reduced = {d: cut(reduce(vectors, model).select("row_id", "point"))}
+                tree = {}
+            key = (d, r["min_samples"])
+            if key not in tree:
+                tree = {
+                    key: density.spanning_tree(
+                        reduced[d], r["min_samples"], k=r.get("n_neighbors") or 16
+                    )
+                }
+            nodes, edges = tree[key]
+            labels = density.cut_tree(
+                reduced[d], nodes, edges, r["min_cluster_size"], r["epsilon"]
+            )
+            labelled = cut(reduced[d].join(labels, "row_id"))
+            score = float(quality.composite_score(labelled, metric).first()["score"])
+        except Exception as e:
+            log.warning("trial %s failed: %s", r["trial_id"], e)
+            score = -1.0
+        scored.append({**r, "score": score})
+    schema = trials.schema.add("score", "double")
+    return trials.sparkSession.createDataFrame(
+        [tuple(s[f.name] for f in schema.fields) for s in scored], schema
+    )
+
+
+def best_parameters(scored: DataFrame) -> dict:
+    """Parameters of the best trial for ``density_clusters`` and the reducer."""
+    row = best_trial(scored).first()
+    if row is None:
+        raise ValueError("Must run the trials before asking for the best parameters")
+    keys = ("n_components", "min_cluster_size", "min_samples", "epsilon")
+    return {k: row[k] for k in keys if k in row}
+
+
+def optimization_report(scored: DataFrame) -> str:
+    stats = trial_statistics(scored).first()
+    if not stats["n_trials"]:
+        return "No optimization results available"
+    best = best_trial(scored).first().asDict()
+    lines = [
+        "Hyperparameter Optimization Report",
+        "================================",
+        "",
+        "Optimization Summary:",
+        f"- Number of Trials: {stats['n_trials']}",
+        f"- Best Score: {best['score']:.4f}",
+        "- Optimization Direction: Maximize",
+        "",
+        "Best Parameters:",
+        *[f"- {k}: {v}" for k, v in best.items() if k not in ("score", "trial_id")],
+        "",
+        "Trial Statistics:",
+        f"- Mean Score: {stats['mean_score']:.4f}",
+        f"- Std Score: {(stats['std_score'] or 0.0):.4f}",
+        f"- Min Score: {stats['min_score']:.4f}",
+        f"- Max Score: {stats['max_score']:.4f}",
+    ]
+    return "\n".join(lines) + "\n"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from themeloom.plans import text_queries, theme_queries, vector_queries
+from themeloom.plans import cluster_queries, text_queries, theme_queries, vector_queries
 
-RUN = {**text_queries.RUN, **vector_queries.RUN, **theme_queries.RUN}
-SQL = {**text_queries.SQL, **vector_queries.SQL, **theme_queries.SQL}
+_PARTS = (text_queries, vector_queries, theme_queries, cluster_queries)
+
+RUN = {name: run for part in _PARTS for name, run in part.RUN.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

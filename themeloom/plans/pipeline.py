@@ -1,0 +1,216 @@
+"""The full analysis and its file-level companions."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from themeloom.functions import text as tx
+from themeloom.operators import clusters, density, drift, embed, quality, rows, themes, tuning
+from themeloom.operators.reduce import fit_reducer, reduce
+from themeloom.runtime import cut
+from themeloom.sources import bundle, registry, scan
+
+
+@dataclass(frozen=True)
+class Options:
+    """Everything a run can be told."""
+
+    n_components: int = 2
+    min_cluster_size: int = 5
+    min_samples: int = 3
+    epsilon: float = 0.1
+    dim: int = embed.DIM
+    samples: int = 10
+    repair: bool = True
+    silhouette_metric: str = "auto"
+    model_folder: str | None = None
+    force_retrain: bool = False
+    tuning: DataFrame | None = field(default=None, compare=False)
+    retrain_threshold: float = 0.1
+
+
+@dataclass
+class Analysis:
+    """Tables of one run."""
+
+    records: DataFrame
+    points: DataFrame
+    centroids: DataFrame
+    statistics: DataFrame
+    sizes: DataFrame
+    samples: DataFrame
+    themes: DataFrame
+    quality: DataFrame
+    trials: DataFrame | None = None
+    reused_model: bool = False
+
+
+def clean_records(df: DataFrame, column: str = "text", repair: bool = True) -> DataFrame:
+    """(row_id, text): cleaned texts without leading boilerplate, every row kept."""
+    base = rows.fill_empty(df, column)
+    return base.select(
+        "row_id", tx.remove_boilerplate(tx.clean_text(F.col("text"), repair)).alias("text")
+    )
+
+
+def embed_records(
+    records: DataFrame, dim: int = embed.DIM, provider: embed.Provider | None = None
+) -> DataFrame:
+    """(row_id, embedding) from the given provider or the local one."""
+    if provider:
+        return embed.embed_with_provider(records, provider, dim).select("row_id", "embedding")
+    model = embed.fit_hashing(records, "text", dim)
+    return embed.embed_hashing(records, model).select("row_id", "embedding")
+
+
+def train(vectors: DataFrame, options: Options) -> tuple[PipelineModel, DataFrame]:
+    """Reducer and (row_id, point, cluster_id)."""
+    reducer = fit_reducer(vectors, options.n_components)
+    points = cut(reduce(vectors, reducer).select("row_id", "point"))
+    labels = density.density_clusters(
+        points, options.min_cluster_size, options.min_samples, options.epsilon
+    )
+    return reducer, cut(points.join(labels, "row_id"))
+
+
+def save_model(
+    folder: str, reducer: PipelineModel, vectors: DataFrame, points: DataFrame, options: Options
+) -> None:
+    centers = cut(clusters.centroids(points))
+    bundle.save(
+        folder,
+        reducer,
+        {
+            "min_cluster_size": options.min_cluster_size,
+            "min_samples": options.min_samples,
+            "epsilon": options.epsilon,
+            "dim": options.dim,
+        },
+        vectors.select("row_id", "embedding"),
+        clusters.cluster_radii(points, centers),
+    )
+
+
+def fit_or_reuse(vectors: DataFrame, options: Options) -> tuple[DataFrame, bool]:
+    """Points with labels. A stored model is reused unless retraining is forced: its
+    reducer places the rows and they are clustered anew, as are the centroids later on."""
+    spark = vectors.sparkSession
+    folder = options.model_folder
+    if folder and not options.force_retrain and bundle.exists(spark, folder):
+        return predict_refit(vectors, bundle.load(spark, folder)), True
+    reducer, points = train(vectors, options)
+    if folder:
+        save_model(folder, reducer, vectors, points, options)
+    return points, False
+
+
+def predict_refit(vectors: DataFrame, model: bundle.Bundle) -> DataFrame:
+    """Labels from clustering the new rows alone (ids unrelated to training)."""
+    points = cut(reduce(vectors, model.reducer).select("row_id", "point"))
+    p = model.parameters
+    labels = density.density_clusters(points, p["min_cluster_size"], p["min_samples"], p["epsilon"])
+    return cut(points.join(labels, "row_id"))
+
+
+def predict_assign(vectors: DataFrame, model: bundle.Bundle) -> DataFrame:
+    """Labels of the nearest training centroid, noise beyond its training radius."""
+    return clusters.predict_assign(
+        reduce(vectors, model.reducer).select("row_id", "point"), model.centroids
+    )
+
+
+def analyze(
+    df: DataFrame,
+    column: str = "text",
+    options: Options = Options(),
+    provider: embed.Provider | None = None,
+    **responders,
+) -> Analysis:
+    """Clean, embed, cluster and describe the texts of (row_id, ``column``)."""
+    records = cut(clean_records(df, column, options.repair))
+    vectors = cut(embed_records(records, options.dim, provider))
+    trials = None
+    if options.tuning is not None:
+        trials = cut(tuning.run_trials(vectors, options.tuning, options.silhouette_metric))
+        best = tuning.best_parameters(trials)
+        options = Options(**{**options.__dict__, **best})
+    points, reused = fit_or_reuse(vectors, options)
+    samples = cut(clusters.cluster_samples(points, records, options.samples))
+    sizes = cut(clusters.cluster_sizes(points))
+    named = themes.theme_names(
+        records.join(points.where(F.col("cluster_id") != -1).select("row_id", "cluster_id"), "row_id")
+    )
+    return Analysis(
+        records=records,
+        points=points,
+        centroids=clusters.centroids(points),
+        statistics=quality.clustering_statistics(points, options.silhouette_metric),
+        sizes=sizes,
+        samples=samples,
+        themes=themes.theme_table(samples, named, sizes, **responders),
+        quality=rows.quality_share(records),
+        trials=trials,
+        reused_model=reused,
+    )
+
+
+# ------------------------------------------------------------------ files
+
+
+def _input(spark: SparkSession, path: str, column: str | None) -> tuple[DataFrame, str]:
+    df, name = scan.load(spark, path, column)
+    return cut(df), name
+
+
+def run_analysis(
+    spark: SparkSession,
+    path: str,
+    column: str | None = None,
+    options: Options = Options(),
+    store: str | None = None,
+    **providers,
+) -> tuple[str, Analysis]:
+    """Analyse a CSV file; with ``store`` the themes are kept under the analysis id."""
+    df, name = _input(spark, path, column)
+    result = analyze(df, name, options, **providers)
+    key = registry.analysis_id_of(spark, path, name)
+    if store:
+        registry.put(result.themes, store, key)
+    return key, result
+
+
+def file_vectors(
+    spark: SparkSession, path: str, column: str | None = None, dim: int = embed.DIM, provider=None
+) -> DataFrame:
+    df, name = _input(spark, path, column)
+    return cut(embed_records(cut(clean_records(df, name)), dim, provider))
+
+
+def tune_file(spark: SparkSession, path: str, trials: DataFrame, **how) -> DataFrame:
+    return tuning.run_trials(file_vectors(spark, path, **how), trials)
+
+
+def predict_file(spark: SparkSession, path: str, folder: str, mode: str = "assign", **how):
+    """(points, statistics) of a file under a stored model."""
+    model = bundle.load(spark, folder)
+    vectors = file_vectors(spark, path, dim=model.parameters["dim"], **how)
+    found = predict_assign(vectors, model) if mode == "assign" else predict_refit(vectors, model)
+    found = cut(found)
+    return found, clusters.prediction_statistics(found)
+
+
+def drift_of_file(
+    spark: SparkSession, path: str, folder: str, threshold: float = 0.1, **how
+) -> DataFrame:
+    model = bundle.load(spark, folder)
+    vectors = file_vectors(spark, path, dim=model.parameters["dim"], **how)
+    return drift.drift_decision(drift.drift_score(vectors, model.training), threshold)
+
+
+def retrain(spark: SparkSession, path: str, options: Options, **providers) -> tuple[str, Analysis]:
+    forced = Options(**{**options.__dict__, "force_retrain": True})
+    return run_analysis(spark, path, options=forced, **providers)
