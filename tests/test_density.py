@@ -71,15 +71,16 @@ def test_spanning_tree_weight(spark, blobs, cell_rows, small):
     assert connected_components(edges.selectExpr("lo a", "hi b")).select("comp").distinct().count() == 1
 
 
-@pytest.mark.parametrize("band_rows", [10**6, 20])
-@pytest.mark.parametrize("epsilon", [0.0, 0.1, 1.5])
-def test_density_clusters(spark, blobs, band_rows, epsilon):
+def test_density_clusters(spark, blobs):
     rng = np.random.default_rng(3)
     x = np.vstack([blobs, rng.normal((8, 1.8), 0.2, (25, 2)), np.repeat(blobs[3:4], 3, axis=0)])
     points = make_points(spark, x)
-    nodes, edges = density.spanning_tree(points, 3)
-    got = labels_of(density.cut_tree(points, nodes, edges, 5, epsilon, band_rows), len(x))
-    assert same_partition(got, hdbscan(x, 5, 3, epsilon))
+    nodes, edges = density.spanning_tree(points, 3, cell_rows=40)
+    for epsilon, bands, tree_rows in ((0.0, 10**6, 10**6), (0.1, 60, 0), (1.5, 10**6, 10**6), (1.5, 10**6, 0)):
+        got = labels_of(
+            density.cut_tree(points, nodes, edges, 5, epsilon, bands, tree_rows), len(x)
+        )
+        assert same_partition(got, hdbscan(x, 5, 3, epsilon)), (epsilon, bands, tree_rows)
 
 
 def test_blobs_are_found(spark, blobs):

@@ -13,6 +13,7 @@ distance to its ``min_samples``-th other point. Copies of a point count as point
 
 from __future__ import annotations
 
+import heapq
 from itertools import product
 from math import ceil, sqrt
 
@@ -307,10 +308,18 @@ def spanning_tree(
             F.greatest("distance", "c1", "c2").alias("w"), "lo", "hi",
         )
     )
-    cells = None
-    comps = nodes.select(F.col("pid").alias("comp"), "reach")
-    label = nodes.select("pid", F.col("pid").alias("comp"))
-    tree, left = None, n
+    cells = make_cells(held, cell_rows)
+    local = cut(_join_locally(nodes, near, cells[0]))
+    tree = cut(local.where("kind = 'edge'").select("lo", "hi", "w").distinct())
+    label = cut(_join_up(local.where("kind = 'node'").select("pid", "comp"), tree))
+    comps = cut(
+        label.join(nodes.select("pid", "reach"), "pid").groupBy("comp").agg(F.min("reach").alias("reach"))
+    )
+    for c in ("a", "b"):
+        to = label.select(F.col("pid").alias(c), F.col("comp").alias("_to"))
+        edges = edges.join(to, c).withColumn(c, F.col("_to")).drop("_to")
+    edges = cut(edges.where("a <> b"))
+    left = comps.count()
     while left > 1:
         both = edges.select(F.col("a").alias("comp"), F.col("b").alias("other"), "w", "lo", "hi")
         both = both.unionByName(
@@ -322,12 +331,11 @@ def spanning_tree(
         # but ties are only safe in one order, so proof must be strict
         chosen = known.where(F.col("e.w") < F.col("reach")).select("comp", "e.*")
         if chosen.isEmpty():
-            cells = cells or make_cells(held, cell_rows)
             label = cut(label)
             chosen = _foreign(nodes, label, known, cells)
         chosen = cut(chosen)
         picked = chosen.select("lo", "hi", "w").distinct()
-        tree = picked if tree is None else tree.unionByName(picked)
+        tree = tree.unionByName(picked)
         moves = cut(
             connected_components(chosen.select(F.col("comp").alias("a"), F.col("other").alias("b")))
         )
@@ -339,11 +347,99 @@ def spanning_tree(
         label = to(label, "comp")
         edges = cut(to(to(edges, "a"), "b").where("a <> b"))
         left = comps.count()
-    if tree is None:
-        tree = points.sparkSession.createDataFrame([], "lo bigint, hi bigint, w double")
     return nodes, cut(tree)
 
 
+def _join_up(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """(pid, comp) of all nodes under the edges found so far."""
+    found = connected_components(tree.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    return nodes.select("pid").join(
+        found.select(F.col("node").alias("pid"), "comp"), "pid", "left"
+    ).select("pid", F.coalesce("comp", "pid").alias("comp"))
+
+
+def _join_locally(nodes: DataFrame, near: DataFrame, placed: DataFrame) -> DataFrame:
+    """Tree edges provable inside one block of a cell, before anything global runs.
+
+    A task holds the neighbour lists of the points of its block. Components of these points
+    take their lightest listed edge while it is lighter than the reach of every list in the
+    component; an edge leading out of the block is kept and ends the component's growth.
+    """
+    home = placed.select(F.col("row_id").alias("pid"), "cell")
+    size = home.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts"))
+    blocks = home.join(sized_broadcast(size, 16), "cell").select(
+        "pid", "cell", F.pmod(F.xxhash64("pid"), F.col("parts")).alias("part")
+    )
+    far = nodes.select(F.col("pid").alias("neighbor_id"), F.col("core").alias("far_core"))
+    lists = (
+        near.select(F.col("row_id").alias("pid"), "neighbor_id", "distance")
+        .join(far, "neighbor_id")
+        .groupBy("pid")
+        .agg(
+            F.collect_list("neighbor_id").alias("ids"),
+            F.collect_list(F.greatest("distance", "far_core")).alias("gaps"),
+        )
+    )
+    rows = nodes.select("pid", "core", "reach").join(blocks, "pid").join(lists, "pid", "left")
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        ids = [int(v) for v in block["pid"]]
+        place = {v: i for i, v in enumerate(ids)}
+        core, reach = block["core"].to_list(), block["reach"].to_list()
+        heaps, up, limit, open_ = [], list(range(len(ids))), list(reach), [True] * len(ids)
+        for i, (others, gaps) in enumerate(zip(block["ids"], block["gaps"])):
+            mine = []
+            if others is not None:
+                for o, g in zip(others, gaps):
+                    o = int(o)
+                    mine.append((max(g, core[i]), min(ids[i], o), max(ids[i], o), o))
+            heapq.heapify(mine)
+            heaps.append(mine)
+
+        def root(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        edges, queue = set(), list(range(len(ids)))
+        while queue:
+            i = queue.pop()
+            if root(i) != i or not open_[i]:
+                continue
+            heap = heaps[i]
+            while heap and heap[0][3] in place and root(place[heap[0][3]]) == i:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= limit[i]:
+                open_[i] = False
+                continue
+            w, lo, hi, o = heap[0]
+            edges.add((lo, hi, w))
+            if o not in place:
+                open_[i] = False
+                continue
+            j = root(place[o])
+            if len(heaps[i]) > len(heaps[j]):
+                i, j = j, i
+            for e in heaps[i]:  # smaller into larger
+                heapq.heappush(heaps[j], e)
+            heaps[i], up[i] = [], j
+            limit[j] = min(limit[i], limit[j])
+            open_[j] = True
+            queue.append(j)
+        out = [("node", v, None, None, None) for v in ids]
+        out += [("edge", None, lo, hi, w) for lo, hi, w in edges]
+        frame = pd.DataFrame(out, columns=["kind", "pid", "lo", "hi", "w"])
+        for c in ("pid", "lo", "hi"):
+            frame[c] = frame[c].astype("Int64")
+        frame["w"] = frame["w"].astype(float)
+        return frame
+
+    return rows.groupBy("cell", "part").applyInPandas(
+        run, "kind string, pid bigint, lo bigint, hi bigint, w double"
+    ).withColumn("comp", F.col("pid"))
+
+
 def _foreign(nodes: DataFrame, label: DataFrame, known: DataFrame, cells) -> DataFrame:
     """Exact lightest outgoing edge (comp, w, lo, hi, other) of every component in
     ``known``, which carries the best listed edge where there is one.
@@ -643,13 +739,57 @@ def _topmost(tree: DataFrame, flagged: DataFrame) -> DataFrame:
     return t.select("cid", "top")
 
 
-def select_clusters(clusters: DataFrame, epsilon: float = 0.0) -> DataFrame:
+def _select_few(clusters: DataFrame, epsilon: float) -> DataFrame:
+    """``select_clusters`` for a tree proven to fit one task."""
+
+    def run(tree: pd.DataFrame) -> pd.DataFrame:
+        row = {
+            int(c): (None if pd.isna(p) else int(p), b, bool(e))
+            for c, p, b, e in zip(tree["cid"], tree["parent"], tree["birth"], tree["eligible"])
+        }
+        order, kids = [c for c, r in row.items() if r[0] is None], {}
+        tops = set(order)
+        for c, r in row.items():
+            kids.setdefault(r[0], []).append(c)
+        for c in order:  # parents before children
+            order += kids.get(c, [])
+        climb = {}
+        for c in order:
+            p, born, _ = row[c]
+            stops = p is None or p in tops or born > epsilon
+            climb[c] = c if stops else climb[p]
+
+        def spread(flags):
+            top = {}
+            for c in order:
+                above = top.get(row[c][0])
+                top[c] = above if above is not None else (c if c in flags else None)
+            return top
+
+        good = {c for c in row if row[c][2] and c not in tops}
+        chosen = {v for v in spread(good).values() if v is not None}
+        if epsilon > 0:
+            chosen = {climb[c] if row[c][1] < epsilon else c for c in chosen}
+        label = spread(chosen)
+        out = pd.DataFrame({"cid": [c for c in row if c not in tops]})
+        out["label"] = pd.array([label[c] for c in out["cid"]], dtype="Int64")
+        return out
+
+    fed = clusters.withColumn("one", F.lit(0))
+    return fed.groupBy("one").applyInPandas(run, "cid bigint, label bigint")
+
+
+def select_clusters(
+    clusters: DataFrame, epsilon: float = 0.0, task_rows: int = TASK_ROWS
+) -> DataFrame:
     """(cid, label): the chosen cluster each cluster of the tree belongs to, NULL outside.
 
     Excess of mass takes the highest eligible clusters; with ``epsilon``, a chosen cluster
     born below that distance gives way to its first ancestor born above it (Malzer and
     Baum 2020). The root is never chosen.
     """
+    if task_rows and clusters.count() <= task_rows:
+        return _select_few(clusters, epsilon)
     roots = clusters.where("parent IS NULL").select(F.col("cid").alias("parent"))
     inner = clusters.where("parent IS NOT NULL")
     at_top = inner.join(roots, "parent", "left_semi").select("cid", F.lit(True).alias("at_top"))
@@ -716,7 +856,9 @@ def cut_tree(
     min_cluster_size: int = 5,
     epsilon: float = 0.1,
     band_rows: int = TASK_ROWS,
+    tree_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Clusters of a ready spanning tree, for trying several sizes and distances on it."""
     clusters, members = condensed_tree(nodes, edges, min_cluster_size, band_rows)
-    return label_points(points, nodes, members, select_clusters(clusters, epsilon))
+    chosen = select_clusters(clusters, epsilon, tree_rows)
+    return label_points(points, nodes, members, chosen)

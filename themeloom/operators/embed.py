@@ -57,7 +57,7 @@ def embed_with_provider(
 
 def fit_hashing(df: DataFrame, text: str = "text", dim: int = DIM) -> PipelineModel:
     """Local provider: hashed term counts, inverse document frequency, unit length."""
-    words = df.select(_words(F.col(text)).alias("_words"))
+    words = df.select(_words_of(df, text).alias("_words"))
     tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf.transform(words))
     return PipelineModel([tf, idf, Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)])
@@ -65,13 +65,18 @@ def fit_hashing(df: DataFrame, text: str = "text", dim: int = DIM) -> PipelineMo
 
 def embed_hashing(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
     """Add ``embedding``; a text without words gets the zero vector."""
-    out = model.transform(df.withColumn("_words", _words(F.col(text))))
+    out = model.transform(df.withColumn("_words", _words_of(df, text)))
     return out.withColumn("embedding", vector_to_array("_unit")).drop(
         "_words", "_tf", "_idf", "_unit"
     )
 
 
-def _words(t: Column) -> Column:
+def _words_of(df: DataFrame, text: str) -> Column:
+    """The ``words`` column where the caller has tokenised already, else fresh tokens."""
+    return F.col("words") if "words" in df.columns else content_words(F.col(text))
+
+
+def content_words(t: Column) -> Column:
     return tx.drop_stop_words(tx.word_tokens(F.coalesce(t, F.lit(""))))
 
 

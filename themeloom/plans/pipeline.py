@@ -50,11 +50,14 @@ class Analysis:
 
 
 def clean_records(df: DataFrame, column: str = "text", repair: bool = True) -> DataFrame:
-    """(row_id, text): cleaned texts without leading boilerplate, every row kept."""
+    """(row_id, text, words): cleaned texts without leading boilerplate and their non-stop
+    words; every row is kept."""
     base = rows.fill_empty(df, column)
-    return base.select(
+    cleaned = base.select(
         "row_id", tx.remove_boilerplate(tx.clean_text(F.col("text"), repair)).alias("text")
     )
+    # tokens are kept: weighting, hashing and naming all read them
+    return cleaned.withColumn("words", embed.content_words(F.col("text")))
 
 
 def embed_records(
@@ -142,7 +145,7 @@ def analyze(
     samples = cut(clusters.cluster_samples(points, records, options.samples))
     sizes = cut(clusters.cluster_sizes(points))
     named = themes.theme_names(
-        records.join(points.where(F.col("cluster_id") != -1).select("row_id", "cluster_id"), "row_id")
+        records.select("row_id", "words").join(points.where(F.col("cluster_id") != -1).select("row_id", "cluster_id"), "row_id")
     )
     return Analysis(
         records=records,
