@@ -59,10 +59,10 @@ def test_eps_components(spark, dim, direct):
     assert len(set(want)) > 2
 
 
-@pytest.mark.parametrize("cell_rows,small", [(2048, 4 << 20), (25, 0)])
-def test_spanning_tree_weight(spark, blobs, cell_rows, small):
+@pytest.mark.parametrize("cell_rows,small,task_rows", [(2048, 4 << 20, 10**6), (25, 0, 0)])
+def test_spanning_tree_weight(spark, blobs, cell_rows, small, task_rows):
     nodes, edges = density.spanning_tree(
-        make_points(spark, blobs), 3, k=5, cell_rows=cell_rows, small_bytes=small
+        make_points(spark, blobs), 3, k=5, cell_rows=cell_rows, small_bytes=small, task_rows=task_rows
     )
     rows = edges.collect()
     assert len(rows) == len(blobs) - 1

@@ -277,7 +277,12 @@ def core_distances(folded: DataFrame, near: DataFrame, min_samples: int) -> Data
 
 
 def spanning_tree(
-    points: DataFrame, min_samples: int = 3, k: int = 16, cell_rows: int = CELL_ROWS, **options
+    points: DataFrame,
+    min_samples: int = 3,
+    k: int = 16,
+    cell_rows: int = CELL_ROWS,
+    task_rows: int = TASK_ROWS,
+    **options,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): distinct points with ``copies`` and ``core``, and the exact minimum
     spanning tree (lo, hi, w) of their mutual reachability; ties by (w, lo, hi).
@@ -309,36 +314,47 @@ def spanning_tree(
         )
     )
     cells = make_cells(held, cell_rows)
-    local = cut(_join_locally(nodes, near, cells[0]))
-    tree = cut(local.where("kind = 'edge'").select("lo", "hi", "w").distinct())
-    label = cut(_join_up(local.where("kind = 'node'").select("pid", "comp"), tree))
-    comps = cut(
-        label.join(nodes.select("pid", "reach"), "pid").groupBy("comp").agg(F.min("reach").alias("reach"))
-    )
+    proven = cut(_grow_in_cells(nodes, near, cells[0]))
+    tree = proven.select("lo", "hi", "w").distinct()
+    found = connected_components(proven.select("a", "b"))
+    label = cut(
+        nodes.select("pid")
+        .join(found.select(F.col("node").alias("pid"), "comp"), "pid", "left")
+        .select("pid", F.coalesce("comp", "pid").alias("comp"))
+    )
+    comps = label.join(nodes.select("pid", "reach"), "pid").groupBy("comp")
+    comps = cut(comps.agg(F.min("reach").alias("reach")))
     for c in ("a", "b"):
         to = label.select(F.col("pid").alias(c), F.col("comp").alias("_to"))
         edges = edges.join(to, c).withColumn(c, F.col("_to")).drop("_to")
     edges = cut(edges.where("a <> b"))
-    left = comps.count()
+    left, spent = comps.count(), False
     while left > 1:
         both = edges.select(F.col("a").alias("comp"), F.col("b").alias("other"), "w", "lo", "hi")
         both = both.unionByName(
             edges.select(F.col("b").alias("comp"), F.col("a").alias("other"), "w", "lo", "hi")
         )
-        best = both.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e"))
-        known = cut(comps.join(best, "comp", "left"))
-        # <=: an unlisted edge of equal weight would tie, and any lightest edge will do,
-        # but ties are only safe in one order, so proof must be strict
-        chosen = known.where(F.col("e.w") < F.col("reach")).select("comp", "e.*")
-        if chosen.isEmpty():
-            label = cut(label)
-            chosen = _foreign(nodes, label, known, cells)
-        chosen = cut(chosen)
-        picked = chosen.select("lo", "hi", "w").distinct()
-        tree = tree.unionByName(picked)
-        moves = cut(
-            connected_components(chosen.select(F.col("comp").alias("a"), F.col("other").alias("b")))
-        )
+        chosen = None
+        if not spent and edges.count() <= task_rows:
+            # what is left fits one task: all provable rounds at once
+            lists = both.groupBy("comp").agg(
+                F.collect_list(F.struct("w", "lo", "hi", "other")).alias("steps")
+            )
+            rows = comps.join(lists, "comp").withColumnRenamed("comp", "pid")
+            chosen, spent = cut(_grow(rows.withColumn("block", F.lit(0)), ["block"])), True
+        if chosen is None or chosen.isEmpty():
+            best = both.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e"))
+            known = cut(comps.join(best, "comp", "left"))
+            # strict: an unlisted edge of equal weight could come first in the tie order
+            chosen = known.where(F.col("e.w") < F.col("reach")).select("comp", "e.*")
+            if spent or chosen.isEmpty():
+                label, spent = cut(label), False
+                chosen = _foreign(nodes, label, known, cells)
+            chosen = cut(
+                chosen.select("lo", "hi", "w", F.col("comp").alias("a"), F.col("other").alias("b"))
+            )
+        tree = tree.unionByName(chosen.select("lo", "hi", "w").distinct())
+        moves = cut(connected_components(chosen.select("a", "b")))
         moves = sized_broadcast(moves, 64)
         to = lambda df, c: df.join(
             moves.select(F.col("node").alias(c), F.col("comp").alias("_to")), c, "left"
@@ -350,51 +366,52 @@ def spanning_tree(
     return nodes, cut(tree)
 
 
-def _join_up(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """(pid, comp) of all nodes under the edges found so far."""
-    found = connected_components(tree.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-    return nodes.select("pid").join(
-        found.select(F.col("node").alias("pid"), "comp"), "pid", "left"
-    ).select("pid", F.coalesce("comp", "pid").alias("comp"))
-
-
-def _join_locally(nodes: DataFrame, near: DataFrame, placed: DataFrame) -> DataFrame:
-    """Tree edges provable inside one block of a cell, before anything global runs.
-
-    A task holds the neighbour lists of the points of its block. Components of these points
-    take their lightest listed edge while it is lighter than the reach of every list in the
-    component; an edge leading out of the block is kept and ends the component's growth.
-    """
+def _grow_in_cells(nodes: DataFrame, near: DataFrame, placed: DataFrame) -> DataFrame:
+    """Tree edges provable inside one block of a cell, before anything global runs: most
+    merging happens here, in one pass and in parallel."""
     home = placed.select(F.col("row_id").alias("pid"), "cell")
     size = home.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts"))
     blocks = home.join(sized_broadcast(size, 16), "cell").select(
         "pid", "cell", F.pmod(F.xxhash64("pid"), F.col("parts")).alias("part")
     )
-    far = nodes.select(F.col("pid").alias("neighbor_id"), F.col("core").alias("far_core"))
+    core = nodes.select("pid", "core")
+    pair = F.col("pid"), F.col("other")
     lists = (
-        near.select(F.col("row_id").alias("pid"), "neighbor_id", "distance")
-        .join(far, "neighbor_id")
-        .groupBy("pid")
-        .agg(
-            F.collect_list("neighbor_id").alias("ids"),
-            F.collect_list(F.greatest("distance", "far_core")).alias("gaps"),
+        near.select(F.col("row_id").alias("pid"), F.col("neighbor_id").alias("other"), "distance")
+        .join(core, "pid")
+        .join(core.select(F.col("pid").alias("other"), F.col("core").alias("far")), "other")
+        .select(
+            "pid",
+            F.struct(
+                F.greatest("distance", "core", "far").alias("w"),
+                F.least(*pair).alias("lo"),
+                F.greatest(*pair).alias("hi"),
+                "other",
+            ).alias("step"),
         )
+        .groupBy("pid")
+        .agg(F.collect_list("step").alias("steps"))
     )
-    rows = nodes.select("pid", "core", "reach").join(blocks, "pid").join(lists, "pid", "left")
+    rows = nodes.select("pid", "reach").join(blocks, "pid").join(lists, "pid")
+    return _grow(rows, ["cell", "part"])
+
+
+def _grow(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(lo, hi, w, a, b): tree edges provable within each group of ``keys``.
+
+    Rows are components (pid, reach, steps) with their listed edges (w, lo, hi, other). A
+    component takes its lightest edge while it is lighter than the reach of every list in
+    it. An edge to a component outside the group is kept and ends the growth.
+    """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         ids = [int(v) for v in block["pid"]]
         place = {v: i for i, v in enumerate(ids)}
-        core, reach = block["core"].to_list(), block["reach"].to_list()
-        heaps, up, limit, open_ = [], list(range(len(ids))), list(reach), [True] * len(ids)
-        for i, (others, gaps) in enumerate(zip(block["ids"], block["gaps"])):
-            mine = []
-            if others is not None:
-                for o, g in zip(others, gaps):
-                    o = int(o)
-                    mine.append((max(g, core[i]), min(ids[i], o), max(ids[i], o), o))
-            heapq.heapify(mine)
-            heaps.append(mine)
+        limit = block["reach"].to_list()
+        heaps = [[(e["w"], e["lo"], e["hi"], e["other"]) for e in steps] for steps in block["steps"]]
+        up = list(range(len(ids)))
+        for heap in heaps:
+            heapq.heapify(heap)
 
         def root(i):
             while up[i] != i:
@@ -405,39 +422,29 @@ def _join_locally(nodes: DataFrame, near: DataFrame, placed: DataFrame) -> DataF
         edges, queue = set(), list(range(len(ids)))
         while queue:
             i = queue.pop()
-            if root(i) != i or not open_[i]:
+            if up[i] != i:
                 continue
             heap = heaps[i]
             while heap and heap[0][3] in place and root(place[heap[0][3]]) == i:
                 heapq.heappop(heap)
             if not heap or heap[0][0] >= limit[i]:
-                open_[i] = False
                 continue
-            w, lo, hi, o = heap[0]
-            edges.add((lo, hi, w))
-            if o not in place:
-                open_[i] = False
+            w, lo, hi, other = heap[0]
+            edges.add((lo, hi, w, ids[i], other))
+            if other not in place:
                 continue
-            j = root(place[o])
+            j = root(place[other])
             if len(heaps[i]) > len(heaps[j]):
                 i, j = j, i
             for e in heaps[i]:  # smaller into larger
                 heapq.heappush(heaps[j], e)
-            heaps[i], up[i] = [], j
-            limit[j] = min(limit[i], limit[j])
-            open_[j] = True
+            heaps[i], up[i], limit[j] = [], j, min(limit[i], limit[j])
             queue.append(j)
-        out = [("node", v, None, None, None) for v in ids]
-        out += [("edge", None, lo, hi, w) for lo, hi, w in edges]
-        frame = pd.DataFrame(out, columns=["kind", "pid", "lo", "hi", "w"])
-        for c in ("pid", "lo", "hi"):
-            frame[c] = frame[c].astype("Int64")
-        frame["w"] = frame["w"].astype(float)
-        return frame
+        return pd.DataFrame(list(edges), columns=["lo", "hi", "w", "a", "b"])
 
-    return rows.groupBy("cell", "part").applyInPandas(
-        run, "kind string, pid bigint, lo bigint, hi bigint, w double"
-    ).withColumn("comp", F.col("pid"))
+    return rows.groupBy(*keys).applyInPandas(
+        run, "lo bigint, hi bigint, w double, a bigint, b bigint"
+    )
 
 
 def _foreign(nodes: DataFrame, label: DataFrame, known: DataFrame, cells) -> DataFrame:
