@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.functions import text as tx
 
@@ -33,7 +34,11 @@ def embed_with_provider(
     A failing batch, or a wrong-shaped answer, gives zero vectors and ``failed`` = true;
     the job goes on.
     """
-    schema = df.schema.add("embedding", "array<double>").add("failed", "boolean")
+    added = [
+        T.StructField("embedding", T.ArrayType(T.DoubleType())),
+        T.StructField("failed", T.BooleanType()),
+    ]
+    schema = T.StructType([*df.schema.fields, *added])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -6,6 +6,7 @@ import logging
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.functions import fixed
 from themeloom.operators import density, quality
@@ -88,7 +89,7 @@ def run_trials(vectors: DataFrame, trials: DataFrame, metric: str = "auto") -> D
             log.warning("trial %s failed: %s", r["trial_id"], e)
             score = -1.0
         scored.append({**r, "score": score})
-    schema = trials.schema.add("score", "double")
+    schema = T.StructType([*trials.schema.fields, T.StructField("score", T.DoubleType())])
     return trials.sparkSession.createDataFrame(
         [tuple(s[f.name] for f in schema.fields) for s in scored], schema
     )

@@ -261,28 +261,28 @@ def _two_files(spark, sf_dir):
 @query(
     "compare_files_shared",
     f"""WITH {_FILES} SELECT cluster_id, match_id, round(s, 6) + 0.0 AS similarity FROM best
-      WHERE s >= 0.1""",
+      WHERE s >= 0.2""",
 )
 def _shared(spark, sf_dir):
     left, right = _two_files(spark, sf_dir)
-    return _tidied(compare.shared_themes(left, right, DIM, 0.1), "similarity")
+    return _tidied(compare.shared_themes(left, right, DIM, 0.2), "similarity")
 
 
-@query("compare_files_exclusive", f"WITH {_FILES} SELECT cluster_id FROM best WHERE s < 0.1")
+@query("compare_files_exclusive", f"WITH {_FILES} SELECT cluster_id FROM best WHERE s < 0.2")
 def _exclusive(spark, sf_dir):
     left, right = _two_files(spark, sf_dir)
-    return compare.exclusive_themes(left, right, DIM, 0.1)
+    return compare.exclusive_themes(left, right, DIM, 0.2)
 
 
 @query(
     "compare_files",
-    f"""WITH {_FILES} SELECT (SELECT count(*) FROM best WHERE s >= 0.1) AS shared_themes,
-      (SELECT count(*) FROM best WHERE s < 0.1) + (SELECT count(*) FROM back WHERE s < 0.1)
+    f"""WITH {_FILES} SELECT (SELECT count(*) FROM best WHERE s >= 0.2) AS shared_themes,
+      (SELECT count(*) FROM best WHERE s < 0.2) + (SELECT count(*) FROM back WHERE s < 0.2)
       AS unique_themes""",
 )
 def _compare_files(spark, sf_dir):
     left, right = _two_files(spark, sf_dir)
-    return compare.compare_files(left, right, DIM, 0.1)
+    return compare.compare_files(left, right, DIM, 0.2)
 
 
 _CTX = f"""ctx AS (SELECT p.row_id, d.text, {q.cosine('c.v', 'p.point')} AS s FROM {t.POINTS} p
