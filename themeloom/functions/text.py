@@ -27,12 +27,10 @@ WORD_ONLY = r"^[\p{L}\p{N}]+$"
 
 #: (pattern, replacement) pairs that put blanks around token boundaries, in order.
 TOKEN_RULES = [
-    (r"\.{2,}", " "),
-    (r'[;@#$%&?!()\[\]{}<>"]', " "),
+    (r'\.{2,}|--|[;@#$%&?!()\[\]{}<>"]', " "),
     (r"\.(\s|$)", " $1"),
     (r"[:,](\D)", " $1"),
     (r"[:,]$", " "),
-    (r"--", " "),
     (r"([^' ])('ll|'re|'ve|n't|'s|'m|'d|')(\s|$)", "$1 $3"),
 ]
 

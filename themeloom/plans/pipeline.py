@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +41,19 @@ class Analysis:
     records: DataFrame
     points: DataFrame
     centroids: DataFrame
-    statistics: DataFrame
     sizes: DataFrame
     samples: DataFrame
     themes: DataFrame
     quality: DataFrame
+    silhouette_metric: str
     trials: DataFrame | None = None
     reused_model: bool = False
 
+    @cached_property
+    def statistics(self) -> DataFrame:
+        """Counts, silhouette and quality label, worked out when first asked for."""
+        return quality.clustering_statistics(self.points, self.silhouette_metric)
+
 
 def clean_records(df: DataFrame, column: str = "text", repair: bool = True) -> DataFrame:
     """(row_id, text, words): cleaned texts without leading boilerplate and their non-stop
@@ -151,11 +157,11 @@ def analyze(
         records=records,
         points=points,
         centroids=clusters.centroids(points),
-        statistics=quality.clustering_statistics(points, options.silhouette_metric),
         sizes=sizes,
         samples=samples,
         themes=themes.theme_table(samples, named, sizes, **responders),
         quality=rows.quality_share(records),
+        silhouette_metric=options.silhouette_metric,
         trials=trials,
         reused_model=reused,
     )
