@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from themeloom.operators import embed
-from themeloom.plans import pipeline
+from themeloom.plans import analysis
 from themeloom.sources import bundle, registry, scan, sinks
 from themeloom.streaming import ingest
 
@@ -64,8 +64,8 @@ def test_registry(spark, tmp_path):
 
 def test_analysis_bundle_and_streams(spark, csv_file, tmp_path):
     model, store, out = (str(tmp_path / n) for n in ("model", "store", "out"))
-    options = pipeline.Options(dim=64, epsilon=0.0, model_folder=model, repair=False)
-    key, a = pipeline.run_analysis(spark, csv_file, options=options, store=store)
+    options = analysis.Options(dim=64, epsilon=0.0, model_folder=model, repair=False)
+    key, a = analysis.run_analysis(spark, csv_file, options=options, store=store)
     assert not a.reused_model
     found = a.themes.collect()
     assert len(found) >= 2 and all(t["sample_count"] <= 10 for t in found)
@@ -84,12 +84,12 @@ def test_analysis_bundle_and_streams(spark, csv_file, tmp_path):
     info = bundle.info(spark, model).first()
     assert info["n_training_samples"] == 60 and info["n_clusters"] == len(found)
     assert "Training Samples: 60" in bundle.export_info(spark, model, str(tmp_path / "info"))
-    points, predicted = pipeline.predict_file(spark, csv_file, model)
+    points, predicted = analysis.predict_file(spark, csv_file, model)
     assert points.count() == 60 and predicted.first()["total_points"] == 60
     # the training rows themselves stay within their clusters' radii
     clustered = a.points.where("cluster_id <> -1").select("row_id")
     assert points.join(clustered, "row_id").where("cluster_id = -1").count() == 0
-    drifted = pipeline.drift_of_file(spark, csv_file, model).first()
+    drifted = analysis.drift_of_file(spark, csv_file, model).first()
     assert abs(drifted["drift_score"]) < 1e-9 and drifted["drift_severity"] == "Low"
 
     # streams equal the batch results

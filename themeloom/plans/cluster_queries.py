@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from themeloom.operators import density, tuning
 from themeloom.operators.reduce import fit_reducer, reduce
-from themeloom.plans import pipeline
+from themeloom.plans import analysis
 from themeloom.plans import tables as t
 from themeloom.plans.vector_queries import dist
 
@@ -77,8 +77,8 @@ def _tune(spark, sf_dir):
     return tuning.run_trials(e.select("row_id", "embedding"), trials)
 
 
-@query("pipeline")
+@query("full_analysis")
 def full(spark, sf_dir):
     """Clean, embed, cluster and name all documents; one row per theme."""
-    options = pipeline.Options(min_cluster_size=15, min_samples=5, epsilon=0.0)
-    return pipeline.analyze(t.texts(spark, sf_dir), "text", options).themes
+    options = analysis.Options(min_cluster_size=15, min_samples=5, epsilon=0.0)
+    return analysis.analyze(t.texts(spark, sf_dir), "text", options).themes

@@ -15,7 +15,7 @@ from themeloom.functions import text as tx
 from themeloom.operators import drift
 from themeloom.operators.embed import mean_vector
 from themeloom.operators.rows import extract_texts
-from themeloom.plans import pipeline
+from themeloom.plans import analysis
 from themeloom.runtime import cut
 from themeloom.sources import bundle
 
@@ -80,7 +80,7 @@ def assign_stream(vectors: DataFrame, model_folder: str, out: str, checkpoint: s
     model = bundle.load(vectors.sparkSession, model_folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        pipeline.predict_assign(batch, model).write.mode("overwrite").parquet(
+        analysis.predict_assign(batch, model).write.mode("overwrite").parquet(
             f"{out}/batch={number}"
         )
 
