@@ -31,7 +31,7 @@ from themeloom.llm.common import table
 
 SAMPLE = 20_000
 BUCKETS, GRAMS = 1 << 15, 4
-PENALTY, CLIP, SHARE = 8.0, -6.0, 0.005
+PENALTY, CLIP, SHARE, CLOSED = 8.0, -6.0, 0.005, -10_000.0
 WORDS_KEPT = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,16 +53,20 @@ def script(word: str) -> int:
     return i if i >= 0 and c <= SCRIPTS[i][2] else len(SCRIPTS)
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's n-grams."""
-    w = f"<{word}>"
-    out = []
+def grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n from 1: the buckets of all n-grams of the words, and the word of each, in order."""
+    lens = np.array([len(w) + 2 for w in words])
+    char = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), lens)
+    out, h = [], np.zeros(len(char), np.uint64)
     for n in range(1, GRAMS + 1):
-        for i in range(len(w) - n + 1):
-            h = 0
-            for c in w[i : i + n]:
-                h = (h * 1_000_003 + ord(c)) & 0xFFFFFFFF
-            out.append((h * 2_654_435_761 + n) % 4_294_967_291 % BUCKETS)
+        end = len(char) - n + 1
+        if end <= 0:
+            break
+        h = (h[:end] * np.uint64(1_000_003) + char[n - 1 :]) & np.uint64(0xFFFFFFFF)
+        own = word[:end] == word[n - 1 :]
+        bucket = (h * np.uint64(2_654_435_761) + np.uint64(n)) % np.uint64(4_294_967_291) % np.uint64(BUCKETS)
+        out.append((bucket[own].astype(np.int64), word[:end][own]))
     return out
 
 
@@ -73,14 +77,17 @@ def _train(batches):
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
             words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
     for lang, seen in words.items():
-        at: Counter = Counter()
-        for w, n in seen.items():
-            at[BUCKETS + script(w)] += n * len(w)
-            for g in grams(w):
-                at[g] += n
-        yield pa.RecordBatch.from_pydict(
-            {"lang": pa.array([lang] * len(at), pa.string()), "at": pa.array(list(at), pa.int64()), "n": pa.array(list(at.values()), pa.int64())}
-        )
+        counts = np.zeros(BUCKETS + len(SCRIPTS) + 1, np.int64)
+        every = list(seen)
+        for at in range(0, len(every), 50_000):
+            part = every[at : at + 50_000]
+            n = np.array([seen[w] for w in part])
+            for bucket, word in grams(part):
+                counts[:BUCKETS] += np.bincount(bucket, n[word], BUCKETS).astype(np.int64)
+            letters = n * np.array([len(w) for w in part])
+            counts[BUCKETS:] += np.bincount([script(w) for w in part], letters, len(SCRIPTS) + 1).astype(np.int64)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "at": pa.array(at), "n": pa.array(counts[at])})
 
 
 class Model:
@@ -118,7 +125,7 @@ class Labeller:
         self.rows = np.zeros((0, len(model.langs)), np.float32)
 
     def index(self, words: set[str]) -> None:
-        new = sorted(words - self.at.keys())
+        new = sorted(w for w in words if w not in self.at)
         if not new:
             return
         if len(self.at) + len(new) > WORDS_KEPT:
@@ -127,45 +134,65 @@ class Labeller:
         m, block = self.model, []
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            lists = [grams(w) for w in part]
-            ends = np.cumsum([len(x) for x in lists])
-            s = np.add.reduceat(m.scores[np.concatenate(lists)], np.r_[0, ends[:-1]], axis=0)
+            s = np.zeros((len(part), len(m.langs)))
+            for bucket, word in grams(part):
+                begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
+                if len(word):
+                    s[word[begin]] += np.add.reduceat(m.scores[bucket], begin, axis=0)
             open_ = m.open[[script(w) for w in part]]
             none = ~open_.any(axis=1)
-            s = np.where(open_, s, -np.inf)
-            best = s.max(axis=1, keepdims=True, initial=-np.inf)
-            s = np.maximum(s - np.where(np.isfinite(best), best, 0), 2 * CLIP)
-            s = np.where(open_, np.maximum(s, CLIP), s)
+            best = np.where(open_, s, -np.inf).max(axis=1, keepdims=True, initial=-np.inf)
+            s = np.where(open_, np.maximum(s - np.where(np.isfinite(best), best, 0), CLIP), CLOSED)
             s[none | np.array([not any(map(str.isalpha, w)) for w in part])] = 0
             block.append(s.astype(np.float32))
         self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         self.rows = np.concatenate([self.rows, *block])
 
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The language of every word of every text; texts go through the steps side by side,
-        those of like length together, so that memory is bounded by words in hand."""
-        out: list = [None] * len(texts)
-        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        """The language of every word of every text.
+
+        Where one language is best in total and no other gains more than the penalty over it on
+        any stretch of words, every change costs at least what it gains: that language is the best
+        path. Other texts go through the steps side by side, those of like length together, so
+        that memory is bounded by the words in hand.
+        """
+        if not self.model.langs:
+            return [np.zeros(0, np.int64) for _ in texts]
+        self.index({w for t in texts for w in t})
+        get = self.at.__getitem__
+        ids = [np.fromiter(map(get, t), np.int32, len(t)) for t in texts]
+        out, todo = [], []
+        for i, own in enumerate(ids):
+            out.append(self._one(own))
+            if out[-1] is None:
+                todo.append(i)
+        todo.sort(key=lambda i: len(ids[i]))
         lo = 0
-        while lo < len(order):
+        while lo < len(todo):
             hi = lo + 1
-            while hi < len(order) and (hi - lo + 1) * len(texts[order[hi]]) <= 400_000:
+            while hi < len(todo) and (hi - lo + 1) * len(ids[todo[hi]]) <= 400_000:
                 hi += 1
-            for i, p in zip(order[lo:hi], self._group([texts[i] for i in order[lo:hi]])):
+            for i, p in zip(todo[lo:hi], self._group([ids[i] for i in todo[lo:hi]])):
                 out[i] = p
             lo = hi
         return out
 
-    def _group(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def _one(self, ids: np.ndarray) -> np.ndarray | None:
+        """The best path if it has one language, else nothing."""
+        s = self.rows[ids].astype(np.float64)
+        best = int(s.sum(axis=0).argmax())
+        run = np.zeros((len(ids) + 1, s.shape[1]))
+        np.cumsum(s - s[:, best, None], axis=0, out=run[1:])
+        if (run - np.minimum.accumulate(run, axis=0)).max() > PENALTY:
+            return None
+        return np.full(len(ids), best, np.int64)
+
+    def _group(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         lens = np.array([len(t) for t in texts])
-        steps, k = int(lens.max(initial=0)), len(self.model.langs)
-        if not steps or not k:
-            return [np.zeros(0, np.int64) for _ in texts]
-        self.index({w for t in texts for w in t})
-        get = self.at.__getitem__
+        steps, k = int(lens.max()), len(self.model.langs)
         ids = np.zeros((steps, len(texts)), np.int32)
         for j, t in enumerate(texts):
-            ids[: len(t), j] = np.fromiter(map(get, t), np.int32, len(t))
+            ids[: len(t), j] = t
         score = self.rows[ids[0]]
         came = np.zeros((steps, len(texts), k), np.int16 if k > 127 else np.int8)
         lanes, own = np.arange(len(texts)), np.arange(k, dtype=came.dtype)
