@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import table
-from themeloom.llm.tokens import Encoder, encoded
+from themeloom.llm.tokens import encoded, encoder
 from themeloom.runtime import cut
 
 CAPACITY, END, WASTE = 2048, 1, 0.03
@@ -87,12 +87,12 @@ class Filler:
 def _cut_up(path: str, capacity: int, end: int):
     def run(batches):
         filler = Filler(TaskContext.get().partitionId(), capacity)
-        encoder = Encoder(path, spaced=False)
+        by = encoder(path, spaced=False)
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
                 docs = batch["doc_id"].to_pylist()
-                for doc_id, ids in zip(docs, encoded(batch["text"].to_pylist(), encoder, end)):
+                for doc_id, ids in zip(docs, encoded(batch["text"].to_pylist(), by, end)):
                     begin = 0
                     for n in lengths(len(ids), capacity):
                         filler.add(doc_id, begin, n, len(ids), ids[begin : begin + n].tobytes())

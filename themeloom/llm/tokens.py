@@ -8,12 +8,13 @@ library in one batch. A text whose white space does not allow the cut is encoded
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Parts that are remembered at once.
-PARTS_KEPT = 400_000
+#: Parts that are remembered at once, twice: those in use lately, and those before.
+PARTS_KEPT = 450_000
 
 
 class Encoder:
@@ -26,12 +27,11 @@ class Encoder:
     def __init__(self, path: str, spaced: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.spaced, self.seen = spaced, {}
+        self.spaced, self.seen, self.old = spaced, {}, {}
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
         self.mark, self.mark_id = special[-1] if special else (None, None)
         # a blank that ends the text or comes before other white space belongs to no word
         self.odd = re.compile(r" (?:\s|\Z)")
-        self.blank = re.compile(r"[\x20\x09-\x0D]+")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -40,22 +40,27 @@ class Encoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in part]
         return out
 
-    def _known(self, parts: set[str]) -> None:
+    def _known(self, parts: set) -> None:
         """Remember the ids of new parts: many of them go as one text, a special token between."""
-        new = list(parts - self.seen.keys())
-        if not new:
-            return
-        if len(self.seen) + len(new) > PARTS_KEPT:
-            self.seen, new = {}, list(parts)
-        alone = [w for w in new if self.mark is None or self.mark in w]
+        seen, old = self.seen, self.old
+        new = []
+        for w in parts:
+            if w not in seen:
+                if w in old:
+                    seen[w] = old[w]
+                else:
+                    new.append(w)
+        if len(seen) + len(new) > PARTS_KEPT:  # what was in use lately is found in the older half
+            self.old, self.seen = seen, {w: seen[w] for w in parts if w in seen}
+        text_of = (lambda w: " " + w) if self.spaced else bytes.decode
+        alone = [w for w in new if self.mark is None or self.mark in text_of(w)]
         if alone:
-            self.seen.update(zip(alone, self._encode([" " + w for w in alone] if self.spaced else alone)))
+            self.seen.update(zip(alone, self._encode([text_of(w) for w in alone])))
             taken = set(alone)
             new = [w for w in new if w not in taken]
-        blank = " " if self.spaced else ""
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            text = (self.mark or "").join([blank + w for w in part])
+            text = (self.mark or "").join([text_of(w) for w in part])
             e = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
             ids = np.array(e.ids, self.dtype)
             ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
@@ -70,7 +75,7 @@ class Encoder:
         whole, parts = [], []
         for i, t in enumerate(texts):
             if not self.spaced:
-                parts.append((i, self.blank.sub(" ", t).strip(" ").split(" ") if t else []))
+                parts.append((i, t.encode().split()))  # bytes: at ASCII white space only
             elif self.odd.search(t):
                 whole.append(i)
             else:
@@ -79,7 +84,7 @@ class Encoder:
             group = parts[at : at + 64]
             skip = 1 if self.spaced else 0  # the first part has no blank before it
             heads = self._encode([p[0] for _, p in group]) if skip else [b""] * len(group)
-            need: set[str] = set()
+            need: set = set()
             for _, p in group:
                 need.update(p[skip:])
             need.discard("")
@@ -93,9 +98,15 @@ class Encoder:
         return out
 
 
-def encoded(batch_texts: list, encoder: Encoder, end: int):
+@cache
+def encoder(path: str, spaced: bool) -> Encoder:
+    """The encoder of this worker process, which later tasks use again."""
+    return Encoder(path, spaced)
+
+
+def encoded(batch_texts: list, by: Encoder, end: int):
     """uint32 arrays of the ids of each text (null: empty) and the end id."""
     tail = np.array([end], "<u4")
     for at in range(0, len(batch_texts), 256):
-        for b in encoder.ids([t or "" for t in batch_texts[at : at + 256]]):
-            yield np.concatenate([np.frombuffer(b, encoder.dtype).astype("<u4"), tail])
+        for b in by.ids([t or "" for t in batch_texts[at : at + 256]]):
+            yield np.concatenate([np.frombuffer(b, by.dtype).astype("<u4"), tail])
