@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import hadoop_path, interval, publish, shared_folder, table, write_small
-from themeloom.llm.tokens import Encoder, encoded
+from themeloom.llm.tokens import encoded, encoder
 from themeloom.runtime import cut
 
 BLOCK, LANES, FILE_IDS = 1024, 2048, 1 << 26
@@ -73,11 +73,11 @@ class _Model:
         """The widths of the shares of order 2, order 1, order 0 and the escape."""
         self.at2 = self.base2 + (((self.a * 40503 + self.b * 30011) >> 3) & (ORDER2 - 1))
         self.at1 = self.base1 + ((self.b * 40503 >> 2) & (ORDER1 - 1))
-        e2, e1 = self.two[self.at2], self.one[self.at1]
+        e2, e1 = self.two.take(self.at2, mode="clip"), self.one.take(self.at1, mode="clip")
         self.c2, self.c1 = e2 >> 2, e1 >> 2
         self.f2, self.f1 = e2 & 3, e1 & 3
         self.r2, self.r1 = self.base4 + self.f2, self.base4 + self.f1
-        self.p2, self.p1 = self.right2[self.r2], self.right1[self.r1]
+        self.p2, self.p1 = self.right2.take(self.r2, mode="clip"), self.right1.take(self.r1, mode="clip")
         w2 = 1 + (self.p2 * 960 >> 16)
         rest = UNIT - w2
         w1 = 1 + ((rest - 62) * (self.p1 >> 2) >> 14)
@@ -190,6 +190,7 @@ def decode_blocks(words: list[np.ndarray], literals: list[np.ndarray], steps: in
     pos, used = np.full(lanes, 2, np.int64), np.zeros(lanes, np.int64)
     ids = np.zeros((steps, lanes), dtype)
     lane = np.arange(lanes)
+    spare_row = lane * spare.shape[1]
     for since, until in _marks(steps):
         size = max(since, 1)
         ranked = np.sort(ids[:size].T, axis=1)
@@ -204,10 +205,11 @@ def decode_blocks(words: list[np.ndarray], literals: list[np.ndarray], steps: in
             hit2 = v < w2 * size
             hit1 = (v < w21 * size) & ~hit2
             escaped = v >= (UNIT - out) * size
-            slot = row + np.clip((v - w21 * size) // w0, 0, size - 1)
-            begin = first[slot].astype(np.int32)
-            many = last[slot] + 1 - begin
-            x = np.where(escaped, spare[lane, used], ranked[slot])
+            slot = ((v - w21 * size) / w0).astype(np.int64)  # exact: all below 2^24
+            slot = row + np.minimum(np.maximum(slot, 0), size - 1)
+            begin = first.take(slot, mode="clip").astype(np.int32)
+            many = last.take(slot, mode="clip") + 1 - begin
+            x = np.where(escaped, spare.take(spare_row + used, mode="clip"), ranked.take(slot, mode="clip"))
             used += escaped
             x = np.where(hit2, m.c2, np.where(hit1, m.c1, x)).astype(np.uint32)
             cum = np.where(escaped, (UNIT - out) * size, w21 * size + w0 * begin)
@@ -315,9 +317,9 @@ def _writer(folder: str, path: str, end: int, file_ids: int):
     schema = pa.schema([("name", pa.string()), ("temp", pa.string()), ("ids", pa.int64()), ("docs", pa.int64()), ("bytes", pa.int64())])
 
     def write(batches):
-        file, encoder, now, part, done = _File(folder), Encoder(path, spaced=True), None, 0, []
+        file, by, now, part, done = _File(folder), encoder(path, spaced=True), None, 0, []
         for batch in batches:
-            cols = batch["range"].to_pylist(), batch["doc_id"].to_pylist(), encoded(batch["text"].to_pylist(), encoder, end)
+            cols = batch["range"].to_pylist(), batch["doc_id"].to_pylist(), encoded(batch["text"].to_pylist(), by, end)
             for range_, doc_id, ids in zip(*cols):
                 if file.out and (range_ != now or file.ids >= file_ids):
                     part = part + 1 if range_ == now else 0
