@@ -317,6 +317,7 @@ def without_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS)
         found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
     ).select(F.col("doc_id").alias("stay_id"), "rows")
     row = docs.select(F.struct(*docs.columns).alias("row"))
+    stay = stay.hint("merge")  # what stays grows with the input: one plan at every size
     kept = row.join(stay, F.col("row.doc_id") == F.col("stay_id")).select("row", "rows")
     nameless = row.where("row.doc_id IS NULL").select("row.*")
     if stay.where("rows > 1").isEmpty():
