@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Parts that are remembered at once, twice: those in use lately, and those before.
-PARTS_KEPT = 450_000
+PARTS_KEPT = 300_000
 
 
 class Encoder:
