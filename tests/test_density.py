@@ -95,3 +95,14 @@ def test_few_points_are_noise(spark):
     assert labels_of(density.density_clusters(points), 2) == [-1, -1]
     one = make_points(spark, [[0.0, 0.0]])
     assert labels_of(density.density_clusters(one), 1) == [-1]
+
+
+def test_large_row_ids_keep_their_clusters(spark, blobs):
+    parts = []
+    for start in (0, 2**61):
+        rows = [(start + i, [float(v) for v in p]) for i, p in enumerate(blobs)]
+        df = spark.createDataFrame(rows, "row_id bigint, point array<double>")
+        got = {r["row_id"] - start: r["cluster_id"] for r in density.density_clusters(df).collect()}
+        assert len(got) == len(blobs)
+        parts.append([got[i] for i in range(len(blobs))])
+    assert same_partition(*map(np.array, parts))

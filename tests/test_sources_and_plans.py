@@ -131,3 +131,16 @@ def test_local_embedding_is_unit_length(spark):
     d = spark.createDataFrame([(1, TOPICS[0]), (2, ""), (3, TOPICS[1])], "row_id bigint, text string")
     got = {r["row_id"]: r["embedding"] for r in embed.embed_hashing(d, embed.fit_hashing(d, dim=32)).collect()}
     assert np.linalg.norm(got[1]) == pytest.approx(1.0) and not any(got[2])
+
+
+def test_files_are_numbered_as_listed(spark, tmp_path):
+    from themeloom.sources import scan
+
+    small, large = tmp_path / "a.csv", tmp_path / "b.csv"
+    small.write_text("summary\n" + "first file text\n" * 3)
+    large.write_text("summary\n" + "second file which is much longer\n" * 3000)
+    got = scan.read_csv(spark, [str(small), str(large)]).orderBy("row_id").limit(4).collect()
+    assert [r["summary"] for r in got] == ["first file text"] * 3 + ["second file which is much longer"]
+    ids = scan.read_files(spark, [str(small), str(large)]).agg({"row_id": "max", "*": "count"}).first()
+    assert ids[1] == 3003 or ids[0] == 3003
+    assert scan.read_files(spark, [str(small), str(large)]).select("row_id").distinct().count() == 3003

@@ -19,8 +19,8 @@ def best_matches(left: DataFrame, right: DataFrame, dim: int) -> DataFrame:
         1,
     )
     return near.select(
-        F.col("row_id").cast("int").alias("cluster_id"),
-        F.col("neighbor_id").cast("int").alias("match_id"),
+        F.col("row_id").alias("cluster_id"),
+        F.col("neighbor_id").alias("match_id"),
         "similarity",
     )
 

@@ -592,7 +592,7 @@ def _fold_band(min_cluster_size: int):
         ids = [int(v) for v in starts["id"]]
         place = {v: i for i, v in enumerate(ids)}
         size, mass = [int(v) for v in starts["size"]], list(starts["mass"])
-        cid = [None if pd.isna(v) else int(v) for v in starts["cid"]]
+        cid = [None if v < 0 else int(v) for v in starts["cid"]]
         below = list(starts["below"])
         up = list(range(len(ids)))
         owner = [None] * len(ids)  # cluster that a loose component fell into
@@ -643,13 +643,13 @@ def _fold_band(min_cluster_size: int):
             out.append(("map", v, ids[r], None, None, owner[i], None, None, None, None))
             if r == i:
                 out.append(("state", v, None, size[i], mass[i], cid[i], below[i], None, None, None))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-        for c in ("id", "rep", "size", "cid", "parent"):
-            frame[c] = frame[c].astype("Int64")
-        for c in ("mass", "below", "birth"):
-            frame[c] = frame[c].astype(float)
-        frame["eligible"] = frame["eligible"].astype("boolean")
-        return frame
+        kinds = {"string": object, "bigint": "Int64", "double": float, "boolean": "boolean"}
+        frame = {}
+        for i, field in enumerate(_OUT.split(", ")):
+            name, kind = field.split()
+            # column by column: large whole numbers beside missing ones must not become floats
+            frame[name] = pd.Series([row[i] for row in out], dtype=kinds[kind])
+        return pd.DataFrame(frame)
 
     return run
 
@@ -696,7 +696,9 @@ def condensed_tree(
         fed = now.select(F.lit("edge").alias("kind"), "a", "b", "w", "lo", "hi", "eid").unionByName(
             touched.withColumn("kind", F.lit("state")), allowMissingColumns=True
         )
-        fed = fed.withColumn("band", F.lit(band))
+        # whole numbers without NULLs: pandas would turn them into floats and lose large ids
+        whole = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("a", "b", "lo", "hi", "eid", "id", "size")}
+        fed = fed.withColumns(whole | {"cid": F.coalesce("cid", F.lit(-1)), "band": F.lit(band)})
         out = cut(fed.groupBy("band").applyInPandas(_fold_band(min_cluster_size), _OUT))
         closed = out.where("kind = 'cluster'").select("cid", "parent", "birth", "size", "eligible")
         clusters = closed if clusters is None else clusters.unionByName(closed)

@@ -11,7 +11,6 @@ from themeloom.runtime import cut, sized_broadcast
 
 #: Rough bytes of a (token, few doubles) row in a broadcast hash table.
 TOKEN_ROW_BYTES = 160
-MAX_LANGUAGES = 256
 
 
 # ---------------------------------------------------------------- language
@@ -30,9 +29,7 @@ def train_language_model(df: DataFrame, text: str = "text", lang: str = "lang")
     counts = cut(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     vocabulary = counts.agg(F.countDistinct("token").alias("v")).first()["v"]
-    found = totals.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = totals.orderBy("lang").collect()  # one row a language
     weights = []
     for r in found:
         n = F.coalesce(F.sum(F.when(F.col("lang") == r["lang"], F.col("n"))), F.lit(0))

@@ -18,8 +18,6 @@ from themeloom.runtime import cut, sized_broadcast
 #: Rows of one side of a distance block.
 BLOCK_ROWS = 2048
 
-#: Distinct points up to which ``metric="auto"`` takes the exact Euclidean silhouette.
-EXACT_POINTS = 50_000
 
 
 def _members(points: DataFrame) -> DataFrame:
@@ -198,20 +196,16 @@ def silhouette_squared(points: DataFrame) -> DataFrame:
     )
 
 
-def pick_metric(points: DataFrame, metric: str = "auto") -> str:
-    """``euclidean`` while the distinct points are few enough for quadratic work, else
-    ``squared_euclidean``; the choice is reported with the score."""
-    if metric != "auto":
-        return metric
-    n = _members(points).select("point").distinct().limit(EXACT_POINTS + 1).count()
-    return "euclidean" if n <= EXACT_POINTS else "squared_euclidean"
+METRICS = {"euclidean": silhouette, "squared_euclidean": silhouette_squared}
 
 
-def silhouette_by(points: DataFrame, metric: str = "auto") -> DataFrame:
-    """One row (silhouette_score, silhouette_metric)."""
-    chosen = pick_metric(points, metric)
-    score = silhouette(points) if chosen == "euclidean" else silhouette_squared(points)
-    return score.withColumn("silhouette_metric", F.lit(chosen))
+def silhouette_by(points: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """One row (silhouette_score, silhouette_metric).
+
+    The Euclidean score takes quadratic work in bounded blocks; ``squared_euclidean`` is another
+    score, with linear work, for those who ask for it.
+    """
+    return METRICS[metric](points).withColumn("silhouette_metric", F.lit(metric))
 
 
 # ---------------------------------------------------------------- labels and statistics
@@ -228,7 +222,7 @@ def quality_label(num_clusters: Column, num_noise: Column, total: Column, score:
     )
 
 
-def clustering_statistics(points: DataFrame, metric: str = "auto") -> DataFrame:
+def clustering_statistics(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """One row: counts, silhouette with its metric, and the quality label."""
     counts = cluster_counts(points)
     score = silhouette_by(points, metric).first()
@@ -305,7 +299,7 @@ def count_score(points: DataFrame) -> DataFrame:
     )
 
 
-def composite_score(points: DataFrame, metric: str = "auto") -> DataFrame:
+def composite_score(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """One row with the parts and their weighted ``score``; 0 below two points or clusters."""
     score = silhouette_by(points, metric).first()
     counts = cluster_counts(points)

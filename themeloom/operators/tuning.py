@@ -53,7 +53,7 @@ def grid_trials(spark: SparkSession, **values: list) -> DataFrame:
     return out.withColumn("trial_id", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def run_trials(vectors: DataFrame, trials: DataFrame, metric: str = "auto") -> DataFrame:
+def run_trials(vectors: DataFrame, trials: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Trials with their ``score``; a failing trial scores -1.
 
     Trials are few, so the driver walks them; each is a set of distributed jobs. Trials that

@@ -27,7 +27,7 @@ class Options:
     dim: int = embed.DIM
     samples: int = 10
     repair: bool = True
-    silhouette_metric: str = "auto"
+    silhouette_metric: str = "euclidean"
     model_folder: str | None = None
     force_retrain: bool = False
     tuning: DataFrame | None = field(default=None, compare=False)

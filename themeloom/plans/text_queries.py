@@ -394,8 +394,8 @@ def _documents(spark, sf_dir):
     )
 
 
-_PROFILE_SQL = f"""SELECT count(*) AS total_rows, 3::BIGINT AS total_columns,
-  'row_id,lang,text' AS column_names, 'text' AS summary_column, count(text) AS summary_count,
+_PROFILE_SQL = f"""SELECT count(*) AS total_rows, 2::BIGINT AS total_columns,
+  'lang,text' AS column_names, 'text' AS summary_column, count(text) AS summary_count,
   count(*) - count(text) AS empty_summaries, 0::BIGINT AS file_size FROM {_HOLES_SQL}"""
 
 
@@ -407,9 +407,7 @@ def _profile(spark, sf_dir):
 
 @query(
     "missing_by_column",
-    f"""SELECT 'row_id' AS column_name, 'bigint' AS data_type, count(*) - count(row_id) AS missing
-      FROM {_HOLES_SQL} UNION ALL
-      SELECT 'lang', 'string', count(*) - count(lang) FROM {_HOLES_SQL} UNION ALL
+    f"""SELECT 'lang' AS column_name, 'string' AS data_type, count(*) - count(lang) AS missing FROM {_HOLES_SQL} UNION ALL
       SELECT 'text', 'string', count(*) - count(text) FROM {_HOLES_SQL}""",
 )
 def _missing(spark, sf_dir):
@@ -420,7 +418,7 @@ def _missing(spark, sf_dir):
     "validate",
     """SELECT true AS is_valid, CASE WHEN 1 - n / c > 0.5 THEN 'High missing data ratio: ' ||
       printf('%.1f', (c - n) / c * 100) || '%' ELSE '' END AS warnings, '' AS errors,
-      round(n / c, 6) AS completeness, c AS row_count, n AS summary_count, 2::BIGINT AS column_count
+      round(n / c, 6) AS completeness, c AS row_count, n AS summary_count, 1::BIGINT AS column_count
       FROM (SELECT count(*) AS c, count(CASE WHEN lang = 'en' THEN text END) AS n FROM documents)""",
 )
 def _validate(spark, sf_dir):

@@ -260,7 +260,7 @@ def _two_files(spark, sf_dir):
 
 @query(
     "compare_files_shared",
-    f"""WITH {_FILES} SELECT cluster_id, match_id, round(s, 6) + 0.0 AS similarity FROM best
+    f"""WITH {_FILES} SELECT cluster_id::BIGINT AS cluster_id, match_id::BIGINT AS match_id, round(s, 6) + 0.0 AS similarity FROM best
       WHERE s >= 0.2""",
 )
 def _shared(spark, sf_dir):

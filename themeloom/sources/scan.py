@@ -56,7 +56,12 @@ def read_csv(
         check_suffix(p)
         if not path_exists(spark, p):
             raise FileNotFoundError(f"File not found: {p}")
-    return with_row_id(normalize_na(_reader(spark, schema).csv(paths)))
+    # one scan a path: within one scan files are ordered by size, not as they are listed
+    whole = None
+    for p in paths:
+        part = _reader(spark, schema).csv(p)
+        whole = part if whole is None else whole.unionByName(part)
+    return with_row_id(normalize_na(whole))
 
 
 def require_rows(df: DataFrame) -> DataFrame:
@@ -118,8 +123,7 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         df, column = load(spark, path)
         part = df.select(
             F.lit(PurePosixPath(path).name).alias("file_name"),
-            "row_id",
             F.col(f"`{column}`").cast("string").alias("text"),
         )
         out = part if out is None else out.unionByName(part)
-    return out
+    return with_row_id(out).select("file_name", "row_id", "text")
