@@ -9,7 +9,7 @@ from themeloom.functions import fixed
 from themeloom.functions import text as tx
 from themeloom.runtime import cut, sized_broadcast
 
-#: Rough bytes of a (token, few doubles) row in a broadcast hash table.
+#: Rough bytes of a (token, language, two doubles) row in a broadcast hash table.
 TOKEN_ROW_BYTES = 160
 
 
@@ -17,74 +17,69 @@ TOKEN_ROW_BYTES = 160
 
 
 def train_language_model(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(token, scores map lang -> log probability) with add-one smoothing.
+    """(token, lang, gain, cost): scores with add-one smoothing, in long form.
 
-    The row with a NULL token holds the score of an unseen token.
+    ``gain`` is the log of the token's count in the language plus one; ``cost``, charged for
+    every token of a text, the log of the language's tokens plus the vocabulary. Each language
+    also has a row with a NULL token and no gain. Any number of languages will do.
     """
-    counts = (
-        df.select(F.col(lang).alias("lang"), F.explode(tx.letter_runs(F.col(text))).alias("token"))
+    counts = cut(
+        df.where(F.col(lang).isNotNull())
+        .select(F.col(lang).alias("lang"), F.explode(tx.letter_runs(F.col(text))).alias("token"))
         .groupBy("lang", "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = cut(counts)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    vocabulary = counts.agg(F.countDistinct("token").alias("v")).first()["v"]
-    found = totals.orderBy("lang").collect()  # one row a language
-    weights = []
-    for r in found:
-        n = F.coalesce(F.sum(F.when(F.col("lang") == r["lang"], F.col("n"))), F.lit(0))
-        weights += [F.lit(r["lang"]), F.log((n + 1) / F.lit(float(r["total"] + vocabulary)))]
-    if not weights:
+    if counts.isEmpty():
         raise ValueError("no labelled text to learn from")
-    unseen = []
-    for r in found:
-        unseen += [F.lit(r["lang"]), F.log(F.lit(1.0) / F.lit(float(r["total"] + vocabulary)))]
-    seen = counts.groupBy("token").agg(F.create_map(*weights).alias("scores"))
-    return seen.unionByName(
-        totals.limit(1).select(
-            F.lit(None).cast("string").alias("token"), F.create_map(*unseen).alias("scores")
-        )
-    )
+    vocabulary = counts.agg(F.countDistinct("token").alias("v")).scalar()
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    costs = cut(totals.select("lang", F.log(F.col("total") + vocabulary).alias("cost")))
+    seen = counts.join(costs, "lang").select("token", "lang", F.log1p("n").alias("gain"), "cost")
+    bare = costs.select(F.lit(None).cast("string").alias("token"), "lang", F.lit(0.0).alias("gain"), "cost")
+    return cut(seen.unionByName(bare))
 
 
 def detect_language(
     df: DataFrame, model: DataFrame, text: str = "text", row_id: str = "row_id", default: str = "en"
 ) -> DataFrame:
-    """(row_id, language): highest summed token score, ``default`` without tokens.
+    """(row_id, language): highest summed token score, ``default`` without tokens; ties to the
+    first language by name.
 
-    Tokens of a text meet the broadcast model where they are read and fold to one row per
-    text before the shuffle. A model too big to broadcast is joined by token instead.
+    Gains fold to one row per text and language that knows one of its tokens. Among the
+    languages that know none, the cheapest is the best, so one language stands for all of them.
+    Tokens meet the model where they are read while it is small enough to broadcast, else they
+    are joined by token.
     """
-    fallback = model.where("token IS NULL").select("scores").first()["scores"]
-    langs = sorted(fallback)
-    known = model.where("token IS NOT NULL").select(
-        "token", *[F.col("scores")[g].alias(f"_s{i}") for i, g in enumerate(langs)]
+    known = sized_broadcast(model.where("token IS NOT NULL"), TOKEN_ROW_BYTES)
+    cheapest = (
+        model.where("token IS NULL").agg(F.min(F.struct("cost", "lang")).alias("least")).scalar()
     )
-    known = sized_broadcast(known, TOKEN_ROW_BYTES)
-    tokens = df.select(
-        F.col(row_id).alias("row_id"), F.explode_outer(tx.letter_runs(F.col(text))).alias("token")
+    runs = df.select(F.col(row_id).alias("row_id"), tx.letter_runs(F.col(text)).alias("_runs"))
+    tokens = runs.select(
+        "row_id",
+        F.coalesce(F.size("_runs"), F.lit(0)).alias("_n"),
+        F.explode_outer("_runs").alias("token"),
     )
     sums = (
         tokens.join(known, "token", "left")
-        .groupBy("row_id")
+        .groupBy("row_id", "lang")
+        .agg(F.max("_n").alias("_n"), F.sum("gain").alias("gain"), F.max("cost").alias("cost"))
+    )
+    loss = F.struct((F.col("_n") * F.col("cost") - F.col("gain")).alias("loss"), F.col("lang"))
+    best = (
+        sums.groupBy("row_id")
         .agg(
-            F.count("token").alias("_n"),
-            *[
-                F.sum(F.coalesce(F.col(f"_s{i}"), F.lit(fallback[g]))).alias(f"_s{i}")
-                for i, g in enumerate(langs)
-            ],
+            F.max("_n").alias("_n"),
+            F.min(F.when(F.col("lang").isNotNull(), loss)).alias("_best"),
         )
+        .withColumn("_bare", cheapest)
     )
-    best = F.array_max(
-        F.array(
-            *[
-                F.struct(F.col(f"_s{i}").alias("s"), F.lit(-i).alias("o"), F.lit(g).alias("lang"))
-                for i, g in enumerate(langs)
-            ]
-        )
-    )["lang"]
-    return sums.select(
-        "row_id", F.when(F.col("_n") > 0, best).otherwise(F.lit(default)).alias("language")
+    rest = F.struct((F.col("_n") * F.col("_bare.cost")).alias("loss"), F.col("_bare.lang").alias("lang"))
+    return best.select(
+        "row_id",
+        F.when(F.col("_n") > 0, F.least(F.coalesce("_best", rest), rest)["lang"])
+        .otherwise(F.lit(default))
+        .alias("language"),
     )
 
 

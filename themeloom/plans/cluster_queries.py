@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from themeloom.operators import density, tuning
+from themeloom.operators import density, neighbors, tuning
 from themeloom.operators.reduce import fit_reducer, reduce
 from themeloom.plans import analysis
 from themeloom.plans import tables as t
 from themeloom.plans.vector_queries import dist
+from themeloom.runtime import cut, tidy
 
 RUN, SQL = {}, {}
 
@@ -45,6 +46,80 @@ def _eps(spark, sf_dir):
     return density.eps_components(t.flat_points(spark, sf_dir), EPS, 3, 5)
 
 
+_REACH = f"""p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) AS i, row_id, point
+    FROM {t.POINTS}),
+  d AS MATERIALIZED (SELECT a.i, b.i AS j, {dist('a.point', 'b.point')} AS d FROM p a, p b),
+  core AS MATERIALIZED (SELECT i, list_sort(list(d))[3] AS core FROM d WHERE i <> j GROUP BY i)"""
+
+
+def _tree(spark, sf_dir, **options):
+    return density.spanning_tree(t.points(spark, sf_dir), 3, **options)
+
+
+@query(
+    "core_distances",
+    f"WITH {_REACH} SELECT row_id, round(core, 6) + 0.0 AS core FROM p JOIN core USING (i)",
+)
+def _core(spark, sf_dir):
+    """Distance to the third neighbour of every vector, on all coordinates."""
+    points = t.points(spark, sf_dir)
+    folded = cut(density.fold_copies(points))
+    held = folded.select(F.col("pid").alias("row_id"), "point")
+    near = neighbors.knn_join(held, held, 3, True, small_bytes=0, cell_rows=64)
+    nodes = density.core_distances(folded, near, 3)
+    return nodes.select(F.col("pid").alias("row_id"), tidy(F.col("core")).alias("core"))
+
+
+def _tree_sql(rounds=11, jumps=11):
+    """Boruvka rounds written out: each takes every group's lightest edge and renames the groups
+    by following these edges to the smaller end of the pair that chose each other."""
+    parts = [
+        _REACH,
+        """w AS MATERIALIZED (SELECT d.i, d.j, greatest(d.d, x.core, y.core) AS w FROM d
+          JOIN core x ON x.i = d.i JOIN core y ON y.i = d.j WHERE d.i <> d.j)""",
+        "l0 AS MATERIALIZED (SELECT i, i AS c FROM p)",
+    ]
+    for r in range(rounds):
+        parts += [
+            f"""n{r} AS MATERIALIZED (SELECT a.c, min(struct_pack(w := w.w, lo := least(w.i, w.j),
+              hi := greatest(w.i, w.j), o := b.c)) AS e FROM w JOIN l{r} a ON a.i = w.i
+              JOIN l{r} b ON b.i = w.j WHERE a.c <> b.c GROUP BY a.c)""",
+            f"""j{r}_0 AS MATERIALIZED (SELECT x.c, CASE WHEN x.c < x.e.o AND y.e.o = x.c THEN x.c
+              ELSE x.e.o END AS t FROM n{r} x JOIN n{r} y ON y.c = x.e.o)""",
+        ]
+        for k in range(jumps):
+            parts.append(
+                f"""j{r}_{k + 1} AS MATERIALIZED (SELECT x.c, y.t FROM j{r}_{k} x
+                  JOIN j{r}_{k} y ON y.c = x.t)"""
+            )
+        parts.append(
+            f"""l{r + 1} AS MATERIALIZED (SELECT l.i, coalesce(j.t, l.c) AS c FROM l{r} l
+              LEFT JOIN j{r}_{jumps} j ON j.c = l.c)"""
+        )
+    taken = " UNION ".join(f"SELECT e.w, e.lo, e.hi FROM n{r}" for r in range(rounds))
+    return f"""WITH {', '.join(parts)} SELECT round(w, 6) + 0.0 AS weight, count(*) AS edges
+      FROM ({taken}) GROUP BY ALL"""
+
+
+_TREE = _tree_sql()
+
+
+@query("spanning_tree", _TREE)
+def _spanning_tree(spark, sf_dir):
+    """Edge weights of the mutual reachability tree of the vectors, on all coordinates."""
+    return _weights(_tree(spark, sf_dir)[1])
+
+
+@query("spanning_tree_rounds", _TREE)
+def _spanning_tree_rounds(spark, sf_dir):
+    """The same by the joins and cells that larger tables take."""
+    return _weights(_tree(spark, sf_dir, cell_rows=128, task_rows=0, small_bytes=0)[1])
+
+
+def _weights(edges):
+    return edges.groupBy(tidy(F.col("w")).alias("weight")).agg(F.count(F.lit(1)).alias("edges"))
+
+
 @query("density_cluster")
 def _density(spark, sf_dir):
     points = t.flat_points(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from themeloom.functions import fixed, vector
-from themeloom.operators import clusters, drift, embed, neighbors, quality, tuning
+from themeloom.operators import clusters, drift, embed, graph, neighbors, quality, rows, tuning
 from themeloom.plans import sqltext as q
 from themeloom.plans import tables as t
 from themeloom.runtime import tidy
@@ -163,9 +163,67 @@ def _ann(spark, sf_dir):
     return neighbors.search_index(index, model, list(mean), 5, probes=4)
 
 
+@query("ann_all_cells", SQL["top_k"])
+def _ann_all(spark, sf_dir):
+    """Every cell probed: the index must answer as the exact search does."""
+    e = t.read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "row_id")
+    model = neighbors.fit_cells(e, 8)
+    mean = embed.mean_vector(e).first()["mean"]
+    found = neighbors.search_index(neighbors.place_in_cells(e, model), model, list(mean), 5, probes=8)
+    return _tidied(found, "similarity")
+
+
+@query("knn_graph_cells", SQL["knn_graph"])
+def _knn_cells(spark, sf_dir):
+    """The pivot join, which larger tables take."""
+    found = neighbors.knn_graph(t.points(spark, sf_dir), 5, small_bytes=0, cell_rows=64)
+    return _tidied(found.withColumn("rank", F.col("rank").cast("bigint")), "distance")
+
+
+_NEAREST = f"""p AS MATERIALIZED (SELECT * FROM {t.POINTS}),
+  r AS MATERIALIZED (SELECT a.row_id AS a, arg_min(b.row_id, struct_pack(d := {dist('a.point', 'b.point')},
+    i := b.row_id)) AS b FROM p a, p b WHERE a.row_id <> b.row_id GROUP BY a.row_id)"""
+_COMPONENTS = f"""WITH RECURSIVE {_NEAREST},
+  link AS MATERIALIZED (SELECT a, b FROM r UNION SELECT b, a FROM r),
+  walk AS (SELECT a AS node, a AS comp FROM link UNION
+    SELECT link.b, walk.comp FROM walk JOIN link ON link.a = walk.node)
+  SELECT node, min(comp) AS comp FROM walk GROUP BY node"""
+
+
+def _nearest_pairs(spark, sf_dir):
+    found = neighbors.knn_graph(t.points(spark, sf_dir), 1, small_bytes=0, cell_rows=64)
+    return found.select(F.col("row_id").alias("a"), F.col("neighbor_id").alias("b"))
+
+
+@query("components", _COMPONENTS)
+def _components(spark, sf_dir):
+    """Groups of vectors that nearest-neighbour links hold together."""
+    return graph.connected_components(_nearest_pairs(spark, sf_dir))
+
+
+@query("components_stars", _COMPONENTS)
+def _components_stars(spark, sf_dir):
+    """The same by star contraction, which longer edge lists take."""
+    return graph.connected_components(_nearest_pairs(spark, sf_dir), task_rows=0)
+
+
 # ------------------------------------------------------------------ clusters
 
 
+@query(
+    "cluster_result",
+    f"""SELECT row_id, cluster_id, num_clusters, num_noise_points, total_points FROM {t.POINTS},
+      (SELECT count(DISTINCT CASE WHEN cluster_id <> -1 THEN cluster_id END) AS num_clusters,
+      count(*) FILTER (cluster_id = -1) AS num_noise_points, count(*) AS total_points
+      FROM {t.POINTS})""",
+)
+def _cluster_result(spark, sf_dir):
+    p = t.points(spark, sf_dir)
+    return rows.cluster_result(p, clusters.cluster_counts(p)).select(
+        "row_id", "cluster_id", "statistics.*"
+    )
+
+
 @query("centroids", _flat_sql(CENTERS, ["cluster_id"], "v"))
 def _centroids(spark, sf_dir):
     return _flat_vector(clusters.centroids(t.points(spark, sf_dir)), ["cluster_id"], "centroid")

@@ -19,7 +19,17 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    _flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Values come back from ``scan.read_csv`` as they were, outer blanks included; only
+    missing-value words turn into NULL there."""
+    (
+        _flat(df)
+        .write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_processed(records: DataFrame, folder: str) -> None:
