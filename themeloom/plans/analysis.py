@@ -10,7 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
-from themeloom.operators import clusters, density, drift, embed, quality, rows, themes, tuning
+from themeloom.operators import (
+    clusters,
+    compare,
+    density,
+    drift,
+    embed,
+    lexical,
+    profile,
+    quality,
+    rows,
+    themes,
+    tuning,
+)
 from themeloom.operators.reduce import fit_reducer, reduce
 from themeloom.runtime import cut
 from themeloom.sources import bundle, registry, scan
@@ -48,6 +60,18 @@ class Analysis:
     silhouette_metric: str
     trials: DataFrame | None = None
     reused_model: bool = False
+    texts: DataFrame | None = None
+
+    @cached_property
+    def processed(self) -> DataFrame:
+        """The full record of every text: cleaned text, sentences, lemmas, key phrases, language
+        and counts; worked out when first asked for."""
+        return cut(lexical.preprocess(self.texts))
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """Totals and means of the processed records."""
+        return lexical.corpus_statistics(self.processed)
 
     @cached_property
     def statistics(self) -> DataFrame:
@@ -164,6 +188,7 @@ def analyze(
         silhouette_metric=options.silhouette_metric,
         trials=trials,
         reused_model=reused,
+        texts=rows.fill_empty(df, column),
     )
 
 
@@ -199,6 +224,54 @@ def file_vectors(
     return cut(embed_records(cut(clean_records(df, name)), dim, provider))
 
 
+def profile_file(
+    spark: SparkSession, path: str, column: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(facts, validation) of a file, its size included; an empty file is reported, not refused."""
+    df = cut(scan.read_csv(spark, path))
+    name = column or profile.detect_text_column(df)
+    facts = cut(profile.profile(df, name, scan.file_bytes(spark, path)))
+    return facts, profile.validate(facts)
+
+
+def compare_file_themes(
+    spark: SparkSession,
+    left: str,
+    right: str,
+    options: Options = Options(),
+    threshold: float = 0.8,
+    provider: embed.Provider | None = None,
+) -> DataFrame:
+    """One row (shared_themes, unique_themes) for two files.
+
+    Each file is clustered by itself; themes are compared by the mean vectors of their texts,
+    for which one set of word weights serves both files.
+    """
+    sides = []
+    for path in (left, right):
+        df, name = _input(spark, path, None)
+        sides.append(clean_records(df, name, options.repair))
+    both = [s.withColumn("side", F.lit(i)) for i, s in enumerate(sides)]
+    records = cut(both[0].unionByName(both[1]))
+    if provider:
+        vectors = embed.embed_with_provider(records, provider, options.dim)
+    else:
+        vectors = embed.embed_hashing(records, embed.fit_hashing(records, "text", options.dim))
+    vectors = cut(vectors.select("side", "row_id", "embedding"))
+    themes_of = []
+    for i in range(2):
+        mine = vectors.where(F.col("side") == i).drop("side")
+        points = train(mine, options)[1].where(F.col("cluster_id") != -1)
+        themes_of.append(
+            cut(
+                embed.mean_vector(
+                    mine.join(points.select("row_id", "cluster_id"), "row_id"), by="cluster_id"
+                ).select("cluster_id", F.col("mean").alias("centroid"))
+            )
+        )
+    return compare.compare_files(*themes_of, options.dim, threshold)
+
+
 def tune_file(spark: SparkSession, path: str, trials: DataFrame, **how) -> DataFrame:
     return tuning.run_trials(file_vectors(spark, path, **how), trials)
 

@@ -59,6 +59,25 @@ def _csv(spark, sf_dir):
     return scan.read_csv(spark, path, d.schema).drop("row_id")
 
 
+@query(
+    "profile_file",
+    f"""SELECT count(*) AS total_rows, 3::BIGINT AS total_columns, 'doc_id,text,n_chars' AS column_names,
+      'text' AS summary_column, count(*) FILTER (text NOT IN ({_NA})) AS summary_count,
+      count(*) - count(*) FILTER (text NOT IN ({_NA})) AS empty_summaries, true AS measured,
+      true AS is_valid FROM documents""",
+)
+def _profile_file(spark, sf_dir):
+    """Facts and validity of a CSV file."""
+    path = _folder(spark, "profile") + ".csv"
+    sinks.write_csv(t.read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), path)
+    facts, validation = analysis.profile_file(spark, path)
+    return facts.select(
+        "*",
+        (F.col("file_size") > F.col("total_rows")).alias("measured"),
+        validation.select("is_valid").scalar().alias("is_valid"),
+    ).drop("file_size")
+
+
 @query(
     "sink_clustering",
     "SELECT point[1] AS x, point[2] AS y, cluster_id::BIGINT AS cluster "

@@ -34,6 +34,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file, or of all files of a folder."""
+    p, fs = hadoop_path(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def _reader(spark: SparkSession, schema: T.StructType | None):
     reader = (
         spark.read.option("header", True)
