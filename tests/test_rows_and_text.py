@@ -92,7 +92,9 @@ def test_validation_and_summary(spark):
     facts = profile.profile(d, "summary")
     r = profile.validate(facts).first()
     assert not r["is_valid"] and r["errors"] == ["File contains no data rows"]
-    assert "Total Rows: 0" in profile.data_summary(facts.first(), r, "f.csv")
+    lines = [x.value for x in profile.data_summary(facts, profile.validate(facts), "f.csv").collect()]
+    assert lines[0] == "file.name = f.csv" and "file.rows = 0" in lines
+    assert lines[-1] == "checks.errors = File contains no data rows"
 
 
 def test_dataset_collision(spark):
@@ -143,10 +145,12 @@ def test_responders(spark):
     assert t["name"] == "Unknown Theme"
     assert t["description"] == "Description not available for Unknown Theme"
     assert t["data_quality_issues"] == 0 and t["cluster_size"] == 7
-    local = themes.theme_table(smp, names, sizes).first()
+    table = themes.theme_table(smp, names, sizes)
+    local = table.first()
     assert local["name"] == "x y" and local["data_quality_issues"] == 1
     assert themes.compare_themes(local, local, broken).startswith("Comparison not available")
-    assert "Theme 0: x y" in themes.theme_summary([local])
+    lines = [r.value for r in themes.theme_summary(table).collect()]
+    assert lines[0] == "themes.count = 1" and lines[2].startswith("theme 0: named x y, about ")
 
 
 @pytest.mark.parametrize("n", [0, 3])

@@ -83,7 +83,9 @@ def test_analysis_bundle_and_streams(spark, csv_file, tmp_path):
 
     info = bundle.info(spark, model).first()
     assert info["n_training_samples"] == 60 and info["n_clusters"] == len(found)
-    assert "Training Samples: 60" in bundle.export_info(spark, model, str(tmp_path / "info"))
+    lines = [r.value for r in bundle.export_info(spark, model, str(tmp_path / "info")).collect()]
+    assert "model.training rows = 60" in lines
+    assert [r.value for r in spark.read.text(str(tmp_path / "info")).collect()] == lines
     points, predicted = analysis.predict_file(spark, csv_file, model)
     assert points.count() == 60 and predicted.first()["total_points"] == 60
     # the training rows themselves stay within their clusters' radii

@@ -56,9 +56,10 @@ def test_scores_of_known_sizes(spark):
     assert (r["noise_penalty"], r["cluster_count_score"]) == (pytest.approx(0.8), 0.125)
     counts = clusters.cluster_counts(p).first()
     assert tuple(counts) == (3, 20, 100)
-    stats = quality.clustering_statistics(p).first()
-    report = clusters.clustering_report(stats, clusters.cluster_sizes(p).collect())
-    assert "Noise Points: 20 (20.0%)" in report and "Cluster 2: 20 points (20.0%)" in report
+    stats = quality.clustering_statistics(p)
+    lines = [r.value for r in clusters.report_lines(stats, clusters.cluster_sizes(p)).collect()]
+    assert lines[2:4] == ["clustering.noise = 20", "clustering.noise share = 20.0%"]
+    assert lines[-1] == "cluster 2: points 20, share 20.0%"
 
 
 def test_nearest_cluster(spark):
@@ -92,6 +93,9 @@ def test_trials(spark):
     assert set(tuning.best_parameters(scored)) == {
         "n_components", "min_cluster_size", "min_samples", "epsilon",
     }
-    assert "Best Score: 0.1900" in tuning.optimization_report(scored)
+    lines = [r.value for r in tuning.optimization_report(scored).collect()]
+    assert lines[0] == "trials.count = 20" and "best.score = 0.1900" in lines
+    empty = [r.value for r in tuning.optimization_report(scored.limit(0)).collect()]
+    assert empty[:2] == ["trials.count = 0", "trials.mean = -"] and len(empty) == 5
     with pytest.raises(ValueError):
         tuning.best_parameters(scored.limit(0))

@@ -5,10 +5,11 @@ Inputs carry (row_id, point array<double>, cluster_id int); cluster_id -1 is noi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import vector
+from themeloom.operators import report
 from themeloom.operators.embed import mean_of
 from themeloom.operators.neighbors import with_nearest
 from themeloom.runtime import sized_broadcast
@@ -178,61 +179,18 @@ def model_statistics(training: DataFrame, centers: DataFrame) -> DataFrame:
     ).select(n.alias("n_training_samples"), "n_clusters", "cluster_ids")
 
 
-def clustering_report(stats: Row, sizes: list[Row]) -> str:
-    """Readable report of one statistics row and the sizes of the listed clusters."""
-    total = stats["total_points"]
-    pct = lambda n: 100.0 * n / total if total else 0.0
-    lines = [
-        "Theme Clustering Report",
-        "======================",
-        "",
-        f"Total Points: {total}",
-        f"Number of Clusters: {stats['num_clusters']}",
-        f"Noise Points: {stats['num_noise_points']} ({pct(stats['num_noise_points']):.1f}%)",
-        f"Silhouette Score: {stats['silhouette_score']:.3f}",
-        f"Clustering Quality: {stats['clustering_quality']}",
-        "",
-        "Cluster Sizes:",
-    ]
-    for r in sorted(sizes, key=lambda r: r["cluster_id"]):
-        lines.append(f"  Cluster {r['cluster_id']}: {r['size']} points ({pct(r['size']):.1f}%)")
-    return "\n".join(lines) + "\n"
-
-
 def report_lines(stats: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The same report as ordered lines, so that it can be written by the executors."""
+    """Report lines of one statistics row and the sizes of the clusters."""
     total = stats.select("total_points").scalar()
-    body = sizes.select(
-        (F.lit(100) + F.col("cluster_id")).cast("bigint").alias("line"),
-        F.when(
-            total > 0,
-            F.format_string(
-                "  Cluster %d: %d points (%.1f%%)",
-                F.col("cluster_id"),
-                F.col("size"),
-                F.col("size") * 100.0 / total,
-            ),
-        ).alias("value"),
+    head = {
+        "points": F.col("total_points"),
+        "clusters": F.col("num_clusters"),
+        "noise": F.col("num_noise_points"),
+        "noise share": report.percent(F.col("num_noise_points"), F.col("total_points")),
+        "silhouette": report.number(F.col("silhouette_score")),
+        "quality": F.col("clustering_quality"),
+    }
+    body = {"points": F.col("size"), "share": report.percent(F.col("size"), total)}
+    return report.ordered(
+        report.facts(0, "clustering", stats, head), report.items(1, "cluster", sizes, "cluster_id", body)
     )
-    head = stats.select(
-        F.posexplode(
-            F.array(
-                F.lit("Theme Clustering Report"),
-                F.lit("======================"),
-                F.format_string("Total Points: %d", "total_points"),
-                F.format_string("Number of Clusters: %d", "num_clusters"),
-                F.format_string(
-                    "Noise Points: %d (%.1f%%)",
-                    F.col("num_noise_points"),
-                    F.when(
-                        F.col("total_points") > 0,
-                        F.col("num_noise_points") * 100.0 / F.col("total_points"),
-                    ).otherwise(F.lit(0.0)),
-                ),
-                F.format_string("Silhouette Score: %.3f", "silhouette_score"),
-                F.format_string("Clustering Quality: %s", "clustering_quality"),
-                F.lit("Cluster Sizes:"),
-            )
-        ).alias("line", "value")
-    ).select(F.col("line").cast("bigint"), "value")
-    return head.unionByName(body).orderBy("line")

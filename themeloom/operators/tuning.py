@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions import fixed
-from themeloom.operators import density, quality
+from themeloom.operators import density, quality, report
 from themeloom.operators.reduce import fit_reducer, reduce
 from themeloom.runtime import cut
 
@@ -104,27 +104,14 @@ def best_parameters(scored: DataFrame) -> dict:
     return {k: row[k] for k in keys if k in row}
 
 
-def optimization_report(scored: DataFrame) -> str:
-    stats = trial_statistics(scored).first()
-    if not stats["n_trials"]:
-        return "No optimization results available"
-    best = best_trial(scored).first().asDict()
-    lines = [
-        "Hyperparameter Optimization Report",
-        "================================",
-        "",
-        "Optimization Summary:",
-        f"- Number of Trials: {stats['n_trials']}",
-        f"- Best Score: {best['score']:.4f}",
-        "- Optimization Direction: Maximize",
-        "",
-        "Best Parameters:",
-        *[f"- {k}: {v}" for k, v in best.items() if k not in ("score", "trial_id")],
-        "",
-        "Trial Statistics:",
-        f"- Mean Score: {stats['mean_score']:.4f}",
-        f"- Std Score: {(stats['std_score'] or 0.0):.4f}",
-        f"- Min Score: {stats['min_score']:.4f}",
-        f"- Max Score: {stats['max_score']:.4f}",
-    ]
-    return "\n".join(lines) + "\n"
+def optimization_report(scored: DataFrame) -> DataFrame:
+    """Report lines of scored trials: their statistics and the best one's parameters."""
+    scores = {
+        name: report.number(F.col(f"{name}_score"), 4) for name in ("mean", "std", "min", "max")
+    }
+    best = best_trial(scored)
+    chosen = {c: F.col(c) for c in best.columns if c not in ("score", "trial_id")}
+    return report.ordered(
+        report.facts(0, "trials", trial_statistics(scored), {"count": F.col("n_trials"), **scores}),
+        report.facts(1, "best", best, {"score": report.number(F.col("score"), 4), **chosen}),
+    )

@@ -437,6 +437,21 @@ def _validate(spark, sf_dir):
     )
 
 
+@query(
+    "data_summary",
+    """WITH c AS (SELECT count(*) AS n, count(text) AS k FROM documents),
+      v AS (SELECT unnest(['name = documents.parquet', 'bytes = 0', 'rows = ' || n, 'columns = 1',
+        'text column = text', 'texts = ' || k, 'empty texts = ' || (n - k)]) AS value,
+        unnest(range(7)) AS line FROM c)
+      SELECT 0 AS part, line, 'file.' || value AS value FROM v UNION ALL
+      SELECT 1, unnest(range(4)), 'checks.' || unnest(['valid = true',
+        printf('complete = %.1f%%', k / n * 100), 'warnings = ', 'errors = ']) FROM c""",
+)
+def _data_summary(spark, sf_dir):
+    facts = profile.profile(t.texts(spark, sf_dir).select("row_id", "text"), "text")
+    return profile.data_summary(facts, profile.validate(facts), "documents.parquet")
+
+
 @query(
     "longest_text_column",
     " UNION ALL ".join(

@@ -102,6 +102,18 @@ def _themes(spark, sf_dir):
     )
 
 
+@query(
+    "theme_summary",
+    f"""WITH {_THEMES} SELECT 0 AS part, 0::BIGINT AS line, 'themes.count = ' || count(*) AS value FROM th
+      UNION ALL SELECT 0, 1, 'themes.issues = ' || coalesce(sum(data_quality_issues), 0)::BIGINT FROM th
+      UNION ALL SELECT 1, cluster_id, 'theme ' || cluster_id || ': named ' || name || ', about ' || description
+        || ', samples ' || sample_count || ', issues ' || data_quality_issues
+        || printf(', issue share %.1f%%', data_quality_percentage) FROM th""",
+)
+def _theme_summary(spark, sf_dir):
+    return themes.theme_summary(theme_frame(spark, sf_dir))
+
+
 @query(
     "theme_list",
     f"""WITH {_THEMES} SELECT cluster_id AS theme_id, name AS theme_name, description, sample_count,

@@ -405,16 +405,14 @@ def _model_stats(spark, sf_dir):
 @query(
     "cluster_report",
     f"""WITH {_SIL}, c AS ({_COUNTS}), k AS (SELECT c.*, s, {_LABEL} AS label FROM c, sil)
-      SELECT 0::BIGINT AS line, 'Theme Clustering Report' AS value UNION ALL
-      SELECT 1, '======================' UNION ALL
-      SELECT 2, 'Total Points: ' || total_points FROM k UNION ALL
-      SELECT 3, 'Number of Clusters: ' || num_clusters FROM k UNION ALL
-      SELECT 4, printf('Noise Points: %d (%.1f%%)', num_noise_points,
-        num_noise_points * 100.0 / total_points) FROM k UNION ALL
-      SELECT 5, printf('Silhouette Score: %.3f', s) FROM k UNION ALL
-      SELECT 6, 'Clustering Quality: ' || label FROM k UNION ALL
-      SELECT 7, 'Cluster Sizes:' UNION ALL
-      SELECT 100 + cluster_id, printf('  Cluster %d: %d points (%.1f%%)', cluster_id, count(*),
+      SELECT 0 AS part, 0::BIGINT AS line, 'clustering.points = ' || total_points AS value FROM k UNION ALL
+      SELECT 0, 1, 'clustering.clusters = ' || num_clusters FROM k UNION ALL
+      SELECT 0, 2, 'clustering.noise = ' || num_noise_points FROM k UNION ALL
+      SELECT 0, 3, printf('clustering.noise share = %.1f%%', num_noise_points * 100.0 / total_points)
+        FROM k UNION ALL
+      SELECT 0, 4, printf('clustering.silhouette = %.3f', s) FROM k UNION ALL
+      SELECT 0, 5, 'clustering.quality = ' || label FROM k UNION ALL
+      SELECT 1, cluster_id, printf('cluster %d: points %d, share %.1f%%', cluster_id, count(*),
         count(*) * 100.0 / (SELECT count(*) FROM {t.POINTS})) FROM {t.POINTS}
         WHERE cluster_id <> -1 GROUP BY cluster_id""",
 )
@@ -507,6 +505,21 @@ def _trial_stats(spark, sf_dir):
     return _tidied(s, "mean_score", "std_score", "min_score", "max_score")
 
 
+@query(
+    "trials_report",
+    f"""WITH s AS (SELECT count(*) AS n, avg(score) AS a, stddev_samp(score) AS d, min(score) AS lo,
+        max(score) AS hi FROM {_TRIALS}),
+      b AS (SELECT * FROM {_TRIALS} ORDER BY score DESC, trial_id LIMIT 1)
+      SELECT 0 AS part, unnest(range(5)) AS line, 'trials.' || unnest(['count = ' || n,
+        printf('mean = %.4f', a::DOUBLE), printf('std = %.4f', d::DOUBLE), printf('min = %.4f', lo::DOUBLE),
+        printf('max = %.4f', hi::DOUBLE)]) AS value FROM s UNION ALL
+      SELECT 1, unnest(range(2)), 'best.' || unnest([printf('score = %.4f', score::DOUBLE),
+        'priority = ' || priority]) FROM b""",
+)
+def _trials_report(spark, sf_dir):
+    return tuning.optimization_report(_order_trials(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ drift
 
 OLD = "(SELECT * FROM embeddings WHERE label < 5)"

@@ -61,5 +61,10 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Ordered report lines (part, line, value) as text files in name order."""
+    lines.orderBy("part", "line").select("value").write.mode("overwrite").text(path)
+
+
 def write_report(spark: SparkSession, text: str, folder: str) -> None:
     write_text(spark, text, f"{folder}/analysis_report.txt")
