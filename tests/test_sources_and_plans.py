@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from themeloom import runtime
 from themeloom.operators import embed
 from themeloom.plans import analysis
 from themeloom.sources import bundle, registry, scan, sinks
@@ -146,3 +147,17 @@ def test_files_are_numbered_as_listed(spark, tmp_path):
     ids = scan.read_files(spark, [str(small), str(large)]).agg({"row_id": "max", "*": "count"}).first()
     assert ids[1] == 3003 or ids[0] == 3003
     assert scan.read_files(spark, [str(small), str(large)]).select("row_id").distinct().count() == 3003
+
+
+def test_sizes_are_measured(spark):
+    wide = spark.range(10).selectExpr("id", "array_repeat(cast(0 as double), 1000) as v")
+    assert runtime.fits(wide, 64, 81_000, extra=runtime.doubles("v"))
+    assert not runtime.fits(wide, 64, 80_000, extra=runtime.doubles("v"))
+    assert not runtime.fits(wide.select("id"), 64, 600) and runtime.fits(wide.limit(0), 64, 1)
+
+
+def test_csv_by_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,n\nfirst,1\nsecond,2\n")
+    path = str(tmp_path / "a.csv")
+    got = [scan.read_csv(spark, path, multi_line=m).drop("row_id").collect() for m in (True, False)]
+    assert got[0] == got[1] and [r.text for r in got[0]] == ["first", "second"]

@@ -12,7 +12,7 @@ from themeloom.functions import vector
 from themeloom.operators import report
 from themeloom.operators.embed import mean_of
 from themeloom.operators.neighbors import with_nearest
-from themeloom.runtime import sized_broadcast
+from themeloom.runtime import doubles, sized_broadcast
 
 NOISE = -1
 
@@ -69,7 +69,7 @@ def cluster_samples(points: DataFrame, texts: DataFrame | None = None, n: int =
 
 def cluster_summary(points: DataFrame, centers: DataFrame, samples: DataFrame) -> DataFrame:
     """(cluster_id, size, avg_distance_to_centroid, centroid, sample_texts)."""
-    c = sized_broadcast(centers, 64 + 8 * 64)
+    c = sized_broadcast(centers, 64, extra=doubles("centroid"))
     per = (
         points.where(F.col("cluster_id") != NOISE)
         .join(c, "cluster_id")
@@ -136,7 +136,7 @@ def nearest_cluster(points: DataFrame, centers: DataFrame, point: str = "point")
 
 def cluster_radii(points: DataFrame, centers: DataFrame) -> DataFrame:
     """(cluster_id, centroid, radius): largest training distance to the centroid."""
-    c = sized_broadcast(centers, 64 + 8 * 64)
+    c = sized_broadcast(centers, 64, extra=doubles("centroid"))
     radii = (
         points.join(c, "cluster_id")
         .groupBy("cluster_id")

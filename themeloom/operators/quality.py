@@ -13,7 +13,7 @@ from themeloom.functions import fixed, vector
 from themeloom.operators.clusters import NOISE, centroids, cluster_counts, cluster_sizes
 from themeloom.operators.embed import mean_vector
 from themeloom.operators.neighbors import distances, knn_join, matrix
-from themeloom.runtime import cut, sized_broadcast
+from themeloom.runtime import cut, doubles, sized_broadcast
 
 #: Rows of one side of a distance block.
 BLOCK_ROWS = 2048
@@ -146,7 +146,7 @@ def silhouette_squared(points: DataFrame) -> DataFrame:
     )
     centers = cut(centroids(members))
     spread = (
-        members.join(sized_broadcast(centers, 1024), "cluster_id")
+        members.join(sized_broadcast(centers, 64, extra=doubles("centroid")), "cluster_id")
         .groupBy("cluster_id")
         .agg(
             F.avg(vector.squared_euclidean(F.col("point"), F.col("centroid"))).alias("v"),
@@ -172,7 +172,7 @@ def silhouette_squared(points: DataFrame) -> DataFrame:
         F.col("row_id").alias("cluster_id"), F.col("point").alias("home"), "size"
     )
     scored = (
-        members.join(sized_broadcast(mine, 1024), "cluster_id")
+        members.join(sized_broadcast(mine, 64, extra=doubles("home")), "cluster_id")
         .select(
             "row_id",
             "cluster_id",
@@ -259,7 +259,7 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
         .scalar()
     )
     within = (
-        members.join(sized_broadcast(centers, 1024), "cluster_id")
+        members.join(sized_broadcast(centers, 64, extra=doubles("centroid")), "cluster_id")
         .select(
             vector.squared_euclidean(
                 vector.as_double(F.col("point")), F.col("centroid")

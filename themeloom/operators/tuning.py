@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +55,7 @@ def grid_trials(spark: SparkSession, **values: list) -> DataFrame:
 
 
 def run_trials(vectors: DataFrame, trials: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """Trials with their ``score``; a failing trial scores -1.
+    """Trials with their ``score``; a trial whose parameters do not suit the data scores -1.
 
     Trials are few, so the driver walks them; each is a set of distributed jobs. Trials that
     share n_components share the reduction, and with min_samples also the spanning tree, which
@@ -85,7 +86,7 @@ def run_trials(vectors: DataFrame, trials: DataFrame, metric: str = "euclidean")
             )
             labelled = cut(reduced[d].join(labels, "row_id"))
             score = float(quality.composite_score(labelled, metric).first()["score"])
-        except Exception as e:
+        except (ValueError, IllegalArgumentException) as e:
             log.warning("trial %s failed: %s", r["trial_id"], e)
             score = -1.0
         scored.append({**r, "score": score})

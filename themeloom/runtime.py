@@ -61,19 +61,32 @@ def drop_cuts(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """True when ``df`` holds at most ``limit`` bytes at ``row_bytes`` a row.
+def fits(
+    df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, extra: Column | None = None
+) -> bool:
+    """True when ``df`` holds at most ``limit`` bytes: ``row_bytes`` a row, and ``extra``, the bytes
+    of a row's arrays or texts, as measured.
 
     The count stops one row past the ceiling, so a huge side costs no full scan.
     """
     ceiling = max(1, limit // max(1, row_bytes))
-    return df.limit(ceiling + 1).count() <= ceiling
+    more = F.lit(0) if extra is None else F.coalesce(extra, F.lit(0)).cast("bigint")
+    head = df.select(more.alias("more")).limit(ceiling + 1)
+    n, wide = head.agg(F.count(F.lit(1)), F.coalesce(F.sum("more"), F.lit(0))).first()
+    return n <= ceiling and n * row_bytes + wide <= limit
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def sized_broadcast(
+    df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, extra: Column | None = None
+) -> DataFrame:
     """Hint a broadcast only when the side is proven small; else leave it to a shuffle
     join, whose hot keys AQE splits."""
-    return F.broadcast(df) if fits(df, row_bytes, limit) else df
+    return F.broadcast(df) if fits(df, row_bytes, limit, extra) else df
+
+
+def doubles(column: str) -> Column:
+    """Bytes of an array of doubles."""
+    return F.size(column) * 8
 
 
 def widen(df: DataFrame, key: str) -> DataFrame:

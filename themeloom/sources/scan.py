@@ -40,10 +40,10 @@ def file_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
-def _reader(spark: SparkSession, schema: T.StructType | None):
+def _reader(spark: SparkSession, schema: T.StructType | None, multi_line: bool = True):
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("enforceSchema", False)
     )
@@ -51,11 +51,15 @@ def _reader(spark: SparkSession, schema: T.StructType | None):
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV table(s) with NA tokens as NULL and a ``row_id`` in file order.
 
-    Give a schema for repeated jobs: inference reads the input once more.
+    Give a schema for repeated jobs: inference reads the input once more. A file whose quoted
+    fields hold line breaks is read by one task; without any, ``multi_line=False`` splits it.
     """
     paths = [path] if isinstance(path, str) else list(path)
     for p in paths:
@@ -65,7 +69,7 @@ def read_csv(
     # one scan a path: within one scan files are ordered by size, not as they are listed
     whole = None
     for p in paths:
-        part = _reader(spark, schema).csv(p)
+        part = _reader(spark, schema, multi_line).csv(p)
         whole = part if whole is None else whole.unionByName(part)
     return with_row_id(normalize_na(whole))
 
