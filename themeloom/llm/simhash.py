@@ -312,7 +312,11 @@ def without_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS)
     Of rows that repeat a doc_id, the one whose text is first in order stays. Rows without an id
     cannot be named as copies or as what stays, and are never removed.
     """
-    found = near_duplicates(docs, n, radius)
+    return one_each(docs, near_duplicates(docs, n, radius))
+
+
+def one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents whose doc_id names their component in found (doc_id, component_id)."""
     stay = cut(
         found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
     ).select(F.col("doc_id").alias("stay_id"), "rows")
