@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import mixing, packing, quality, secret_scan, shingle_sets
+from themeloom.llm import mixing, packing, quality, secret_scan, simhash
 from themeloom.llm.common import table
 from themeloom.runtime import ensure_checkpoint_dir
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar (0.8) stays."""
-    return shingle_sets.without_copies(docs)
+    """One document of each group of near fingerprints stays: shingle length and distance of op7."""
+    return simhash.without_duplicates(docs, simhash.SHINGLE, simhash.RADIUS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
