@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from themeloom.llm import language, mixing, packing, quality, secret_scan, sharding, simhash, token_files, topk, warc
+from themeloom.llm import (
+    collocations,
+    language,
+    mixing,
+    packing,
+    pair_merges,
+    periods,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    token_files,
+    topk,
+    warc,
+)
 
 RUN = {
     "op1_top_k": topk.query,
@@ -15,5 +29,8 @@ RUN = {
     "op8_language": language.query,
     "op9_packing": packing.query,
     "op10_mixing": mixing.query,
+    "op11_collocations": collocations.query,
+    "op12_periodic_runs": periods.query,
+    "op13_bpe_pairs": pair_merges.query,
 }
-SQL = {"op1_top_k": topk.SQL, "op6_warc": warc.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op1_top_k": topk.SQL, "op6_warc": warc.SQL, "op10_mixing": mixing.SQL, "op11_collocations": collocations.SQL}
