@@ -1,6 +1,7 @@
 """Collocations, periodic runs and the pair-index encoder against brute force, and their odd cases."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -104,20 +105,28 @@ def test_phrases_of_repeated_passages(spark):
 
 def test_paths_are_compacted(spark):
     df = spark.createDataFrame([(i, "out we go " + " ".join(f"q{j}" for j in range(90)) + f" end{i}", "en") for i in range(5)], "doc_id long, text string, lang string")
-    _, _, edges = collocations.flows(collocations.graph_rows(df), 3)
+    _, _, edges = collocations.flows(df, 3)
     paths, inner = collocations.compacted(edges)
     assert [len(r.words) for r in paths.collect()] == [93] and inner.count() == 90
 
 
 def test_large_products_are_exact(spark):
     big = 3 * 10**9 + 7
-    made = [("en", "a b", None, big), ("en", "a", None, 10**10), ("en", "b", None, 2 * big + 5)]
-    graph = spark.createDataFrame(made, "lang string, node string, next string, n long")
+    left, right = big + 10**10, 3 * big + 5
+    words = spark.createDataFrame([("en", "a", left), ("en", "b", right)], "lang string, word string, f long")
+    pairs = spark.createDataFrame([("en", "a b", big)], "lang string, node string, f long")
+    edges = spark.createDataFrame([], "lang string, node string, next string, n long, f long")
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(collocations, "graph_rows", lambda docs, chunk: docs)
-        got = rows(collocations.collocations(graph))
-    l, r = big + 10**10, 2 * big + 5
-    assert got == [("en", 1, "a b", big, l, r, l + r, 10**6 * big * big // (l * r))]
+        m.setattr(collocations, "flows", lambda docs, least, chunk: (words, pairs, edges))
+        got = rows(collocations.collocations(words))
+    assert got == [("en", 1, "a b", big, left, right, left + right, 10**6 * big * big // (left * right))]
+
+
+def test_blocks_of_any_size(spark, docs, texts, monkeypatch):
+    whole = sorted(rows(collocations.collocations(docs, 4)))
+    monkeypatch.setattr(collocations.flows, "__defaults__", (300, 1 << 14))
+    monkeypatch.setattr(collocations.collocations, "__defaults__", (4, 50, 2000, 300))
+    assert sorted(rows(collocations.collocations(docs))) == whole == brute_phrases(texts, 4)
 
 
 def test_phrases_of_nothing(none):
@@ -200,8 +209,13 @@ def test_run_cases(odd, none):
 # pair index ----------------------------------------------------------------------------------
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def brute_bpe(text):
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t = library()
     ids = t.encode(text or "", add_special_tokens=False).ids
     return ids, t.decode(ids, skip_special_tokens=False)
 

@@ -3,8 +3,9 @@
 Texts are split into pieces and these into words. Nodes of the graph are neighbouring word pairs,
 edges are three words in a row (the longest phrases), from the first pair to the second, which
 overlap by a word. Every word begins one row: an edge, or what is left of a piece at its end, a
-pair or a word without a follower. A worker counts equal rows of a bounded chunk of texts, the
-shuffle adds them up by node, language by language.
+pair or a word without a follower. A worker counts equal rows of a bounded chunk of texts and sends
+them in compressed blocks, dealt by the hash of the row, as most rows of a corpus are seen once; a
+hot pair or word is thus spread over all blocks, and what they sum for it is one row each.
 
 Shorter counts are node flow: a pair's count is the sum of the edges that leave it and of the
 piece ends at it; a word's count is the sum over its pairs and of the pieces that end with it. A
@@ -29,7 +30,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,87 +39,169 @@ from themeloom.llm.common import table
 from themeloom.runtime import cut
 
 LEAST, SHARE, TOP = 10, 50, 2000
-#: Words whose rows are counted together by a worker; at least those of one text.
-CHUNK = 6_000_000
+#: Words whose rows are counted together by a worker, at least those of one text; bytes of text
+#: whose rows meet in one block group.
+CHUNK, GROUP_BYTES = 6_000_000, 8 << 20
 #: Piece ends become line feeds, A-Z lower case.
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r", bytes(range(97, 123)) + b"\n" * 9)
-_ROW = "lang string, node string, next string, n long"
+_BLOCK = "lang string, part int, x binary, y binary, z binary, n binary"
 _KEYS = ["lang", "node"]
 
 
-def _counted(texts: list[np.ndarray], words: pa.Array) -> pa.RecordBatch:
-    """(node, next, n) of numbered words; number 0 is a piece end."""
-    seq, size = np.concatenate([*texts, np.zeros(2, np.int64)]), len(words)
+# Words travel with a line feed at their end, a missing one as the line feed alone, so that a column
+# of words is one text.
+
+
+def _strings(text: bytes) -> pa.Array:
+    data = np.frombuffer(text, np.uint8)
+    ends = np.r_[0, np.flatnonzero(data == 10) + 1].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(text))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64)
+
+
+def _dealt(lang: str, words: list[pa.Array], codes: list[np.ndarray], n: np.ndarray, parts: int):
+    """Blocks of rows of coded words, by the hash of the row."""
+    mixed = np.zeros(len(n), np.uint64)
+    for w, c in zip(words, codes):
+        mixed = (mixed ^ _hashes(w)[c]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    part = (mixed % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(part[order])) + 1, len(order)] if len(order) else np.zeros(1, int)
+    pack, columns = zstandard.ZstdCompressor(3).compress, []
+    for w, c in zip(words, codes):
+        laid = w.take(pa.array(c[order]))
+        ends = np.frombuffer(laid.buffers()[1], np.int64)
+        data = memoryview(laid.buffers()[2] or b"")
+        columns.append([pack(data[ends[i] : ends[j]]) for i, j in zip(cuts[:-1], cuts[1:])])
+    columns += [[None] * (len(cuts) - 1)] * (3 - len(columns))
+    columns.append([pack(n[order[i:j]].astype("<i8").tobytes()) for i, j in zip(cuts[:-1], cuts[1:])])
+    own = part[order][cuts[:-1]].tolist()
+    return {"lang": [lang] * len(own), "part": own} | dict(zip("xyzn", columns))
+
+
+def _summed(blocks: pa.Table, names: str) -> tuple[list[pa.Array], list[np.ndarray], np.ndarray]:
+    """Words, codes and sums of the distinct rows of blocks, in order of the codes."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    n = np.concatenate([np.frombuffer(unpack(b), "<i8") for b in blocks["n"].to_pylist()])
+    words, codes = [], []
+    for name in names:
+        coded = pa.concat_arrays([_strings(unpack(b)) for b in blocks[name].to_pylist()]).dictionary_encode()
+        words.append(coded.dictionary)
+        codes.append(coded.indices.to_numpy().astype(np.int64))
+    order = np.lexsort(codes[::-1])
+    codes = [c[order] for c in codes]
+    new = np.any([np.r_[True, np.diff(c) != 0] for c in codes], axis=0)
+    return words, [c[new] for c in codes], np.add.reduceat(n[order], np.flatnonzero(new))
+
+
+def _counted(texts: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of numbered words, and their counts; number 0 is a piece end."""
+    seq = np.concatenate([*texts, np.zeros(2, np.int64)])
     a, b, c = seq[:-2], seq[1:-1], seq[2:]
     c = np.where(b > 0, c, 0)
     at = a > 0
     pair, back = np.unique(a[at] * size + b[at], return_inverse=True)
     gram, n = np.unique(back * size + c[at], return_counts=True)
     pair, last = pair[gram // size], gram % size
-    first, second = pair // size, pair % size
+    return [pair // size, pair % size, last], n
 
-    def named(i: np.ndarray) -> pa.Array:
-        return words.take(pa.array(i, mask=i == 0))
 
-    node = pc.binary_join_element_wise(named(first), named(second), " ", null_handling="skip")
-    return pa.RecordBatch.from_arrays([node, named(last), pa.array(n)], ["node", "next", "n"])
+def graph_blocks(docs: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
+    """Blocks of rows: edges, and piece ends with missing words. Equal rows are in equal parts."""
 
-
-def _rows(chunk: int):
     def run(batches):
         texts: dict[str, list] = {}
         number: dict[bytes, int] = {b".": 0}
         held = 0
 
         def flush():
-            words = pa.array(list(number), pa.binary()).cast(pa.string())
+            words = pa.array([b"\n", *(w + b"\n" for w in list(number)[1:])], pa.large_binary()).cast(pa.large_string())
             for lang, mine in texts.items():
-                rows = _counted(mine, words)
-                for at in range(0, rows.num_rows, 1 << 16):
-                    part = rows.slice(at, 1 << 16)
-                    langs = pa.array([lang]).take(pa.array(np.zeros(part.num_rows, np.int8)))
-                    yield pa.RecordBatch.from_arrays([langs, *part.columns], ["lang", *part.schema.names])
+                codes, n = _counted(mine, len(words))
+                yield pa.RecordBatch.from_pydict(_dealt(lang, [words] * 3, codes, n, parts), _SCHEMA)
 
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"]):
-                parts = (text.as_py() or "").encode().translate(_FOLD).replace(b"\n", b" . ").split()
-                for w in dict.fromkeys(parts):
+                own = (text.as_py() or "").encode().translate(_FOLD).replace(b"\n", b" . ").split()
+                for w in dict.fromkeys(own):
                     number.setdefault(w, len(number))
-                ids = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+                ids = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
                 texts.setdefault("und" if lang is None else lang, []).append(np.append(ids, 0))
-                held += len(parts)
+                held += len(own)
                 if held >= chunk:
                     yield from flush()
                     texts, number, held = {}, {b".": 0}, 0
         yield from flush()
 
-    return run
+    need = docs.select(F.col("lang").cast("string").alias("lang"), "text")
+    return need.mapInArrow(run, _BLOCK)
+
 
+_SCHEMA = pa.schema([("lang", pa.string()), ("part", pa.int32()), *((c, pa.binary()) for c in "xyzn")])
+_FOUND = pa.schema([("node", pa.string()), ("next", pa.string()), ("f", pa.int64())])
+_BOTH = f"{_BLOCK}, node string, next string, f long"
 
-def graph_rows(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(lang, node, next, n): edges, and piece ends with a null next; a row may come in parts."""
-    need = docs.select(F.col("lang").cast("string").alias("lang"), "text")
-    return need.mapInArrow(_rows(chunk), _ROW)
 
+def _found(words: list[pa.Array], codes: list[np.ndarray], n: np.ndarray, at: np.ndarray):
+    """Rows (node, next, f) of the places ``at``; the last of three words is the next one."""
+    each = [[w[:-1] for w in w.take(pa.array(c[at])).to_pylist()] for w, c in zip(words, codes)]
+    node = [" ".join(x) for x in zip(*each[:2])]
+    return {"node": node, "next": each[2] if len(each) > 2 else [None] * len(node), "f": n[at]}
 
-def flows(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def _table(lang: str, rows: dict, blocks: dict | None = None) -> pa.Table:
+    found = pa.table(rows, _FOUND)
+    for name in ("lang", *_SCHEMA.names[1:]):
+        kind = _SCHEMA.field(name).type
+        found = found.append_column(name, pa.array([lang] * len(found), kind) if name == "lang" else pa.nulls(len(found), kind))
+    parts = [found]
+    if blocks:
+        made = pa.table(blocks, _SCHEMA)
+        parts.append(made.append_column("node", pa.nulls(len(made), pa.string())).append_column("next", pa.nulls(len(made), pa.string())).append_column("f", pa.nulls(len(made), pa.int64())))
+    order = [f.split()[0] for f in _BOTH.split(", ")]
+    return pa.concat_tables([p.select(order) for p in parts])
+
+
+def flows(docs: DataFrame, least: int, chunk: int = CHUNK, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (lang, word, f), pairs (lang, node, f) and edges (lang, node, next, n, f), with f the
-    flow of the node; pairs and edges of at least the least count. One shuffle by node feeds all."""
-    dealt = rows.repartition(*_KEYS)
-    by_word = dealt.groupBy("lang", F.substring_index("node", " ", 1).alias("node")).agg(F.sum("n").alias("f"))
-    summed = dealt.where(F.contains("node", F.lit(" "))).groupBy(*_KEYS, "next").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy(*_KEYS).orderBy(F.desc("n"))
-    every = of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kept = (
-        summed.select("*", F.sum("n").over(every).alias("f"), F.row_number().over(of).alias("place"))
-        .where(F.col("f") >= least)
-        .where((F.col("place") == 1) | (F.col("n") >= least))
-    )
-    both = cut(kept.unionByName(by_word, allowMissingColumns=True))
-    words = both.where("place IS NULL").select("lang", F.col("node").alias("word"), "f")
-    pairs = both.where("place = 1").select(*_KEYS, "f")
-    edges = both.where((F.col("n") >= least) & F.col("next").isNotNull() & F.col("place").isNotNull())
-    return words, pairs, edges.select(*_KEYS, "next", "n", "f")
+    flow of the node; pairs and edges of at least the least count."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = total // group_bytes + 1
+
+    def of_edges(key, blocks):
+        """Sums of equal rows: edges of the least count, and the flow that the rows give their pairs."""
+        lang = key[0].as_py()
+        words, codes, n = _summed(blocks, "xyz")
+        heavy = np.flatnonzero((n >= least) & (codes[2] != _missing(words[2])))
+        first = np.r_[True, (np.diff(codes[0]) != 0) | (np.diff(codes[1]) != 0)]
+        flow = np.add.reduceat(n, np.flatnonzero(first))
+        blocks = _dealt(lang, words[:2], [c[first] for c in codes[:2]], flow, parts)
+        return _table(lang, _found(words, codes, n, heavy), blocks)
+
+    def of_pairs(key, blocks):
+        """Flow of pairs: those of the least count, and the flow that they give their first words."""
+        lang = key[0].as_py()
+        words, codes, n = _summed(blocks, "xy")
+        heavy = np.flatnonzero((n >= least) & (codes[1] != _missing(words[1])))
+        first = np.flatnonzero(np.r_[True, np.diff(codes[0]) != 0])
+        rows = {"node": [w[:-1] for w in words[0].take(pa.array(codes[0][first])).to_pylist()], "next": [""] * len(first), "f": np.add.reduceat(n, first)}
+        return pa.concat_tables([_table(lang, rows), _table(lang, _found(words, codes, n, heavy))])
+
+    key = ["lang", "part"]
+    one = cut(graph_blocks(docs, parts, chunk).groupBy(*key).applyInArrow(of_edges, _BOTH))
+    two = cut(one.where("part IS NOT NULL").groupBy(*key).applyInArrow(of_pairs, _BOTH).select(*_KEYS, "next", "f"))
+    words = cut(two.where("next IS NOT NULL").groupBy("lang", F.col("node").alias("word")).agg(F.sum("f").alias("f")))
+    pairs = two.where("next IS NULL").select(*_KEYS, "f")
+    edges = one.where("part IS NULL").select(*_KEYS, "next", F.col("f").alias("n"))
+    return words, pairs, edges.join(pairs, _KEYS)
+
+
+def _missing(words: pa.Array) -> int:
+    return words.index("\n").as_py()
 
 
 def _last_pair(words: Column) -> Column:
@@ -163,7 +247,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     """
     if not 0 < share <= 100:
         raise ValueError("share is a percentage above 0")
-    words, pairs, edges = flows(graph_rows(docs, chunk), least)
+    words, pairs, edges = flows(docs, least, chunk)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     paths, inner = compacted(edges)
     last = paths.select("lang", _last_pair(F.col("words")).alias("node"), "first", "words", "n", F.col("f").alias("f_first"))
