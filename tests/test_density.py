@@ -3,8 +3,11 @@ import pytest
 from brute import hdbscan, mutual_reachability, pair_distances, prim, same_partition
 from conftest import make_points
 
-from themeloom.operators import density
+from pyspark.sql import functions as F
+
+from themeloom.operators import density, merge_tree
 from themeloom.operators.graph import connected_components
+from themeloom.runtime import cut
 
 
 def labels_of(df, n):
@@ -30,7 +33,7 @@ def eps_brute(x, eps, min_samples, min_size):
     return label
 
 
-@pytest.mark.parametrize("task_rows", [10**6, 0])
+@pytest.mark.parametrize("task_rows", [10**6, 3])
 def test_components(spark, task_rows):
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, 200, (150, 2))
@@ -40,9 +43,14 @@ def test_components(spark, task_rows):
             low = min(label[int(a)], label[int(b)])
             label[int(a)] = label[int(b)] = low
     df = spark.createDataFrame([tuple(map(int, p)) for p in pairs], "a bigint, b bigint")
-    got = {r["node"]: r["comp"] for r in connected_components(df, task_rows).collect()}
+    got = {r["node"]: r["comp"] for r in connected_components(df, task_rows=task_rows).collect()}
     apart = {v for a, b in pairs for v in (int(a), int(b)) if a != b}
     assert got == {v: label[v] for v in apart}
+    twice = df.withColumn("g", F.lit(7)).unionByName(df.where("a % 2 = 0").withColumn("g", F.lit(8)))
+    each = connected_components(twice, "g", task_rows)
+    assert {r["node"]: r["comp"] for r in each.where("g = 7").collect()} == got
+    part = connected_components(df.where("a % 2 = 0"))
+    assert sorted(each.where("g = 8").drop("g").collect()) == sorted(part.collect())
 
 
 @pytest.mark.parametrize("dim,direct", [(2, 4096), (2, 0), (3, 10), (5, 4096)])
@@ -59,10 +67,10 @@ def test_eps_components(spark, dim, direct):
     assert len(set(want)) > 2
 
 
-@pytest.mark.parametrize("cell_rows,small,task_rows", [(2048, 4 << 20, 10**6), (25, 0, 0)])
-def test_spanning_tree_weight(spark, blobs, cell_rows, small, task_rows):
+@pytest.mark.parametrize("cell_rows,small", [(2048, 4 << 20), (25, 0)])
+def test_spanning_tree_weight(spark, blobs, cell_rows, small):
     nodes, edges = density.spanning_tree(
-        make_points(spark, blobs), 3, k=5, cell_rows=cell_rows, small_bytes=small, task_rows=task_rows
+        make_points(spark, blobs), 3, k=5, cell_rows=cell_rows, small_bytes=small
     )
     rows = edges.collect()
     assert len(rows) == len(blobs) - 1
@@ -76,11 +84,54 @@ def test_density_clusters(spark, blobs):
     x = np.vstack([blobs, rng.normal((8, 1.8), 0.2, (25, 2)), np.repeat(blobs[3:4], 3, axis=0)])
     points = make_points(spark, x)
     nodes, edges = density.spanning_tree(points, 3, cell_rows=40)
-    for epsilon, bands, tree_rows in ((0.0, 10**6, 10**6), (0.1, 60, 0), (1.5, 10**6, 10**6), (1.5, 10**6, 0)):
-        got = labels_of(
-            density.cut_tree(points, nodes, edges, 5, epsilon, bands, tree_rows), len(x)
-        )
-        assert same_partition(got, hdbscan(x, 5, 3, epsilon)), (epsilon, bands, tree_rows)
+    settings = [(5, 0.0), (5, 0.1), (5, 1.5), (2, 0.0), (2, 0.4), (12, 0.0), (40, 0.0), (500, 0.0)]
+    for band_rows in (10**6, 30, 7):
+        table = [(i, m, epsilon) for i, (m, epsilon) in enumerate(settings)]
+        found = cut(merge_tree.cut_trees(nodes, edges, table, band_rows))
+        for i, m, epsilon in table:
+            of = {r["pid"]: r["cluster_id"] for r in found.where(f"trial = {i}").collect()}
+            home = {r["row_id"]: r["pid"] for r in density.homes(points, nodes).collect()}
+            got = [of.get(home[k], -1) for k in range(len(x))]
+            assert same_partition(got, hdbscan(x, m, 3, epsilon)), (m, epsilon, band_rows)
+
+
+def test_trees_of_many_shapes(spark):
+    """Chains, pairs of pairs and copies: bands of every size give what one band gives, and that what
+    the definition gives."""
+    rng = np.random.default_rng(11)
+    chain = np.cumsum(rng.uniform(0.1, 3, 60))
+    halves = np.array([sum((i >> b & 1) * 3.0**b for b in range(6)) for i in range(64)])
+    halves = halves + rng.normal(0, 1e-3, 64)  # equal weights may be merged in any order
+    for x in (chain, halves, np.concatenate([halves, np.repeat(halves[:3], 4), [500.0]])):
+        x = x[:, None]
+        points = make_points(spark, x)
+        nodes, edges = (cut(df) for df in density.spanning_tree(points, 2))
+        home = {r["row_id"]: r["pid"] for r in density.homes(points, nodes).collect()}
+        table = [(0, 2, 0.0), (1, 3, 0.0), (2, 5, 2.0)]
+        for band_rows in (4, 1000):
+            found = cut(merge_tree.cut_trees(nodes, edges, table, band_rows))
+            for i, m, epsilon in table:
+                of = {r["pid"]: r["cluster_id"] for r in found.where(f"trial = {i}").collect()}
+                got = [of.get(home[k], -1) for k in range(len(x))]
+                assert same_partition(got, hdbscan(x, m, 2, epsilon)), (m, epsilon, band_rows)
+
+
+def test_values_of_deep_trees(spark):
+    """Excess of mass on random trees and on a chain of 400, against the definition."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for m, deep in ((1, False), (2, True)):
+        parent = [None] + [i - 1 if deep else int(rng.integers(max(0, i - 6), i)) for i in range(1, 400)]
+        s = rng.exponential(1, 400) * (10 if deep else 1)
+        rows += [(m, i, p, float(v)) for i, (p, v) in enumerate(zip(parent, s))]
+    df = spark.createDataFrame(rows, "m bigint, cid bigint, parent bigint, stability double")
+    got = {(r["m"], r["cid"]): r["eligible"] for r in merge_tree.with_eligible(df).collect()}
+    below = {}
+    for m, i, p, v in sorted(rows, key=lambda r: (r[0], -r[1])):
+        b = below.get((m, i), 0.0)
+        assert got[m, i] == (v >= b), (m, i)
+        if p is not None:
+            below[m, p] = below.get((m, p), 0.0) + max(v, b)
 
 
 def test_blobs_are_found(spark, blobs):

@@ -1,11 +1,9 @@
 """Density clustering with noise.
 
 ``eps_components``: components of core points at a fixed distance, on a grid.
-``density_clusters``: HDBSCAN* (Campello, Moulavi and Sander 2013) in three distributed
-steps: a minimum spanning tree of mutual reachability (Boruvka rounds over neighbour lists,
-finished by a pruned search), the condensed tree (edge bands of bounded size in weight
-order, with the state of open components carried between bands) and the choice of clusters
-by excess of mass.
+``density_clusters``: HDBSCAN* (Campello, Moulavi and Sander 2013): a minimum spanning tree of
+mutual reachability (growth inside cells, then Boruvka rounds over neighbour lists, finished by a
+pruned search), whose clusters ``merge_tree`` finds.
 
 The neighbour count never includes the point itself: the core distance of a point is the
 distance to its ``min_samples``-th other point. Copies of a point count as points.
@@ -24,6 +22,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import vector
 from themeloom.operators.graph import connected_components
+from themeloom.operators.merge_tree import BAND_ROWS, cut_trees
 from themeloom.operators.neighbors import (
     CELL_ROWS,
     blocked,
@@ -32,7 +31,7 @@ from themeloom.operators.neighbors import (
     make_cells,
     matrix,
 )
-from themeloom.runtime import TASK_ROWS, cut, sized_broadcast
+from themeloom.runtime import cut, sized_broadcast
 
 NOISE = -1
 
@@ -42,9 +41,6 @@ DIRECT_PAIRS = 4096
 #: Leading coordinates used to find neighbouring cells.
 GRID_AXES = 3
 
-#: Smallest distance, so that densities stay finite for copies.
-TINY = 1e-12
-
 
 def fold_copies(points: DataFrame) -> DataFrame:
     """(pid, point, copies): distinct points, named by their smallest row_id."""
@@ -281,7 +277,6 @@ def spanning_tree(
     min_samples: int = 3,
     k: int = 16,
     cell_rows: int = CELL_ROWS,
-    task_rows: int = TASK_ROWS,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): distinct points with ``copies`` and ``core``, and the exact minimum
@@ -328,31 +323,20 @@ def spanning_tree(
         to = label.select(F.col("pid").alias(c), F.col("comp").alias("_to"))
         edges = edges.join(to, c).withColumn(c, F.col("_to")).drop("_to")
     edges = cut(edges.where("a <> b"))
-    left, spent = comps.count(), False
+    left = comps.count()
     while left > 1:
         both = edges.select(F.col("a").alias("comp"), F.col("b").alias("other"), "w", "lo", "hi")
         both = both.unionByName(
             edges.select(F.col("b").alias("comp"), F.col("a").alias("other"), "w", "lo", "hi")
         )
-        chosen = None
-        if not spent and edges.count() <= task_rows:
-            # what is left fits one task: all provable rounds at once
-            lists = both.groupBy("comp").agg(
-                F.collect_list(F.struct("w", "lo", "hi", "other")).alias("steps")
-            )
-            rows = comps.join(lists, "comp").withColumnRenamed("comp", "pid")
-            chosen, spent = cut(_grow(rows.withColumn("block", F.lit(0)), ["block"])), True
-        if chosen is None or chosen.isEmpty():
-            best = both.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e"))
-            known = cut(comps.join(best, "comp", "left"))
-            # strict: an unlisted edge of equal weight could come first in the tie order
-            chosen = known.where(F.col("e.w") < F.col("reach")).select("comp", "e.*")
-            if spent or chosen.isEmpty():
-                label, spent = cut(label), False
-                chosen = _foreign(nodes, label, known, cells)
-            chosen = cut(
-                chosen.select("lo", "hi", "w", F.col("comp").alias("a"), F.col("other").alias("b"))
-            )
+        best = both.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e"))
+        known = cut(comps.join(best, "comp", "left"))
+        # strict: an unlisted edge of equal weight could come first in the tie order
+        chosen = known.where(F.col("e.w") < F.col("reach")).select("comp", "e.*")
+        if chosen.isEmpty():
+            label = cut(label)
+            chosen = _foreign(nodes, label, known, cells)
+        chosen = cut(chosen.select("lo", "hi", "w", F.col("comp").alias("a"), F.col("other").alias("b")))
         tree = tree.unionByName(chosen.select("lo", "hi", "w").distinct())
         moves = cut(connected_components(chosen.select("a", "b")))
         moves = sized_broadcast(moves, 64)
@@ -568,282 +552,13 @@ def _foreign(nodes: DataFrame, label: DataFrame, known: DataFrame, cells) -> Dat
     )
 
 
-# ------------------------------------------------------------------ condensed tree
-
-#: Rows out of a band: where a component went, what an open component holds, a closed cluster.
-_OUT = (
-    "kind string, id bigint, rep bigint, size bigint, mass double, cid bigint, below double, "
-    "parent bigint, birth double, eligible boolean"
-)
-
-
-def _fold_band(min_cluster_size: int):
-    """Task function: add one band of edges, in order, to the open components it touches.
-
-    An open component has a size and, once it holds ``min_cluster_size`` points, a cluster
-    ``cid`` whose ``mass`` sums the densities at which its points leave and whose ``below``
-    is the best total stability of the clusters under it. A closed cluster is eligible when
-    its own stability is not beaten by ``below``.
-    """
-
-    def run(band: pd.DataFrame) -> pd.DataFrame:
-        starts = band[band["kind"] == "state"]
-        edges = band[band["kind"] == "edge"].sort_values(["w", "lo", "hi"])
-        ids = [int(v) for v in starts["id"]]
-        place = {v: i for i, v in enumerate(ids)}
-        size, mass = [int(v) for v in starts["size"]], list(starts["mass"])
-        cid = [None if v < 0 else int(v) for v in starts["cid"]]
-        below = list(starts["below"])
-        up = list(range(len(ids)))
-        owner = [None] * len(ids)  # cluster that a loose component fell into
-        loose = [[i] if cid[i] is None else [] for i in range(len(ids))]
-        out = []
-
-        def root(i):
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
+# ------------------------------------------------------------------ clusters
 
-        def settle(i, name):
-            for j in loose[i]:
-                owner[j] = name
-            loose[i] = []
 
-        for a, b, w, eid in zip(edges["a"], edges["b"], edges["w"], edges["eid"]):
-            i, j = root(place[int(a)]), root(place[int(b)])
-            if ids[j] < ids[i]:
-                i, j = j, i
-            density, fresh = 1.0 / max(w, TINY), 2 * int(eid)
-            total = size[i] + size[j]
-            if cid[i] is not None and cid[j] is not None:
-                best = 0.0
-                for x in (i, j):  # both clusters close under a new parent
-                    gain = mass[x] - size[x] * density
-                    good = gain >= below[x]
-                    best += gain if good else below[x]
-                    out.append(("cluster", None, None, size[x], None, cid[x], None, fresh, w, good))
-                state = total * density, fresh, best
-            elif cid[i] is not None or cid[j] is not None:
-                big, few = (i, j) if cid[i] is not None else (j, i)
-                settle(few, cid[big])
-                state = mass[big] + size[few] * density, cid[big], below[big]
-            else:
-                loose[i] += loose[j]
-                loose[j] = []
-                state = 0.0, None, 0.0
-                if total >= min_cluster_size:
-                    settle(i, fresh)
-                    state = total * density, fresh, 0.0
-            size[i], (mass[i], cid[i], below[i]) = total, state
-            up[j] = i
-
-        for i, v in enumerate(ids):
-            r = root(i)
-            out.append(("map", v, ids[r], None, None, owner[i], None, None, None, None))
-            if r == i:
-                out.append(("state", v, None, size[i], mass[i], cid[i], below[i], None, None, None))
-        kinds = {"string": object, "bigint": "Int64", "double": float, "boolean": "boolean"}
-        frame = {}
-        for i, field in enumerate(_OUT.split(", ")):
-            name, kind = field.split()
-            # column by column: large whole numbers beside missing ones must not become floats
-            frame[name] = pd.Series([row[i] for row in out], dtype=kinds[kind])
-        return pd.DataFrame(frame)
-
-    return run
-
-
-def condensed_tree(
-    nodes: DataFrame, edges: DataFrame, min_cluster_size: int = 5, band_rows: int = TASK_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members): clusters (cid, parent, birth, size, eligible), parent NULL for
-    the root, and (pid, cid) with the first cluster each point belongs to.
-
-    Edges are cut by weight into bands of about ``band_rows``; each band is one task that
-    sees its edges and the states of the components they touch, nothing else.
-    """
-    numbered = nodes.withColumn("nid", F.monotonically_increasing_id())
-    own = F.when(F.col("copies") >= min_cluster_size, F.col("nid") * 2 + 1)
-    density = 1 / F.greatest("core", F.lit(TINY))
-    start = cut(
-        numbered.select(
-            F.col("pid").alias("id"),
-            F.col("copies").alias("size"),
-            F.when(own.isNotNull(), F.col("copies") * density).otherwise(F.lit(0.0)).alias("mass"),
-            own.alias("cid"),
-            F.lit(0.0).alias("below"),
-        )
-    )
-    n_edges = edges.count()
-    bands = max(1, ceil(n_edges / band_rows))
-    rest = edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "w", "lo", "hi")
-    if bands > 1:
-        rest = rest.repartitionByRange(bands, "w", "lo", "hi")
-    rest = cut(
-        rest.withColumn("band", F.spark_partition_id() if bands > 1 else F.lit(0)).withColumn(
-            "eid", F.monotonically_increasing_id()
-        )
-    )
-    states = start
-    loose = start.where("cid IS NULL").select(F.col("id").alias("pid"), F.col("id").alias("comp"))
-    members = start.where("cid IS NOT NULL").select(F.col("id").alias("pid"), "cid")
-    clusters = None
-    for band in range(bands):
-        now = rest.where(F.col("band") == band)
-        ends = now.select(F.col("a").alias("id")).union(now.select("b")).distinct()
-        touched = states.join(ends, "id", "left_semi")
-        fed = now.select(F.lit("edge").alias("kind"), "a", "b", "w", "lo", "hi", "eid").unionByName(
-            touched.withColumn("kind", F.lit("state")), allowMissingColumns=True
-        )
-        # whole numbers without NULLs: pandas would turn them into floats and lose large ids
-        whole = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("a", "b", "lo", "hi", "eid", "id", "size")}
-        fed = fed.withColumns(whole | {"cid": F.coalesce("cid", F.lit(-1)), "band": F.lit(band)})
-        out = cut(fed.groupBy("band").applyInPandas(_fold_band(min_cluster_size), _OUT))
-        closed = out.where("kind = 'cluster'").select("cid", "parent", "birth", "size", "eligible")
-        clusters = closed if clusters is None else clusters.unionByName(closed)
-        moves = out.where("kind = 'map'").select("id", "rep", "cid")
-        states = states.join(ends, "id", "left_anti").unionByName(
-            out.where("kind = 'state'").select("id", "size", "mass", "cid", "below")
-        )
-        moved = loose.join(moves, F.col("comp") == F.col("id"), "left")
-        if bands > 1:
-            moved, states = cut(moved), cut(states)
-        members = members.unionByName(moved.where("cid IS NOT NULL").select("pid", "cid"))
-        loose = moved.where("cid IS NULL").select("pid", F.coalesce("rep", "comp").alias("comp"))
-        if band + 1 < bands:
-            ahead = rest.where(F.col("band") > band)
-            for c in ("a", "b"):
-                to = moves.select(F.col("id").alias(c), F.col("rep").alias("_to"))
-                ahead = ahead.join(to, c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
-            rest = cut(ahead)
-    top = states.where("cid IS NOT NULL").select(
-        "cid",
-        F.lit(None).cast("bigint").alias("parent"),
-        F.lit(float("inf")).alias("birth"),
-        "size",
-        F.lit(False).alias("eligible"),
-    )
-    return cut(clusters.unionByName(top)), members
-
-
-def _topmost(tree: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(cid, top): the highest flagged cluster on the way up, itself included. The root is
-    not part of ``tree`` (cid, parent). Pointer doubling: rounds grow with log(depth)."""
-    t = cut(
-        tree.join(flagged.select("cid", F.col("cid").alias("top")), "cid", "left").select(
-            "cid", F.col("parent").alias("up"), "top"
-        )
-    )
-    while not t.where("up IS NOT NULL").isEmpty():
-        above = sized_broadcast(
-            t.select(F.col("cid").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top")),
-            48,
-        )
-        t = cut(
-            t.join(above, "up", "left").select(
-                "cid", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")
-            )
-        )
-    return t.select("cid", "top")
-
-
-def _select_few(clusters: DataFrame, epsilon: float) -> DataFrame:
-    """``select_clusters`` for a tree proven to fit one task."""
-
-    def run(tree: pd.DataFrame) -> pd.DataFrame:
-        row = {
-            int(c): (None if pd.isna(p) else int(p), b, bool(e))
-            for c, p, b, e in zip(tree["cid"], tree["parent"], tree["birth"], tree["eligible"])
-        }
-        order, kids = [c for c, r in row.items() if r[0] is None], {}
-        tops = set(order)
-        for c, r in row.items():
-            kids.setdefault(r[0], []).append(c)
-        for c in order:  # parents before children
-            order += kids.get(c, [])
-        climb = {}
-        for c in order:
-            p, born, _ = row[c]
-            stops = p is None or p in tops or born > epsilon
-            climb[c] = c if stops else climb[p]
-
-        def spread(flags):
-            top = {}
-            for c in order:
-                above = top.get(row[c][0])
-                top[c] = above if above is not None else (c if c in flags else None)
-            return top
-
-        good = {c for c in row if row[c][2] and c not in tops}
-        chosen = {v for v in spread(good).values() if v is not None}
-        if epsilon > 0:
-            chosen = {climb[c] if row[c][1] < epsilon else c for c in chosen}
-        label = spread(chosen)
-        out = pd.DataFrame({"cid": [c for c in row if c not in tops]})
-        out["label"] = pd.array([label[c] for c in out["cid"]], dtype="Int64")
-        return out
-
-    fed = clusters.withColumn("one", F.lit(0))
-    return fed.groupBy("one").applyInPandas(run, "cid bigint, label bigint")
-
-
-def select_clusters(
-    clusters: DataFrame, epsilon: float = 0.0, task_rows: int = TASK_ROWS
-) -> DataFrame:
-    """(cid, label): the chosen cluster each cluster of the tree belongs to, NULL outside.
-
-    Excess of mass takes the highest eligible clusters; with ``epsilon``, a chosen cluster
-    born below that distance gives way to its first ancestor born above it (Malzer and
-    Baum 2020). The root is never chosen.
-    """
-    if task_rows and clusters.count() <= task_rows:
-        return _select_few(clusters, epsilon)
-    roots = clusters.where("parent IS NULL").select(F.col("cid").alias("parent"))
-    inner = clusters.where("parent IS NOT NULL")
-    at_top = inner.join(roots, "parent", "left_semi").select("cid", F.lit(True).alias("at_top"))
-    tree = cut(
-        inner.join(at_top, "cid", "left").select(
-            "cid",
-            F.when(F.col("at_top").isNull(), F.col("parent")).alias("parent"),
-            "birth",
-            "eligible",
-        )
-    )
-    if tree.isEmpty():
-        return tree.select("cid", F.lit(None).cast("bigint").alias("label"))
-    best = _topmost(tree, tree.where("eligible")).where("top IS NOT NULL")
-    chosen = cut(best.select(F.col("top").alias("cid")).distinct())
-    if epsilon > 0:
-        born_low = chosen.join(tree.where(F.col("birth") < epsilon).select("cid"), "cid", "left_semi")
-        if born_low.isEmpty():
-            return _topmost(tree, chosen).select("cid", F.col("top").alias("label"))
-        stop = F.col("parent").isNull() | (F.col("birth") > epsilon)
-        # climbing ends at a stop: with stops cut loose, the top of the climb is the
-        # highest cluster still linked
-        hops = tree.select("cid", F.when(~stop, F.col("parent")).alias("parent"))
-        lifted = _topmost(hops, hops).select("cid", "top")
-        chosen = cut(
-            chosen.join(born_low, "cid", "left_anti")
-            .unionByName(born_low.join(lifted, "cid").select(F.col("top").alias("cid")))
-            .distinct()
-        )
-    return _topmost(tree, chosen).select("cid", F.col("top").alias("label"))
-
-
-def label_points(points: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(row_id, cluster_id): points under their chosen cluster, named by its smallest
-    row_id; everything else is noise (-1)."""
-    placed = cut(
-        members.join(sized_broadcast(labels.where("label IS NOT NULL"), 32), "cid").select(
-            "pid", "label"
-        )
-    )
-    names = placed.groupBy("label").agg(F.min("pid").alias("cluster_id"))
-    named = placed.join(names, "label").join(nodes.select("pid", "point"), "pid")
-    return points.select("row_id", vector.as_double(F.col("point")).alias("point")).join(
-        named.select("point", "cluster_id"), "point", "left"
-    ).select("row_id", F.coalesce("cluster_id", F.lit(NOISE)).cast("bigint").alias("cluster_id"))
+def homes(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(row_id, pid): the distinct point that stands for each row."""
+    own = points.select("row_id", vector.as_double(F.col("point")).alias("point"))
+    return own.join(nodes.select("point", "pid"), "point").select("row_id", "pid")
 
 
 def density_clusters(
@@ -851,23 +566,14 @@ def density_clusters(
     min_cluster_size: int = 5,
     min_samples: int = 3,
     epsilon: float = 0.1,
+    band_rows: int = BAND_ROWS,
     **options,
 ) -> DataFrame:
     """(row_id, cluster_id) of HDBSCAN* on (row_id, point); noise is -1."""
     nodes, edges = spanning_tree(points, min_samples, **options)
-    return cut_tree(points, nodes, edges, min_cluster_size, epsilon)
-
-
-def cut_tree(
-    points: DataFrame,
-    nodes: DataFrame,
-    edges: DataFrame,
-    min_cluster_size: int = 5,
-    epsilon: float = 0.1,
-    band_rows: int = TASK_ROWS,
-    tree_rows: int = TASK_ROWS,
-) -> DataFrame:
-    """Clusters of a ready spanning tree, for trying several sizes and distances on it."""
-    clusters, members = condensed_tree(nodes, edges, min_cluster_size, band_rows)
-    chosen = select_clusters(clusters, epsilon, tree_rows)
-    return label_points(points, nodes, members, chosen)
+    found = cut_trees(nodes, edges, [(0, min_cluster_size, epsilon)], band_rows)
+    return (
+        homes(points, nodes)
+        .join(found.select("pid", "cluster_id"), "pid", "left")
+        .select("row_id", F.coalesce("cluster_id", F.lit(NOISE)).cast("bigint").alias("cluster_id"))
+    )

@@ -9,77 +9,80 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.runtime import TASK_ROWS, cut
+from themeloom.runtime import TASK_ROWS, cut_measured
 
+_KEY = ["part", "a"]
 
-def connected_components(edges: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+
+def connected_components(edges: DataFrame, by: str | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """(node, comp) of every node of ``edges`` (a, b); comp is the smallest node reached.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014): minima per node are
-    combined map-side, and a node with most of the edges meets its one-row minimum in a
-    join whose hot key AQE splits. An edge list proven smaller than one task's share is
-    finished in one step instead.
+    With ``by``, edges of different values of that column belong to graphs of their own, and the
+    result carries the column. Every task first replaces its edges, ``task_rows`` at a time, by
+    stars around their smallest nodes. Large-star and small-star steps (Kiveris et al. 2014) then
+    alternate until nothing changes: minima per node are combined map-side, and a node with most of
+    the edges meets its one-row minimum in a join whose hot key AQE splits.
     """
-    pairs = edges.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    )
-    e = cut(pairs.distinct())
-    if e.count() <= task_rows:
-        return _few_edges(e)
-    mark = _fingerprint(e)
+    pairs = edges.select((F.col(by) if by else F.lit(0)).cast("bigint").alias("part"), "a", "b").where("a <> b")
+    h = F.xxhash64("part", "a", "b")
+    mark = {"n": F.count(F.lit(1)), "x": F.bit_xor(h), "s": F.sum(F.shiftright(h, 20))}
+    e, before = cut_measured(pairs.mapInPandas(_stars(task_rows), "part bigint, a bigint, b bigint").distinct(), mark)
     while True:
-        e = cut(_small_star(_large_star(e)))
-        now = _fingerprint(e)
-        if now == mark:
+        e, now = cut_measured(_small_star(_large_star(e)), mark)
+        if now == before:
             break
-        mark = now
-    roots = e.select(F.col("b").alias("node")).distinct().withColumn("comp", F.col("node"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
-
-
-def _fingerprint(e: DataFrame):
-    h = F.xxhash64("a", "b")
-    r = e.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first()
-    return tuple(r)
+        before = now
+    roots = e.select("part", F.col("b").alias("node")).distinct().withColumn("comp", F.col("node"))
+    found = e.select("part", F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
+    return found.withColumnRenamed("part", by) if by else found.drop("part")
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m"))
-    low = low.select("a", F.least("a", "m").alias("m"))
-    return (
-        both.where("b > a")
-        .join(low, "a")
-        .select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .distinct()
-    )
+    both = e.unionByName(e.select("part", F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy(*_KEY).agg(F.min("b").alias("m"))
+    low = low.select(*_KEY, F.least("a", "m").alias("m"))
+    return both.where("b > a").join(low, _KEY).select("part", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-
-
-def _few_edges(e: DataFrame) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [f for f in frames if len(f)]
-        if not parts:
-            return
-        pairs = pd.concat(parts)[["a", "b"]].to_numpy()
-        nodes, code = np.unique(pairs, return_inverse=True)
-        a, b = code.reshape(pairs.shape).T
-        label = np.arange(len(nodes))
-        while True:
+    low = e.groupBy(*_KEY).agg(F.min("b").alias("m"))
+    moved = e.join(low, _KEY).where("b <> m").select("part", F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(low.select(*_KEY, F.col("m").alias("b"))).distinct()
+
+
+def _stars(task_rows: int):
+    def joined(f: pd.DataFrame) -> pd.DataFrame:
+        part = f["part"].to_numpy()
+        ends = np.concatenate([f["a"].to_numpy(), f["b"].to_numpy()])
+        both = np.concatenate([part, part])
+        order = np.lexsort((ends, both))
+        new = np.r_[True, (np.diff(both[order]) != 0) | (np.diff(ends[order]) != 0)]
+        code = np.empty(len(ends), np.int64)
+        code[order] = np.cumsum(new) - 1
+        part, node = both[order][new], ends[order][new]
+        a, b = code[: len(f)], code[len(f) :]
+        label, before = np.arange(len(node)), None
+        while before is None or not np.array_equal(label, before):
             before = label.copy()
             low = np.minimum(label[a], label[b])
             np.minimum.at(label, label[a], low)
             np.minimum.at(label, label[b], low)
-            label = label[label]
             while not np.array_equal(label, label[label]):
                 label = label[label]
-            if np.array_equal(label, before):
-                break
-        yield pd.DataFrame({"node": nodes, "comp": nodes[label]})
+        leaf = label != np.arange(len(node))
+        return pd.DataFrame({"part": part[leaf], "a": node[leaf], "b": node[label[leaf]]})
 
-    return e.coalesce(1).mapInPandas(run, "node bigint, comp bigint")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for f in frames:
+            if not len(f):
+                continue
+            held.append(f)
+            n += len(f)
+            if n >= task_rows:
+                yield joined(pd.concat(held))
+                held, n = [], 0
+        if held:
+            yield joined(pd.concat(held))
+
+    return run

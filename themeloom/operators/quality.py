@@ -6,6 +6,8 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,7 @@ from themeloom.operators.neighbors import distances, knn_join, matrix
 from themeloom.runtime import cut, doubles, sized_broadcast
 
 #: Rows of one side of a distance block.
-BLOCK_ROWS = 2048
-
-
+BLOCK_ROWS = 8192
 
 def _members(points: DataFrame) -> DataFrame:
     return points.where(F.col("cluster_id") != NOISE)
@@ -27,16 +27,9 @@ def _members(points: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- silhouette
 
 
-def silhouette_values(points: DataFrame) -> DataFrame:
-    """(cluster_id, point, weight, value): Euclidean silhouette (Rousseeuw 1987) of every
-    distinct point; 0 in a singleton cluster.
-
-    By definition every distance counts, so the work is quadratic in distinct points
-    (copies are folded into a weight first). It runs as bounded NumPy blocks: a block of
-    points against a block of cluster members, giving one partial sum per point and
-    cluster; no pair ever leaves a task. ``silhouette_squared`` is the linear variant.
-    """
-    folded = cut(
+def _folded(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct points (pid, point, weight) of the clusters and their labels (trial 0)."""
+    own = cut(
         _members(points)
         .groupBy(
             F.col("cluster_id").cast("bigint").alias("cluster_id"),
@@ -44,69 +37,60 @@ def silhouette_values(points: DataFrame) -> DataFrame:
         )
         .agg(F.min("row_id").alias("pid"), F.count(F.lit(1)).alias("weight"))
     )
-    sizes = folded.groupBy("cluster_id").agg(
-        F.sum("weight").alias("size"), F.count(F.lit(1)).alias("distinct")
-    )
-    n_rows = folded.count()
-    blocks = max(1, ceil(n_rows / BLOCK_ROWS))
-    # a big cluster gets blocks of its own, small ones share by hash, so that a block
-    # yields sums for few clusters
-    own = F.when(
-        F.col("distinct") > BLOCK_ROWS, F.ceil(F.col("distinct") / BLOCK_ROWS)
-    ).otherwise(F.lit(1))
-    home = F.struct(
-        F.when(F.col("distinct") > BLOCK_ROWS, F.col("cluster_id")).alias("big"),
-        F.when(
-            F.col("distinct") > BLOCK_ROWS, F.pmod(F.xxhash64("pid"), own)
-        )
-        .otherwise(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)))
-        .cast("int")
-        .alias("sub"),
-    )
-    placed = cut(
-        folded.join(sized_broadcast(sizes, 64), "cluster_id").withColumn("right", home)
+    return own.select("pid", "point", "weight"), own.select(F.lit(0).cast("bigint").alias("trial"), "pid", "cluster_id")
+
+
+def silhouette_values(points: DataFrame, labels: DataFrame, squared: bool = False) -> DataFrame:
+    """(trial, pid, cluster_id, weight, value): Euclidean silhouette (Rousseeuw 1987) of every
+    distinct point (pid, point, weight) under each trial's labels (trial, pid, cluster_id), from
+    which noise is left out; 0 in a singleton cluster.
+
+    By definition every distance counts, so the work is quadratic in distinct points. Points are
+    dealt to blocks; each pair of blocks is one task, which computes its distances once, for both
+    sides and all trials, and gives one partial sum per point, trial and cluster. A point is sent
+    once per block; no pair ever leaves a task. ``silhouette_squared`` is the linear variant of one
+    labelling.
+    """
+    named = labels.groupBy("pid").agg(
+        F.collect_list("trial").alias("trials"), F.collect_list("cluster_id").alias("names")
     )
-    homes = placed.agg(F.collect_set("right")).scalar()
-    left = placed.select(
-        "pid", "cluster_id", "point", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("left")
-    ).withColumn("right", F.explode(homes))
-    right = placed.select(
-        F.col("cluster_id").alias("other"),
-        F.col("point").alias("member"),
-        F.col("weight").alias("copies"),
-        "right",
-    ).withColumn("left", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"pid": [], "other": [], "total": []})
-        names, code = np.unique(b["other"].to_numpy(), return_inverse=True)
-        hot = np.zeros((len(b), len(names)))
-        hot[np.arange(len(b)), code] = b["copies"].to_numpy()
-        total = distances(matrix(a["point"]), matrix(b["member"])) @ hot
-        return pd.DataFrame(
-            {
-                "pid": np.repeat(a["pid"].to_numpy(), len(names)),
-                "other": np.tile(names, len(a)),
-                "total": total.ravel(),
-            }
-        )
+    placed = cut(points.join(named, "pid"))
+    blocks = max(1, ceil(placed.count() / BLOCK_ROWS))
+    home = placed.withColumn("block", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = home.select("*", other).select(
+        "pid", "point", "weight", "trials", "names", "block",
+        F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+    )
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        first, second = f[f["block"] == key[0]], f[f["block"] == key[1]]
+        x, y = matrix(first["point"]), matrix(second["point"])
+        sides = [_Side(second, first)] if key[0] == key[1] else [_Side(second, first), _Side(first, second)]
+        if len(x) and len(y):
+            step = max(1, 4_000_000 // len(y))
+            for at in range(0, len(x), step):
+                d = distances(x[at : at + step], y)
+                d = d * d if squared else d
+                sides[0].rows(d, at)
+                if len(sides) > 1:
+                    sides[1].columns(d.T, at)
+        return pd.concat([s.result() for s in sides])
 
-    keys = ["left", "right"]
     sums = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(run, "pid bigint, other bigint, total double")
-        .groupBy("pid", "other")
+        dealt.groupBy("left", "right")
+        .applyInPandas(run, "trial bigint, pid bigint, other bigint, total double")
+        .groupBy("trial", "pid", "other")
         .agg(F.sum("total").alias("total"))
     )
-    info = placed.select("pid", "cluster_id", "point", "weight")
-    other_size = sizes.select(F.col("cluster_id").alias("other"), "size")
+    info = labels.join(points.select("pid", "weight"), "pid")
+    sizes = cut(info.groupBy("trial", "cluster_id").agg(F.sum("weight").alias("size")))
+    sizes = sized_broadcast(sizes.withColumnRenamed("cluster_id", "other"), 64)
     same = F.col("other") == F.col("cluster_id")
     per = (
-        sums.join(sized_broadcast(other_size, 64), "other")
-        .join(info.select("pid", "cluster_id"), "pid")
-        .groupBy("pid")
+        sums.join(sizes, ["trial", "other"])
+        .join(info, ["trial", "pid"])
+        .groupBy("trial", "pid", "cluster_id", "weight")
         .agg(
             F.max(F.when(same & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
             F.min(F.when(~same, F.col("total") / F.col("size"))).alias("b"),
@@ -116,7 +100,60 @@ def silhouette_values(points: DataFrame) -> DataFrame:
     value = F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(
         F.when(F.greatest(a, b) == 0, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
     )
-    return info.join(per, "pid").select("cluster_id", "point", "weight", value.alias("value"))
+    return per.select("trial", "pid", "cluster_id", "weight", value.alias("value"))
+
+
+class _Side:
+    """Sums of distances from points to the clusters of the points on the other side of a block."""
+
+    def __init__(self, members: pd.DataFrame, asked: pd.DataFrame):
+        self.asked, self.weight = asked["pid"].to_numpy(), members["weight"].to_numpy().astype(float)
+        self.groups, where = {}, {}
+        for i, (trials, names) in enumerate(zip(members["trials"], members["names"])):
+            for t, c in zip(trials, names):
+                where.setdefault(int(t), []).append((int(c), i))
+        for t, rows in where.items():
+            name, at = np.array(sorted(rows)).T
+            starts = np.flatnonzero(np.r_[True, np.diff(name) != 0])
+            self.groups[t] = name[starts], at, starts, np.zeros((len(self.asked), len(starts)))
+        self.has = {}  # places of the asked points that have a cluster in the trial
+        for i, trials in enumerate(asked["trials"]):
+            for t in trials:
+                self.has.setdefault(int(t), []).append(i)
+
+    def rows(self, d: np.ndarray, at: int) -> None:
+        d = d * self.weight
+        for _, order, starts, total in self.groups.values():
+            total[at : at + len(d)] = np.add.reduceat(d[:, order], starts, axis=1)
+
+    def columns(self, d: np.ndarray, at: int) -> None:
+        """The members ``at`` and on against all that are asked."""
+        size = d.shape[1]
+        d = d * self.weight[at : at + size]
+        for _, order, starts, total in self.groups.values():
+            group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+            inside = (order >= at) & (order < at + size)
+            if inside.any():
+                part, mine = order[inside] - at, group[inside]
+                first = np.flatnonzero(np.r_[True, np.diff(mine) != 0])
+                total[:, mine[first]] += np.add.reduceat(d[:, part], first, axis=1)
+
+    def result(self) -> pd.DataFrame:
+        parts = [pd.DataFrame({"trial": [], "pid": [], "other": [], "total": []})]
+        for t, (names, _, _, total) in self.groups.items():
+            has = np.array(self.has.get(t, []), int)
+            if len(has):
+                parts.append(
+                    pd.DataFrame(
+                        {
+                            "trial": t,
+                            "pid": np.repeat(self.asked[has], len(names)),
+                            "other": np.tile(names, len(has)),
+                            "total": total[has].ravel(),
+                        }
+                    )
+                )
+        return pd.concat(parts[1:] or parts)
 
 
 def _mean_or_zero(values: DataFrame) -> DataFrame:
@@ -131,7 +168,7 @@ def _mean_or_zero(values: DataFrame) -> DataFrame:
 
 def silhouette(points: DataFrame) -> DataFrame:
     """One row ``silhouette_score``: mean Euclidean silhouette without noise."""
-    return _mean_or_zero(silhouette_values(points))
+    return _mean_or_zero(silhouette_values(*_folded(points)))
 
 
 def silhouette_squared(points: DataFrame) -> DataFrame:
@@ -197,6 +234,7 @@ def silhouette_squared(points: DataFrame) -> DataFrame:
 
 
 METRICS = {"euclidean": silhouette, "squared_euclidean": silhouette_squared}
+METRIC_SQUARED = {"euclidean": False, "squared_euclidean": True}
 
 
 def silhouette_by(points: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -299,24 +337,60 @@ def count_score(points: DataFrame) -> DataFrame:
     )
 
 
-def composite_score(points: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """One row with the parts and their weighted ``score``; 0 below two points or clusters."""
-    score = silhouette_by(points, metric).first()
-    counts = cluster_counts(points)
-    parts = count_score(points).select(
-        "noise_penalty",
-        "cluster_count_score",
-        F.lit(score["silhouette_score"]).alias("silhouette"),
-        calinski_harabasz(points).scalar().alias("calinski_harabasz"),
-        balance(points).scalar().alias("cluster_balance"),
-        counts.select(
-            (
-                (F.col("total_points") - F.col("num_noise_points") >= 2)
-                & (F.col("num_clusters") >= 2)
-            ).alias("ok")
-        )
-        .scalar()
-        .alias("ok"),
+def trial_scores(
+    points: DataFrame, labels: DataFrame, total: int, trials: list[int], metric: str = "euclidean"
+) -> DataFrame:
+    """(trial, silhouette, calinski_harabasz, cluster_balance, noise_penalty, cluster_count_score,
+    score) of several labellings (trial, pid, cluster_id; noise left out) of the same distinct
+    points (pid, point, weight), which stand for ``total`` rows. All trials share one pass over the
+    distances and one over the members."""
+    spark = points.sparkSession
+    asked = spark.createDataFrame([(int(i),) for i in trials], "trial bigint")
+    members = points.join(labels, "pid")
+    v = array_to_vector(F.col("point"))
+    per = members.groupBy("trial", "cluster_id").agg(
+        F.sum("weight").alias("n"),
+        Summarizer.mean(v, F.col("weight").cast("double")).alias("center"),
+    )
+    per = cut(per.withColumn("center", vector_to_array("center")))
+    # spread within a cluster is taken from its center, not as a difference of large squares
+    spread = (
+        members.select("trial", "cluster_id", "point", "weight")
+        .join(sized_broadcast(per.drop("n"), 64, extra=doubles("center")), ["trial", "cluster_id"])
+        .groupBy("trial")
+        .agg(F.sum(F.col("weight") * vector.squared_euclidean(F.col("point"), F.col("center"))).alias("within"))
+    )
+    whole = per.groupBy("trial").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("k"),
+        F.when(F.count(F.lit(1)) > 1, 1 - F.stddev_pop("n") / F.avg("n")).otherwise(F.lit(0.0)).alias("cluster_balance"),
+        vector_to_array(Summarizer.mean(array_to_vector("center"), F.col("n").cast("double"))).alias("grand"),
+    )
+    between = (
+        per.select("trial", F.col("n").alias("size"), "center")
+        .join(whole.select("trial", "grand"), "trial")
+        .groupBy("trial")
+        .agg(F.sum(F.col("size") * vector.squared_euclidean(F.col("center"), F.col("grand"))).alias("between"))
+    )
+    means = (
+        silhouette_values(points, labels, METRIC_SQUARED[metric])
+        .groupBy("trial")
+        .agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("mean"))
+    )
+    facts = asked
+    for part in (whole.drop("grand"), spread, between, means):
+        facts = facts.join(part, "trial", "left")
+    n, k = F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))
+    noise = F.lit(1.0) - (F.lit(total) - n) / F.lit(max(total, 1))
+    ratio = (F.col("between") / (k - 1)) / (F.col("within") / (n - k))
+    parts = facts.select(
+        "trial",
+        F.when((n > 1) & (k > 1), F.col("mean")).otherwise(F.lit(0.0)).alias("silhouette"),
+        F.when((k < 2) | (n <= k), F.lit(0.0)).when(F.col("within") == 0, F.lit(1.0)).otherwise(ratio).alias("calinski_harabasz"),
+        F.coalesce("cluster_balance", F.lit(0.0)).alias("cluster_balance"),
+        (noise if total else F.lit(1.0)).alias("noise_penalty"),
+        (1 / (1 + F.abs(k - 10))).alias("cluster_count_score"),
+        ((n >= 2) & (k >= 2)).alias("ok"),
     )
     # --- fixed values: weights of the parts ---
     weighted = (
@@ -326,11 +400,9 @@ def composite_score(points: DataFrame, metric: str = "euclidean") -> DataFrame:
         + 0.1 * F.col("noise_penalty")
         + 0.1 * F.col("cluster_count_score")
     )
-    return parts.select(
-        "silhouette",
-        "calinski_harabasz",
-        "cluster_balance",
-        "noise_penalty",
-        "cluster_count_score",
-        F.when(F.col("ok"), weighted).otherwise(F.lit(0.0)).alias("score"),
-    )
+    return parts.select("*", F.when(F.col("ok"), weighted).otherwise(F.lit(0.0)).alias("score")).drop("ok")
+
+
+def composite_score(points: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """One row with the parts and their weighted ``score``; 0 below two points or clusters."""
+    return trial_scores(*_folded(points), points.count(), [0], metric).drop("trial")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from themeloom.functions import fixed
 from themeloom.operators import density, quality, report
+from themeloom.operators.merge_tree import cut_trees
 from themeloom.operators.reduce import fit_reducer, reduce
 from themeloom.runtime import cut
 
@@ -57,45 +58,45 @@ def grid_trials(spark: SparkSession, **values: list) -> DataFrame:
 def run_trials(vectors: DataFrame, trials: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Trials with their ``score``; a trial whose parameters do not suit the data scores -1.
 
-    Trials are few, so the driver walks them; each is a set of distributed jobs. Trials that
-    share n_components share the reduction, and with min_samples also the spanning tree, which
-    carries nearly all the cost; min_cluster_size and epsilon only cut it. ``n_neighbors``
-    is the least length of the neighbour lists behind the tree; ``min_dist`` shapes no
-    linear reduction and is only carried along.
+    Trials that share n_components, min_samples and n_neighbors share everything that costs: one
+    reduction, one spanning tree, one tree of merges cut by the table of their min_cluster_size and
+    epsilon, and one pass of scoring. The driver only walks these groups. ``n_neighbors`` is the
+    least length of the neighbour lists behind the tree; ``min_dist`` shapes no linear reduction and
+    is only carried along.
     """
     rows = [r.asDict() for r in trials.collect()]
-    rows.sort(key=lambda r: (r["n_components"], r["min_samples"]))
-    reduced, tree, scored = {}, {}, []
+    groups: dict[tuple, list[dict]] = {}
     for r in rows:
+        if r["min_cluster_size"] >= 2 and r["min_samples"] >= 1:
+            groups.setdefault((r["n_components"], r["min_samples"], r.get("n_neighbors") or 16), []).append(r)
+    reduced, scores = {}, {}
+    for (d, samples, k), group in sorted(groups.items()):
         try:
-            d = r["n_components"]
             if d not in reduced:
                 model = fit_reducer(vectors, d)
                 reduced = {d: cut(reduce(vectors, model).select("row_id", "point"))}
-                tree = {}
-            key = (d, r["min_samples"])
-            if key not in tree:
-                tree = {
-                    key: density.spanning_tree(
-                        reduced[d], r["min_samples"], k=r.get("n_neighbors") or 16
-                    )
-                }
-            nodes, edges = tree[key]
-            labels = density.cut_tree(
-                reduced[d], nodes, edges, r["min_cluster_size"], r["epsilon"]
-            )
-            labelled = cut(reduced[d].join(labels, "row_id"))
-            score = float(quality.composite_score(labelled, metric).first()["score"])
+            scores |= _scores(reduced[d], group, samples, k, metric)
         except (ValueError, IllegalArgumentException) as e:
-            log.warning("trial %s failed: %s", r["trial_id"], e)
-            score = -1.0
-        scored.append({**r, "score": score})
+            log.warning("trials %s failed: %s", [r["trial_id"] for r in group], e)
     schema = T.StructType([*trials.schema.fields, T.StructField("score", T.DoubleType())])
+    scored = [{**r, "score": scores.get(r["trial_id"], -1.0)} for r in rows]
     return trials.sparkSession.createDataFrame(
         [tuple(s[f.name] for f in schema.fields) for s in scored], schema
     )
 
 
+def _scores(points: DataFrame, group: list[dict], samples: int, k: int, metric: str) -> dict:
+    """Score by trial_id of trials over the same points and neighbour counts."""
+    nodes, edges = density.spanning_tree(points, samples, k=k)
+    # equal settings give equal labels: they are cut and scored once
+    cases = sorted({(r["min_cluster_size"], r["epsilon"]) for r in group})
+    labels = cut(cut_trees(nodes, edges, [(i, m, e) for i, (m, e) in enumerate(cases)]))
+    distinct = nodes.select("pid", "point", F.col("copies").alias("weight"))
+    scored = quality.trial_scores(distinct, labels, points.count(), list(range(len(cases))), metric)
+    found = {cases[r["trial"]]: float(r["score"]) for r in scored.select("trial", "score").collect()}
+    return {r["trial_id"]: found[r["min_cluster_size"], r["epsilon"]] for r in group}
+
+
 def best_parameters(scored: DataFrame) -> dict:
     """Parameters of the best trial for ``density_clusters`` and the reducer."""
     row = best_trial(scored).first()

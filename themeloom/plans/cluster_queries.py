@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from themeloom.operators import density, neighbors, tuning
+from themeloom.operators import density, merge_tree, neighbors, quality, tuning
 from themeloom.operators.reduce import fit_reducer, reduce
 from themeloom.plans import analysis
 from themeloom.plans import tables as t
@@ -97,11 +97,60 @@ def _tree_sql(rounds=11, jumps=11):
               LEFT JOIN j{r}_{jumps} j ON j.c = l.c)"""
         )
     taken = " UNION ".join(f"SELECT e.w, e.lo, e.hi FROM n{r}" for r in range(rounds))
-    return f"""WITH {', '.join(parts)} SELECT round(w, 6) + 0.0 AS weight, count(*) AS edges
-      FROM ({taken}) GROUP BY ALL"""
-
-
-_TREE = _tree_sql()
+    return ", ".join([*parts, f"e AS MATERIALIZED ({taken})"])
+
+
+_EDGES = _tree_sql()
+_TREE = f"WITH {_EDGES} SELECT round(w, 6) + 0.0 AS weight, count(*) AS edges FROM e GROUP BY ALL"
+
+
+def _clusters_sql(settings):
+    """Labels of settings (trial, min_cluster_size, epsilon), from the definition: every state of the
+    merging is a list of component numbers, and a cluster is a side of a merge whose sides both have
+    the size."""
+    table = ", ".join(f"({i}, {m}, {e})" for i, m, e in settings)
+    return f"""WITH RECURSIVE {_EDGES},
+      t AS MATERIALIZED (SELECT * FROM (VALUES {table}) v(trial, m, epsilon)),
+      s AS MATERIALIZED (SELECT DISTINCT m FROM t),
+      o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w, lo, hi) AS r FROM e),
+      step AS (SELECT 0::BIGINT AS r, list(i ORDER BY i) AS c FROM p UNION ALL
+        SELECT o.r, list_transform(c, lambda x: CASE WHEN x = greatest(c[lo], c[hi])
+          THEN least(c[lo], c[hi]) ELSE x END) FROM step JOIN o ON o.r = step.r + 1),
+      pos AS MATERIALIZED (SELECT r, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM step),
+      n AS MATERIALIZED (SELECT r, c, count(*) AS n FROM pos GROUP BY ALL),
+      two AS MATERIALIZED (SELECT o.r, o.w, x.c AS a, y.c AS b, nx.n AS na, ny.n AS nb FROM o
+        JOIN pos x ON x.r = o.r - 1 AND x.i = o.lo JOIN pos y ON y.r = o.r - 1 AND y.i = o.hi
+        JOIN n nx ON nx.r = x.r AND nx.c = x.c JOIN n ny ON ny.r = y.r AND ny.c = y.c),
+      k AS MATERIALIZED (SELECT m, r, w, c, size, row_number() OVER (PARTITION BY m ORDER BY r, c) AS k FROM (
+        SELECT m, r, w, a AS c, na AS size FROM two, s WHERE na >= m AND nb >= m UNION ALL
+        SELECT m, r, w, b, nb FROM two, s WHERE na >= m AND nb >= m)),
+      mem AS MATERIALIZED (SELECT k.m, k.k, pos.i FROM k JOIN pos ON pos.r = k.r - 1 AND pos.c = k.c),
+      enter AS MATERIALIZED (SELECT s.m, pos.i, min(pos.r) AS r FROM pos JOIN n ON n.r = pos.r AND n.c = pos.c
+        JOIN s ON n.n >= s.m GROUP BY ALL),
+      own AS MATERIALIZED (SELECT m, i, min(k) AS k FROM mem GROUP BY ALL),
+      up AS MATERIALIZED (SELECT a.m, a.k, min(b.k) AS up FROM (SELECT m, k, min(i) AS i FROM mem GROUP BY ALL) a
+        JOIN mem b ON b.m = a.m AND b.i = a.i AND b.k > a.k GROUP BY ALL),
+      anc AS (SELECT m, k, k AS a FROM k UNION ALL SELECT anc.m, anc.k, up.up FROM anc JOIN up ON up.m = anc.m AND up.k = anc.a),
+      gain AS MATERIALIZED (
+        SELECT m, k, sum(x) AS x FROM (
+          SELECT own.m, own.k, 1 / greatest(o.w, 1e-12) AS x FROM own JOIN enter USING (m, i) JOIN o USING (r) UNION ALL
+          SELECT up.m, up.up, k.size / greatest(k.w, 1e-12) FROM up JOIN k ON k.m = up.m AND k.k = up.k) GROUP BY ALL),
+      st AS MATERIALIZED (SELECT k.m, k.k, k.w, gain.x - k.size / greatest(k.w, 1e-12) AS s,
+        (SELECT list(up.k) FROM up WHERE up.m = k.m AND up.up = k.k) AS kids FROM k JOIN gain USING (m, k)),
+      val AS (SELECT m, 0::BIGINT AS k, []::DOUBLE[] AS v, true AS good FROM s UNION ALL
+        SELECT st.m, st.k, list_append(v, greatest(st.s, coalesce(list_sum(list_transform(kids, lambda j: v[j])), 0))),
+          st.s >= coalesce(list_sum(list_transform(kids, lambda j: v[j])), 0) * (1 - 1e-9)
+        FROM val JOIN st ON st.m = val.m AND st.k = val.k + 1),
+      best AS MATERIALIZED (SELECT anc.m, anc.k, max(val.k) AS top FROM anc JOIN val ON val.m = anc.m AND val.k = anc.a
+        WHERE good GROUP BY ALL),
+      pick AS MATERIALIZED (SELECT DISTINCT t.trial, t.m, CASE WHEN k.w < t.epsilon THEN (
+          SELECT min(anc.a) FROM anc JOIN k y ON y.m = anc.m AND y.k = anc.a LEFT JOIN up ON up.m = y.m AND up.k = y.k
+          WHERE anc.m = best.m AND anc.k = best.top AND (y.w > t.epsilon OR up.up IS NULL)) ELSE best.top END AS k
+        FROM best JOIN t USING (m) JOIN k ON k.m = best.m AND k.k = best.top),
+      put AS (SELECT pick.trial, mem.i, max(pick.k) AS k FROM pick JOIN mem ON mem.m = pick.m AND mem.k = pick.k GROUP BY ALL),
+      name AS (SELECT trial, k, min(p.row_id) AS cluster_id FROM put JOIN p USING (i) GROUP BY ALL)
+      SELECT t.trial::BIGINT AS trial, p.row_id, coalesce(name.cluster_id, -1) AS cluster_id FROM t CROSS JOIN p
+      LEFT JOIN put ON put.trial = t.trial AND put.i = p.i LEFT JOIN name ON name.trial = put.trial AND name.k = put.k"""
 
 
 @query("spanning_tree", _TREE)
@@ -113,17 +162,101 @@ def _spanning_tree(spark, sf_dir):
 @query("spanning_tree_rounds", _TREE)
 def _spanning_tree_rounds(spark, sf_dir):
     """The same by the joins and cells that larger tables take."""
-    return _weights(_tree(spark, sf_dir, cell_rows=128, task_rows=0, small_bytes=0)[1])
+    return _weights(_tree(spark, sf_dir, cell_rows=128, small_bytes=0)[1])
 
 
 def _weights(edges):
     return edges.groupBy(tidy(F.col("w")).alias("weight")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query("density_cluster")
+@query("density_cluster", f"SELECT row_id, cluster_id FROM ({_clusters_sql([(0, 5, 0.1)])})")
 def _density(spark, sf_dir):
-    points = t.flat_points(spark, sf_dir)
-    return density.density_clusters(points, 5, 3, 0.01)
+    """Clusters of the vectors on all coordinates."""
+    return density.density_clusters(t.points(spark, sf_dir), 5, 3, 0.1)
+
+
+#: trial, min_cluster_size, epsilon
+SETTINGS = [(0, 5, 0.0), (1, 5, 0.9), (2, 2, 0.0), (3, 2, 0.8), (4, 3, 0.0), (5, 20, 0.0)]
+
+
+def _cut_by_table(spark, sf_dir, **options):
+    points = t.points(spark, sf_dir)
+    nodes, edges = density.spanning_tree(points, 3)
+    found = merge_tree.cut_trees(nodes, edges, SETTINGS, **options)
+    trials = F.explode(F.array(*[F.lit(s[0]).cast("bigint") for s in SETTINGS])).alias("trial")
+    every = density.homes(points, nodes).select("row_id", "pid", trials)
+    return every.join(found, ["trial", "pid"], "left").select(
+        "trial", "row_id", F.coalesce("cluster_id", F.lit(-1)).cast("bigint").alias("cluster_id")
+    )
+
+
+@query("density_trials", _clusters_sql(SETTINGS))
+def _density_trials(spark, sf_dir):
+    """One tree of merges, cut by a table of settings."""
+    return _cut_by_table(spark, sf_dir)
+
+
+@query("density_trials_bands", SQL["density_trials"])
+def _density_bands(spark, sf_dir):
+    """The same in many bands, as for longer trees."""
+    return _cut_by_table(spark, sf_dir, band_rows=60)
+
+
+#: Labellings of the vectors by trial; -1 is noise.
+LABELLINGS = {
+    0: "label",
+    1: "CASE WHEN label = 0 THEN -1 ELSE label END",
+    2: "label % 3",
+    3: "CASE WHEN label < 9 THEN -1 ELSE 9 END",
+    4: "-1",
+}
+_LABELLED = " UNION ALL ".join(
+    f"SELECT {i}::BIGINT AS trial, row_id, point, ({c})::BIGINT AS cluster_id FROM (SELECT vec_id AS row_id, "
+    f"embedding::DOUBLE[] AS point, label FROM embeddings)"
+    for i, c in LABELLINGS.items()
+)
+
+
+@query(
+    "trial_scores",
+    f"""WITH x AS MATERIALIZED ({_LABELLED}), m AS MATERIALIZED (SELECT * FROM x WHERE cluster_id <> -1),
+      d AS MATERIALIZED (SELECT a.row_id, b.row_id AS o, {dist('a.point', 'b.point')} AS d
+        FROM {t.POINTS} a, {t.POINTS} b),
+      pair AS (SELECT a.trial, a.row_id, a.cluster_id AS mine, b.cluster_id AS other, sum(d.d) AS total, count(*) AS n
+        FROM m a JOIN m b ON a.trial = b.trial JOIN d ON d.row_id = a.row_id AND d.o = b.row_id GROUP BY ALL),
+      ab AS (SELECT trial, row_id, max(CASE WHEN mine = other AND n > 1 THEN total / (n - 1) END) AS a,
+        min(CASE WHEN mine <> other THEN total / n END) AS b FROM pair GROUP BY ALL),
+      sil AS (SELECT trial, avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0
+        ELSE (b - a) / greatest(a, b) END) AS s FROM ab GROUP BY trial),
+      dim AS (SELECT trial, cluster_id, row_id, unnest(point) AS v, generate_subscripts(point, 1) AS j FROM m),
+      cen AS (SELECT trial, cluster_id, j, avg(v) AS c, count(*) AS n FROM dim GROUP BY ALL),
+      grand AS (SELECT trial, j, avg(v) AS g FROM dim GROUP BY ALL),
+      bet AS (SELECT trial, sum(n * (c - g) * (c - g)) AS b FROM cen JOIN grand USING (trial, j) GROUP BY trial),
+      wit AS (SELECT trial, sum((v - c) * (v - c)) AS w FROM dim JOIN cen USING (trial, cluster_id, j) GROUP BY trial),
+      z AS (SELECT trial, cluster_id, count(*) AS n FROM m GROUP BY ALL),
+      c AS (SELECT trial, sum(n) AS n, count(*) AS k, CASE WHEN count(*) > 1 THEN 1 - stddev_pop(n) / avg(n) ELSE 0 END AS bal
+        FROM z GROUP BY trial),
+      f AS (SELECT trial, coalesce(c.n, 0) AS n, coalesce(c.k, 0) AS k, total,
+        CASE WHEN c.n > 1 AND c.k > 1 THEN s ELSE 0 END AS silhouette,
+        CASE WHEN c.k >= 2 AND c.n > c.k THEN (b / (c.k - 1)) / (w / (c.n - c.k)) ELSE 0 END AS ch, coalesce(bal, 0) AS bal
+        FROM (SELECT trial, count(*) AS total FROM x GROUP BY trial) LEFT JOIN c USING (trial) LEFT JOIN sil USING (trial)
+        LEFT JOIN bet USING (trial) LEFT JOIN wit USING (trial))
+      SELECT trial, round(silhouette, 6) + 0.0 AS silhouette, round(ch, 6) + 0.0 AS calinski_harabasz,
+        round(bal, 6) + 0.0 AS cluster_balance, round(n / total, 6) + 0.0 AS noise_penalty,
+        round(1 / (1 + abs(k - 10)), 6) + 0.0 AS cluster_count_score,
+        CASE WHEN n >= 2 AND k >= 2 THEN round(0.4 * silhouette + 0.2 * ch / 1000 + 0.2 * bal + 0.1 * n / total
+          + 0.1 / (1 + abs(k - 10)), 6) + 0.0 ELSE 0.0 END AS score FROM f""",
+)
+def _trial_scores(spark, sf_dir):
+    """Several labellings of all vectors, scored in one pass."""
+    e = t.read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "row_id")
+    points = e.select(F.col("row_id").alias("pid"), F.col("embedding").cast("array<double>").alias("point"), F.lit(1).alias("weight"))
+    labels = None
+    for i, c in LABELLINGS.items():
+        one = e.select(F.lit(i).cast("bigint").alias("trial"), F.col("row_id").alias("pid"), F.expr(c).cast("bigint").alias("cluster_id"))
+        labels = one if labels is None else labels.unionByName(one)
+    found = quality.trial_scores(points, labels.where("cluster_id <> -1"), points.count(), list(LABELLINGS))
+    return found.select("trial", *[tidy(F.col(c)).alias(c) for c in found.columns if c != "trial"])
 
 
 @query("pca_reduce")

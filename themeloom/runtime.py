@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Ceiling for anything shipped whole to every executor.
@@ -53,6 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_measured(df: DataFrame, measures: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates of the rows that are taken while they are written."""
+    seen = Observation()
+    written = cut(df.observe(seen, *[c.alias(name) for name, c in measures.items()]))
+    return written, seen.get
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete the tables ``cut`` wrote; call when results derived from them are stored."""
     conf = spark._jsc.hadoopConfiguration()
