@@ -41,7 +41,7 @@ from themeloom.runtime import cut
 LEAST, SHARE, TOP = 10, 50, 2000
 #: Words whose rows are counted together by a worker, at least those of one text; bytes of text
 #: whose rows meet in one block group.
-CHUNK, GROUP_BYTES = 6_000_000, 8 << 20
+CHUNK, GROUP_BYTES = 3_000_000, 8 << 20
 #: Piece ends become line feeds, A-Z lower case.
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r", bytes(range(97, 123)) + b"\n" * 9)
 _BLOCK = "lang string, part int, x binary, y binary, z binary, n binary"
@@ -62,11 +62,11 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64)
 
 
-def _dealt(lang: str, words: list[pa.Array], codes: list[np.ndarray], n: np.ndarray, parts: int):
+def _dealt(lang: str, words: list[pa.Array], hashes: list[np.ndarray], codes: list[np.ndarray], n: np.ndarray, parts: int):
     """Blocks of rows of coded words, by the hash of the row."""
     mixed = np.zeros(len(n), np.uint64)
-    for w, c in zip(words, codes):
-        mixed = (mixed ^ _hashes(w)[c]) * np.uint64(0x9E3779B97F4A7C15)
+    for h, c in zip(hashes, codes):
+        mixed = (mixed ^ h[c]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     part = (mixed % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -120,9 +120,10 @@ def graph_blocks(docs: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
 
         def flush():
             words = pa.array([b"\n", *(w + b"\n" for w in list(number)[1:])], pa.large_binary()).cast(pa.large_string())
+            hashes = _hashes(words)
             for lang, mine in texts.items():
                 codes, n = _counted(mine, len(words))
-                yield pa.RecordBatch.from_pydict(_dealt(lang, [words] * 3, codes, n, parts), _SCHEMA)
+                yield pa.RecordBatch.from_pydict(_dealt(lang, [words] * 3, [hashes] * 3, codes, n, parts), _SCHEMA)
 
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"]):
@@ -179,7 +180,7 @@ def flows(docs: DataFrame, least: int, chunk: int = CHUNK, group_bytes: int = GR
         heavy = np.flatnonzero((n >= least) & (codes[2] != _missing(words[2])))
         first = np.r_[True, (np.diff(codes[0]) != 0) | (np.diff(codes[1]) != 0)]
         flow = np.add.reduceat(n, np.flatnonzero(first))
-        blocks = _dealt(lang, words[:2], [c[first] for c in codes[:2]], flow, parts)
+        blocks = _dealt(lang, words[:2], [_hashes(w) for w in words[:2]], [c[first] for c in codes[:2]], flow, parts)
         return _table(lang, _found(words, codes, n, heavy), blocks)
 
     def of_pairs(key, blocks):
