@@ -53,8 +53,8 @@ def test_components(spark, task_rows):
     assert sorted(each.where("g = 8").drop("g").collect()) == sorted(part.collect())
 
 
-@pytest.mark.parametrize("dim,direct", [(2, 4096), (2, 0), (3, 10), (5, 4096)])
-def test_eps_components(spark, dim, direct):
+@pytest.mark.parametrize("dim,direct,axes,rows", [(2, 4096, 3, 9), (2, 0, 3, 9), (3, 10, 3, 9), (5, 4096, 9, 9), (5, 1, 3, 2048), (12, 1, 3, 16), (2, 1, 0, 30)])
+def test_eps_components(spark, dim, direct, axes, rows):
     rng = np.random.default_rng(dim)
     x = np.vstack(
         [rng.normal(0, 0.12, (60, dim)), rng.normal(1, 0.25, (60, dim)), rng.uniform(-2, 3, (40, dim))]
@@ -62,7 +62,10 @@ def test_eps_components(spark, dim, direct):
     x = np.vstack([x, np.repeat(x[:1], 15, axis=0), np.repeat(x[150:151], 6, axis=0)])
     eps = 0.15 * np.sqrt(dim)
     want = eps_brute(x, eps, 3, 5)
-    got = labels_of(density.eps_components(make_points(spark, x), eps, 3, 5, direct), len(x))
+    points = make_points(spark, x).unionByName(spark.createDataFrame([(-5, None, None)], "row_id bigint, point array<double>, cluster_id int"))
+    found = density.eps_components(points, eps, 3, 5, direct, axes, rows)
+    assert found.where("row_id = -5").first()["cluster_id"] == -1
+    got = labels_of(found.where("row_id >= 0"), len(x))
     assert list(got) == list(want)
     assert len(set(want)) > 2
 

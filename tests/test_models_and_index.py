@@ -43,6 +43,29 @@ def test_written_index_finds_neighbours(spark, vectors, tmp_path):
         some = neighbors.search_index(index, model, list(x[q]), 5, probes=4).collect()
         hits += len({r["index"] for r in some} & set(want.tolist()))
     assert hits >= 0.9 * 30
+    # many queries at once: all cells are exact, some cells prune the scan and keep the recall
+    centers = neighbors.cell_centers(spark, model)
+    asked = df.select("row_id", F.col("embedding").alias("point")).unionByName(
+        spark.createDataFrame([(999, None), (1000, [0.0] * 6)], "row_id bigint, point array<double>")
+    )
+    full = neighbors.search_many(index, centers, asked, 6, 5, probes=6).collect()
+    for q in (0, 57, 119):
+        want = np.argsort(-(unit @ unit[q]), kind="stable")[:5].tolist()
+        assert [r["neighbor_id"] for r in sorted(full, key=lambda r: (r["row_id"], r["rank"])) if r["row_id"] == q] == want
+    assert [r["neighbor_id"] for r in full if r["row_id"] == 1000 and r["rank"] == 1] == [0]
+    assert not [r for r in full if r["row_id"] == 999]
+    one = asked.where("row_id = 57")
+    some = neighbors.search_many(index, centers, one, 6, 5, probes=2)
+    near = neighbors.probe_cells(one, centers, 2).collect()
+    assert len({r["cell"] for r in near}) == 2
+    held = index.where(F.col("cell").isin([r["cell"] for r in near]))
+    assert "PartitionFilters: [cell" in held._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert {r["neighbor_id"] for r in some.collect()} <= {r["row_id"] for r in held.select("row_id").collect()}
+    every = df.select("row_id", F.col("embedding").alias("point"))
+    found = neighbors.search_many(index, centers, every, 6, 5, probes=4)
+    assert neighbors.recall(found, neighbors.cosine_top_k(every, every, 6, 5)).first()["recall"] >= 0.9
 
 
 def test_language_scores_follow_the_formula(spark):

@@ -17,11 +17,13 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import vector
-from themeloom.operators.graph import connected_components
+from themeloom.operators import blocks
+from themeloom.operators.graph import connected_components, least_labels
 from themeloom.operators.merge_tree import BAND_ROWS, cut_trees
 from themeloom.operators.neighbors import (
     CELL_ROWS,
@@ -59,20 +61,26 @@ def eps_components(
     min_samples: int = 3,
     min_cluster_size: int = 5,
     direct_pairs: int = DIRECT_PAIRS,
+    grid_axes: int = GRID_AXES,
+    block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
     """(row_id, cluster_id): a point is core if ``min_samples`` points (itself included)
     lie within ``eps``; core points within ``eps`` of each other share a cluster, named by
     its smallest row_id. All else, and clusters below ``min_cluster_size``, is noise (-1).
 
-    Cells are so small that points of one cell are always within ``eps``. A cell with
-    ``min_samples`` points is core and connected as it stands, whatever it holds; only
-    thin cells count neighbours, and clusters form over cells, not points.
+    Up to ``grid_axes`` coordinates: cells are so small that points of one cell are always within
+    ``eps``. A cell with ``min_samples`` points is core and connected as it stands, whatever it
+    holds; only thin cells count neighbours, and clusters form over cells, not points. With more
+    coordinates such cells hold single points, and blocks of near points meet instead
+    (``_block_components``). Rows without a point are noise.
     """
-    folded = cut(fold_copies(points))
+    folded = cut(fold_copies(points.where("point IS NOT NULL")))
     head = folded.select(F.size("point").alias("d")).first()
     if head is None:
         return points.select("row_id", F.lit(NOISE).cast("bigint").alias("cluster_id"))
     d = head["d"]
+    if d > grid_axes:
+        return _named(points, _block_components(folded, eps, min_samples, block_rows), min_cluster_size)
     side = eps / sqrt(d) * (1 - 1e-9)
     reach = ceil(eps / side)
     axes = min(d, GRID_AXES)
@@ -159,7 +167,11 @@ def eps_components(
     found = connected_components(edges)
     named = cells.select("cell", F.col("node")).join(found, "node", "left")
     named = named.select("cell", F.coalesce("comp", "node").alias("comp"))
-    labelled = core.join(named, "cell").select("point", "copies", "comp")
+    return _named(points, core.join(named, "cell").select("point", "copies", "comp"), min_cluster_size)
+
+
+def _named(points: DataFrame, labelled: DataFrame, min_cluster_size: int) -> DataFrame:
+    """Labels of all rows from the components (point, copies, comp) of the core points."""
     big = (
         labelled.groupBy("comp")
         .agg(F.sum("copies").alias("n"))
@@ -172,6 +184,67 @@ def eps_components(
     ).select("row_id", F.coalesce("comp", F.lit(NOISE)).cast("bigint").alias("cluster_id"))
 
 
+def _block_components(folded: DataFrame, eps: float, min_samples: int, rows: int) -> DataFrame:
+    """(point, copies, comp) of the core points, by blocks of near points.
+
+    Pairs of blocks whose boxes come within ``eps`` meet twice: to count neighbours, which leaves a
+    row per point, and to link core points, which leaves the edges of a forest.
+    """
+    n = folded.count()
+    held = folded.select(F.col("pid").alias("row_id"), "point", F.col("copies").alias("weight"))
+    tree = blocks.fit_tree(held, n, rows)
+    packed = cut(blocks.pack(held, tree, rows))
+
+    def near(a: dict, b: dict):
+        """Steps of (start, bits of the pairs within eps) over the rows of a."""
+        (_, x), (_, y) = blocks.unpacked(a), blocks.unpacked(b)
+        step = max(1, 4_000_000 // max(1, len(y)))
+        for at in range(0, len(x), step):
+            yield at, distances(x[at : at + step], y) <= eps
+
+    def count(q: dict, others: list[dict]) -> pa.Table:
+        ids, totals = [], []
+        own, _ = blocks.unpacked(q)
+        for b in others:
+            them, _ = blocks.unpacked(b)
+            mine, theirs = np.zeros(len(own)), np.zeros(len(them))
+            for at, hit in near(q, b):
+                mine[at : at + len(hit)] = hit @ np.frombuffer(b["w"], "<i8")
+                theirs += np.frombuffer(q["w"], "<i8")[at : at + len(hit)] @ hit
+            ids += [own] + [them] * (b["block"] != q["block"])
+            totals += [mine] + [theirs] * (b["block"] != q["block"])
+        return pa.table({"pid": pa.array(np.concatenate(ids)), "n": pa.array(np.concatenate(totals).astype(np.int64))})
+
+    def link(q: dict, others: list[dict]) -> pa.Table:
+        a, b = [], []
+        own, _ = blocks.unpacked(q)
+        for o in others:
+            them, _ = blocks.unpacked(o)
+            rows_, columns = [], []
+            for at, hit in near(q, o):
+                i, j = np.nonzero(hit)
+                rows_.append(i + at)
+                columns.append(j)
+            i, j = (np.concatenate([*x, np.zeros(0, int)]) for x in (rows_, columns))
+            names = np.concatenate([own, them])
+            rank = np.argsort(np.argsort(names, kind="stable"))  # least labels are least names
+            label = least_labels(rank[i], rank[j + len(own)], len(names))
+            least = np.sort(names)[label[rank]]
+            edge = least != names
+            a.append(names[edge])
+            b.append(least[edge])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    counted = blocks.meet(blocks.pairs_within(packed, eps), packed, packed, count, "pid bigint, n bigint")
+    core = cut(counted.groupBy("pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).join(folded, "pid"))
+    only = cut(blocks.pack(core.select(F.col("pid").alias("row_id"), "point"), tree, rows))
+    edges = blocks.meet(blocks.pairs_within(only, eps), only, only, link, "a bigint, b bigint")
+    found = connected_components(edges)
+    return core.join(found.withColumnRenamed("node", "pid"), "pid", "left").select(
+        "point", "copies", F.coalesce("comp", "pid").alias("comp")
+    )
+
+
 def _cell_of(width: float):
     return F.transform("point", lambda x: F.floor(x / width))
 

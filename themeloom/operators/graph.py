@@ -50,6 +50,19 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select(*_KEY, F.col("m").alias("b"))).distinct()
 
 
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of the nodes 0 to n - 1 that each is linked to by edges (a, b), within one task."""
+    label, before = np.arange(n), None
+    while before is None or not np.array_equal(label, before):
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    return label
+
+
 def _stars(task_rows: int):
     def joined(f: pd.DataFrame) -> pd.DataFrame:
         part = f["part"].to_numpy()
@@ -60,15 +73,7 @@ def _stars(task_rows: int):
         code = np.empty(len(ends), np.int64)
         code[order] = np.cumsum(new) - 1
         part, node = both[order][new], ends[order][new]
-        a, b = code[: len(f)], code[len(f) :]
-        label, before = np.arange(len(node)), None
-        while before is None or not np.array_equal(label, before):
-            before = label.copy()
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            while not np.array_equal(label, label[label]):
-                label = label[label]
+        label = least_labels(code[: len(f)], code[len(f) :], len(node))
         leaf = label != np.arange(len(node))
         return pd.DataFrame({"part": part[leaf], "a": node[leaf], "b": node[label[leaf]]})
 

@@ -1,10 +1,10 @@
 """Exact and approximate nearest neighbours of vectors.
 
-The exact join follows the pivot scheme of Lu, Shen, Chen and Ooi (2012): points are cut
-into cells around sampled pivots, every query searches its own cell, and the k-th distance
-found there tells, through the triangle inequality, which other cells can still matter.
-Cells and the queries visiting them are split into bounded blocks, so a dense region only
-means more tasks. Pairs exist inside a task as a NumPy block; k rows per query leave it.
+The exact join works on blocks of near points (``blocks``): every query searches the block nearest
+to it, and the k-th distance found there tells, through bounds from orthogonal projections, which
+other blocks can still matter. A dense region only means more blocks. Pairs exist inside a task as
+a NumPy block; k rows per query leave it. Spanning trees search in cells around sampled pivots, with
+the bounds of the triangle inequality (Lu, Shen, Chen and Ooi 2012).
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import vector
+from themeloom.operators import blocks
 from themeloom.runtime import BROADCAST_BYTES, cut, fits, sized_broadcast
 
 #: Aimed-at rows of a cell block and of a query block.
@@ -182,20 +184,6 @@ def blocked(visits: DataFrame, members: DataFrame, columns: list[str], run, sche
     return left.groupBy(*keys).cogroup(grouped).applyInPandas(run, schema)
 
 
-def _search(visits: DataFrame, cells: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Top-k of every (query, cell) visit."""
-
-    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"row_id": [], "neighbor_id": [], "distance": []})
-        return block_top_k(
-            q["row_id"].to_numpy(), matrix(q["point"]),
-            p["r_row_id"].to_numpy(), matrix(p["r_point"]), k, skip_self,
-        )
-
-    return blocked(visits, cells, ["row_id", "point"], run, FOUND)
-
-
 def knn_join(
     queries: DataFrame,
     points: DataFrame,
@@ -206,52 +194,92 @@ def knn_join(
 ) -> DataFrame:
     """(row_id, neighbor_id, distance, rank): the k nearest points of every query.
 
-    Both sides carry (row_id bigint, point array<double>). Exact; ties to the lower id.
+    Both sides carry (row_id bigint, point array<double>); rows without a point take no part.
+    Exact; ties to the lower id.
     """
-    points = cut(points.select("row_id", vector.as_double(F.col("point")).alias("point")))
-    queries = queries.select("row_id", vector.as_double(F.col("point")).alias("point"))
+    points = points.where("point IS NOT NULL").select("row_id", vector.as_double(F.col("point")).alias("point"))
+    points = cut(points)
+    queries = queries.where("point IS NOT NULL").select("row_id", vector.as_double(F.col("point")).alias("point"))
     n = points.count()
     first = points.select(F.size("point").alias("d")).first()
     dim = first["d"] if first else 1
     if n * (8 * dim + 8) <= small_bytes:
         return _small_side(queries, points, k, skip_self)
 
-    cells, pivots, radius = make_cells(points, cell_rows)
-    placed = cells if skip_self else cut(_place(queries, pivots))
-    own = cut(_search(placed.select("row_id", "cell", "point"), cells, k, skip_self))
-    bounds = (
-        _keep_k(own, k)
-        .groupBy("row_id")
-        .agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("have"))
-        .select("row_id", F.when(F.col("have") >= k, F.col("kth")).alias("kth"))
-    )
-    share = points.sparkSession.sparkContext.broadcast((pivots, radius))
-    has_bound = placed.join(bounds, "row_id", "left")
-
-    def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, r = share.value
-        for frame in frames:
-            if not len(frame):
+    tree = blocks.fit_tree(points, n, cell_rows)
+    members = cut(blocks.pack(points, tree, cell_rows))
+    asked = members if skip_self else cut(blocks.pack(queries, tree, cell_rows))
+    own = cut(_meet(blocks.search_pairs(asked, members, tree, None), asked, members, k, skip_self))
+    limits = _limits(asked, own, k)
+    rest = _meet(blocks.search_pairs(asked, members, tree, limits), asked, members, k, skip_self)
+    return _keep_k(own.unionByName(rest), k)
+
+
+def _meet(pairs: DataFrame, asked: DataFrame, members: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """The k nearest, among the blocks of each task, of the queries that must look into them. Blocks
+    come nearest first, and a query that has k neighbours closer than a block passes it over."""
+
+    def run(q: dict, rows: list[dict]) -> pa.Table:
+        qid, x = blocks.unpacked(q)
+        best = pd.DataFrame({"row_id": [], "neighbor_id": [], "distance": []})
+        limit = np.full(len(qid), np.inf)
+        for row in rows:
+            who = np.unpackbits(np.frombuffer(row["who"], np.uint8), count=len(qid)).astype(bool)
+            who &= row["gap"] <= limit
+            if not who.any():
                 continue
-            x, step = matrix(frame["point"]), max(1, 4_000_000 // len(p))
-            limit = frame["kth"].fillna(np.inf).to_numpy(dtype=float)
-            mine = frame["cell"].to_numpy()
-            lists = []
-            for at in range(0, len(x), step):
-                low = distances(x[at : at + step], p) - r[None, :]
-                # a hair of slack so that rounding never hides an equal distance
-                top = limit[at : at + step] * (1 + 1e-12) + 1e-12
-                see = (low <= top[:, None]) & (r[None, :] >= 0)
-                see[np.arange(len(low)), mine[at : at + step]] = False
-                lists += [np.flatnonzero(row).astype("int32") for row in see]
-            yield pd.DataFrame({"row_id": frame["row_id"], "cells": lists, "point": frame["point"]})
-
-    visits = cut(
-        has_bound.select("row_id", "point", "cell", "kth")
-        .mapInPandas(others, "row_id bigint, cells array<int>, point array<double>")
-        .select("row_id", F.explode("cells").alias("cell"), "point")
-    )
-    return _keep_k(own.unionByName(_search(visits, cells, k, skip_self)), k)
+            pid, y = blocks.unpacked(row)
+            found = block_top_k(qid[who], x[who], pid, y, k, skip_self)
+            best = pd.concat([best, found], ignore_index=True) if len(best) else found
+            best = best.sort_values(["row_id", "distance", "neighbor_id"], ignore_index=True)
+            place = best.groupby("row_id").cumcount()
+            best = best[place < k]
+            full = best[place[place < k] == k - 1]
+            limit[np.searchsorted(qid, full["row_id"].to_numpy())] = full["distance"].to_numpy()
+        return pa.table({
+            "row_id": pa.array(best["row_id"], pa.int64()), "neighbor_id": pa.array(best["neighbor_id"], pa.int64()),
+            "distance": pa.array(best["distance"], pa.float64()),
+        })
+
+    return blocks.meet(pairs, asked, members, run, FOUND)
+
+
+def _limits(asked: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """(block, kth): for every block its queries' k-th distance so far, in order of the ids, NULL
+    with fewer than k neighbours."""
+    known = own.groupBy("row_id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("have"))
+    known = known.select("row_id", F.when(F.col("have") >= k, F.col("far")).alias("far"))
+
+    def ids(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                own_ids = np.frombuffer(row["ids"], "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own_ids), row["block"])), pa.array(own_ids)], ["block", "row_id"])
+
+    placed = asked.select("block", "ids").mapInArrow(ids, "block bigint, row_id bigint")
+    in_order = F.array_sort(F.collect_list(F.struct("row_id", "far")))
+    return placed.join(known, "row_id", "left").groupBy("block").agg(F.transform(in_order, lambda r: r["far"]).alias("kth"))
+
+
+def open_share(points: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """One row (pairs, open): pairs of a point and a block, and those that the bounds leave open
+    for the k nearest neighbours."""
+    points = cut(points.select("row_id", vector.as_double(F.col("point")).alias("point")))
+    tree = blocks.fit_tree(points, points.count(), cell_rows)
+    members = cut(blocks.pack(points, tree, cell_rows))
+    own = cut(_meet(blocks.search_pairs(members, members, tree, None), members, members, k, True))
+    rest = blocks.search_pairs(members, members, tree, _limits(members, own, k))
+    size = members.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("b"))
+    return size.select((F.col("n") * F.col("b")).alias("pairs"), (F.col("n") + _ones(rest).scalar()).alias("open"))
+
+
+def _ones(pairs: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            n = [int.from_bytes(w, "big").bit_count() for w in b["who"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+
+    return pairs.select("who").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)))
 
 
 def _unit(column: Column, dim: int, side: int) -> Column:
@@ -388,3 +416,56 @@ def search_index(
 
 def place_in_cells(points: DataFrame, model: KMeansModel, column: str = "embedding") -> DataFrame:
     return model.transform(_normal(points, column)).drop("_unit")
+
+
+def cell_centers(spark: SparkSession, model: KMeansModel) -> DataFrame:
+    """(cell, center) of an index."""
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(rows, "cell int, center array<double>")
+
+
+def probe_cells(queries: DataFrame, centers: DataFrame, probes: int) -> DataFrame:
+    """(row_id, point, cell): every query (row_id, point) with the ``probes`` cells nearest to its
+    direction. The centers are one row, as many as the model has cells."""
+    held = centers.agg(F.collect_list(F.struct("cell", "center")).alias("_centers"))
+    v = vector.as_double(F.col("point"))
+    unit = F.when(vector.norm(v) == 0, v).otherwise(F.transform(v, lambda x: x / vector.norm(v)))
+    asked = queries.where("point IS NOT NULL").select("row_id", "point", unit.alias("_unit")).crossJoin(F.broadcast(held))
+    far = F.transform("_centers", lambda c: F.struct(vector.squared_euclidean(F.col("_unit"), c["center"]), c["cell"].alias("cell")))
+    near = F.slice(F.array_sort(far), 1, probes)
+    return asked.select("row_id", "point", F.explode(near).alias("_near")).select("row_id", "point", "_near.cell")
+
+
+def search_many(
+    index: DataFrame, centers: DataFrame, queries: DataFrame, dim: int, k: int = 5, probes: int = 4, column: str = "embedding"
+) -> DataFrame:
+    """(row_id, neighbor_id, similarity, rank): approximate top-k by cosine for every query, exact
+    inside its ``probes`` cells.
+
+    The cells that any query probes, at most those of the model, become a partition filter of a
+    written index; queries and members then meet cell by cell in bounded blocks.
+    """
+    visits = cut(probe_cells(queries, centers, probes).withColumn("point", _unit(F.col("point"), dim, 0)))
+    wanted = [r["cell"] for r in visits.select("cell").distinct().collect()]
+    held = index.where(F.col("cell").isin(wanted) & F.col(column).isNotNull())
+    members = held.select("row_id", "cell", _unit(F.col(column), dim, 1).alias("point"))
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame({"row_id": [], "neighbor_id": [], "distance": []})
+        own = q["row_id"].to_numpy(), matrix(q["point"])
+        return block_top_k(*own, p["r_row_id"].to_numpy(), matrix(p["r_point"]), k, False)
+
+    found = _keep_k(blocked(visits, members, ["row_id", "point"], run, FOUND), k)
+    return found.select(
+        "row_id", "neighbor_id", (1 - F.col("distance") * F.col("distance") / 2).alias("similarity"), "rank"
+    )
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row (wanted, found, recall): the share of the exact neighbours that were found."""
+    hits = exact.select("row_id", "neighbor_id").join(
+        found.select("row_id", "neighbor_id", F.lit(1).alias("_hit")), ["row_id", "neighbor_id"], "left"
+    )
+    n, hit = F.count(F.lit(1)), F.count("_hit")
+    return hits.agg(n.alias("wanted"), hit.alias("found"), F.when(n > 0, hit / n).otherwise(F.lit(1.0)).alias("recall"))

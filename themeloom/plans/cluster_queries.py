@@ -24,14 +24,14 @@ def query(name, sql=None):
     return keep
 
 
-EPS = 0.015
+#: Distances in two coordinates and in all.
+EPS, EPS_ALL = 0.015, 1.14
 
 
-@query(
-    "eps_components",
-    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {t.FLAT}),
+def _eps_sql(source, eps):
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {source}),
       near AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b FROM p a, p b
-        WHERE {dist('a.point', 'b.point')} <= {EPS}),
+        WHERE {dist('a.point', 'b.point')} <= {eps}),
       core AS MATERIALIZED (SELECT a FROM near GROUP BY a HAVING count(*) >= 3),
       link AS MATERIALIZED (SELECT near.a, near.b FROM near JOIN core x ON x.a = near.a
         JOIN core y ON y.a = near.b),
@@ -40,16 +40,27 @@ EPS = 0.015
       lab AS (SELECT node, min(comp) AS comp FROM walk GROUP BY node),
       big AS (SELECT comp FROM lab GROUP BY comp HAVING count(*) >= 5)
       SELECT p.row_id, coalesce(big.comp, -1) AS cluster_id FROM p
-      LEFT JOIN lab ON lab.node = p.row_id LEFT JOIN big ON big.comp = lab.comp""",
-)
+      LEFT JOIN lab ON lab.node = p.row_id LEFT JOIN big ON big.comp = lab.comp"""
+
+
+@query("eps_components", _eps_sql(t.POINTS, EPS_ALL))
 def _eps(spark, sf_dir):
+    """All coordinates: blocks of near points meet."""
+    return density.eps_components(t.points(spark, sf_dir), EPS_ALL, 3, 5, block_rows=64)
+
+
+@query("eps_components_flat", _eps_sql(t.FLAT, EPS))
+def _eps_flat(spark, sf_dir):
+    """Two coordinates: the grid."""
     return density.eps_components(t.flat_points(spark, sf_dir), EPS, 3, 5)
 
 
 _REACH = f"""p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) AS i, row_id, point
-    FROM {t.POINTS}),
+    FROM source_points),
   d AS MATERIALIZED (SELECT a.i, b.i AS j, {dist('a.point', 'b.point')} AS d FROM p a, p b),
   core AS MATERIALIZED (SELECT i, list_sort(list(d))[3] AS core FROM d WHERE i <> j GROUP BY i)"""
+_REACH_FLAT = _REACH.replace("source_points", t.FLAT)
+_REACH = _REACH.replace("source_points", t.POINTS)
 
 
 def _tree(spark, sf_dir, **options):
@@ -70,11 +81,11 @@ def _core(spark, sf_dir):
     return nodes.select(F.col("pid").alias("row_id"), tidy(F.col("core")).alias("core"))
 
 
-def _tree_sql(rounds=11, jumps=11):
+def _tree_sql(reach, rounds=11, jumps=11):
     """Boruvka rounds written out: each takes every group's lightest edge and renames the groups
     by following these edges to the smaller end of the pair that chose each other."""
     parts = [
-        _REACH,
+        reach,
         """w AS MATERIALIZED (SELECT d.i, d.j, greatest(d.d, x.core, y.core) AS w FROM d
           JOIN core x ON x.i = d.i JOIN core y ON y.i = d.j WHERE d.i <> d.j)""",
         "l0 AS MATERIALIZED (SELECT i, i AS c FROM p)",
@@ -100,16 +111,16 @@ def _tree_sql(rounds=11, jumps=11):
     return ", ".join([*parts, f"e AS MATERIALIZED ({taken})"])
 
 
-_EDGES = _tree_sql()
+_EDGES = _tree_sql(_REACH)
 _TREE = f"WITH {_EDGES} SELECT round(w, 6) + 0.0 AS weight, count(*) AS edges FROM e GROUP BY ALL"
 
 
-def _clusters_sql(settings):
+def _clusters_sql(settings, edges=_EDGES):
     """Labels of settings (trial, min_cluster_size, epsilon), from the definition: every state of the
     merging is a list of component numbers, and a cluster is a side of a merge whose sides both have
     the size."""
     table = ", ".join(f"({i}, {m}, {e})" for i, m, e in settings)
-    return f"""WITH RECURSIVE {_EDGES},
+    return f"""WITH RECURSIVE {edges},
       t AS MATERIALIZED (SELECT * FROM (VALUES {table}) v(trial, m, epsilon)),
       s AS MATERIALIZED (SELECT DISTINCT m FROM t),
       o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w, lo, hi) AS r FROM e),
@@ -179,11 +190,14 @@ def _density(spark, sf_dir):
 SETTINGS = [(0, 5, 0.0), (1, 5, 0.9), (2, 2, 0.0), (3, 2, 0.8), (4, 3, 0.0), (5, 20, 0.0)]
 
 
-def _cut_by_table(spark, sf_dir, **options):
-    points = t.points(spark, sf_dir)
+#: The same for two coordinates, in which there are many small clusters.
+FLAT_SETTINGS = [(0, 5, 0.0), (1, 5, 0.012), (2, 2, 0.0), (3, 2, 0.012), (4, 3, 0.02), (5, 20, 0.0)]
+
+
+def _cut_by_table(points, settings, **options):
     nodes, edges = density.spanning_tree(points, 3)
-    found = merge_tree.cut_trees(nodes, edges, SETTINGS, **options)
-    trials = F.explode(F.array(*[F.lit(s[0]).cast("bigint") for s in SETTINGS])).alias("trial")
+    found = merge_tree.cut_trees(nodes, edges, settings, **options)
+    trials = F.explode(F.array(*[F.lit(s[0]).cast("bigint") for s in settings])).alias("trial")
     every = density.homes(points, nodes).select("row_id", "pid", trials)
     return every.join(found, ["trial", "pid"], "left").select(
         "trial", "row_id", F.coalesce("cluster_id", F.lit(-1)).cast("bigint").alias("cluster_id")
@@ -192,14 +206,14 @@ def _cut_by_table(spark, sf_dir, **options):
 
 @query("density_trials", _clusters_sql(SETTINGS))
 def _density_trials(spark, sf_dir):
-    """One tree of merges, cut by a table of settings."""
-    return _cut_by_table(spark, sf_dir)
+    """One tree of merges on all coordinates, cut by a table of settings."""
+    return _cut_by_table(t.points(spark, sf_dir), SETTINGS)
 
 
-@query("density_trials_bands", SQL["density_trials"])
+@query("density_trials_bands", _clusters_sql(FLAT_SETTINGS, _tree_sql(_REACH_FLAT)))
 def _density_bands(spark, sf_dir):
-    """The same in many bands, as for longer trees."""
-    return _cut_by_table(spark, sf_dir, band_rows=60)
+    """Two coordinates, and a tree in many bands, as longer trees have them."""
+    return _cut_by_table(t.flat_points(spark, sf_dir), FLAT_SETTINGS, band_rows=60)
 
 
 #: Labellings of the vectors by trial; -1 is noise.

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from themeloom.functions import fixed, vector
 from themeloom.operators import clusters, drift, embed, graph, neighbors, quality, rows, tuning
 from themeloom.plans import sqltext as q
 from themeloom.plans import tables as t
-from themeloom.runtime import tidy
+from themeloom.runtime import ensure_checkpoint_dir, tidy
 
 RUN, SQL = {}, {}
 DIM = 64
@@ -173,9 +175,38 @@ def _ann_all(spark, sf_dir):
     return _tidied(found, "similarity")
 
 
+def _written_index(spark, sf_dir, cells=8):
+    e = t.read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "row_id")
+    model = neighbors.fit_cells(e, cells)
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    neighbors.write_index(e, model, path)
+    asked = e.select("row_id", F.col("embedding").cast("array<double>").alias("point"))
+    return spark.read.parquet(f"{path}/vectors"), neighbors.cell_centers(spark, model), asked
+
+
+@query(
+    "ann_batch",
+    f"""WITH r AS (SELECT a.vec_id AS row_id, b.vec_id AS neighbor_id, {q.cosine('a.v', 'b.v')} AS s FROM {E64} a, {E64} b),
+      w AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, neighbor_id) AS rank FROM r)
+      SELECT row_id, neighbor_id, rank, round(s, 6) + 0.0 AS similarity FROM w WHERE rank <= 5""",
+)
+def _ann_batch(spark, sf_dir):
+    """Every vector as a query on a written index, all cells probed: the exact answer."""
+    found = neighbors.search_many(*_written_index(spark, sf_dir), DIM, 5, probes=8)
+    return _tidied(found.withColumn("rank", F.col("rank").cast("bigint")), "similarity")
+
+
+@query("ann_recall")
+def _ann_recall(spark, sf_dir):
+    """Share of the five nearest that six of eight cells hold, every vector as a query."""
+    index, centers, asked = _written_index(spark, sf_dir)
+    found = neighbors.search_many(index, centers, asked, DIM, 5, probes=6)
+    return neighbors.recall(found, neighbors.cosine_top_k(asked, asked, DIM, 5))
+
+
 @query("knn_graph_cells", SQL["knn_graph"])
 def _knn_cells(spark, sf_dir):
-    """The pivot join, which larger tables take."""
+    """Blocks of near points, which larger tables take."""
     found = neighbors.knn_graph(t.points(spark, sf_dir), 5, small_bytes=0, cell_rows=64)
     return _tidied(found.withColumn("rank", F.col("rank").cast("bigint")), "distance")
 
