@@ -231,7 +231,7 @@ def test_encoder_equals_library(spark, docs, texts, odd):
         assert sorted(map(str, rows(enc))) == sorted(str((i, ids)) for i, ids, _ in want)
         assert sorted(map(str, rows(pair_merges.decode(enc)))) == sorted(str((i, t)) for i, _, t in want)
         digest = [(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, ids, t in want]
-        assert sorted(map(str, rows(pair_merges.digests(enc)))) == sorted(map(str, digest))
+        assert sorted(map(str, rows(pair_merges.digests(made)))) == sorted(map(str, digest))
 
 
 def test_chunks_and_memory_do_not_matter(spark, texts, monkeypatch):
@@ -272,6 +272,6 @@ def test_files_that_do_not_fit_are_refused():
 
 
 def test_pairs_of_nothing(spark, none):
-    assert rows(pair_merges.digests(pair_merges.encode(none))) == []
+    assert rows(pair_merges.digests(none)) == []
     df = spark.createDataFrame([(1, None), (2, [3306, 10**6, -4])], "doc_id long, ids array<int>")
     assert rows(pair_merges.decode(df)) == [(1, ""), (2, "hello</w>")]

@@ -35,8 +35,9 @@ from tokenizers import Tokenizer
 
 from themeloom.llm.common import table
 
-#: Bytes of text whose words are merged together, rows a batch, and parts that are remembered.
-CHUNK, ROWS, PARTS_KEPT = 16 << 20, 2048, 400_000
+#: Bytes of text whose words are merged together, at least those of one text, and parts that are
+#: remembered.
+CHUNK, PARTS_KEPT = 4 << 20, 200_000
 
 
 class Merger:
@@ -141,7 +142,7 @@ class Codec:
         size = max(names) + 1
         self.tokens = pa.array([f"{names[i]} " if i in names else "" for i in range(size)], pa.large_string())
         self.numbers = pa.array([f"{i} " for i in range(size)], pa.large_string())
-        self.seen: dict[bytes, np.ndarray] = {}
+        self.seen: dict[bytes, bytes] = {}  # ids as little-endian 32-bit numbers
 
     def _words_of(self, part: bytes) -> list:
         """Words (texts) and special tokens (ids) of a part without white space."""
@@ -155,9 +156,30 @@ class Codec:
                 out += [w for w, _ in self.words.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
+    def _words_of_all(self, parts: list[bytes]) -> list[list]:
+        """``_words_of`` each part; plain ASCII parts go through the splits as one text, which keeps
+        its length, so that a word's place tells its part."""
+        out: list = [None] * len(parts)
+        plain = [i for i, p in enumerate(parts) if p.isascii() and not (self.special and self.splits.search(p.decode()))]
+        for at in range(0, len(plain), 4096):
+            group = plain[at : at + 4096]
+            text = b" ".join([parts[i] for i in group]).decode()
+            normal = self.words.normalizer.normalize_str(text) if self.words.normalizer else text
+            words = self.words.pre_tokenizer.pre_tokenize_str(normal)
+            ends = np.cumsum([len(parts[i]) + 1 for i in group])
+            first, last = np.array([o for _, o in words], np.int64).reshape(-1, 2).T
+            home = np.searchsorted(ends, first, "right")
+            if len(normal) != len(text) or (last >= ends[home]).any():
+                continue
+            for i in group:
+                out[i] = []
+            for (w, _), h in zip(words, home.tolist()):
+                out[group[h]].append(w)
+        return [self._words_of(p) if o is None else o for p, o in zip(parts, out)]
+
     def _learn(self, parts: list[bytes]) -> None:
         """Merge the distinct words of new parts together and remember the parts' ids."""
-        lists = [self._words_of(p) for p in parts]
+        lists = self._words_of_all(parts)
         words = list(dict.fromkeys(w for ws in lists for w in ws if isinstance(w, str)))
         symbols, ends, get = [], [], self.vocab.__getitem__
         for w in words:
@@ -165,11 +187,10 @@ class Codec:
             symbols.append(get(w[-1] + self.suffix))
             ends.append(len(symbols))
         ids, ends = self.merger.merge(np.array(symbols, np.int64), np.array(ends, np.int64))
-        by_word = dict(zip(words, np.split(ids.astype(np.int32), ends[:-1]) if words else []))
-        none = np.zeros(0, np.int32)
+        laid, ends = ids.astype("<i4").tobytes(), (4 * ends).tolist()
+        by_word = {w: laid[i:j] for w, i, j in zip(words, [0, *ends], ends)}
         for p, ws in zip(parts, lists):
-            got = [by_word[w] if isinstance(w, str) else np.array([w], np.int32) for w in ws]
-            self.seen[p] = got[0] if len(got) == 1 else np.concatenate([none, *got])
+            self.seen[p] = b"".join([by_word[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in ws])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the ends of the texts among them."""
@@ -182,19 +203,14 @@ class Codec:
             self.seen = {w: self.seen[w] for w in number if w in self.seen}
         self._learn([w for w in number if w not in self.seen])
         lists = [self.seen[w] for w in number]
-        flat = np.concatenate([np.zeros(0, np.int32), *lists])
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.frombuffer(b"".join(lists), "<i4")
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         begin = np.cumsum(size) - size
-        out, ends, end = [np.zeros(0, np.int32)], [0], 0
-        for p in parts:
-            row = np.fromiter(map(number.__getitem__, p), np.int64, len(p))
-            many = size[row]
-            total = int(many.sum())
-            at = np.arange(total) + np.repeat(begin[row] - (np.cumsum(many) - many), many)
-            out.append(flat[at])
-            end += total
-            ends.append(end)
-        return np.concatenate(out), np.array(ends)
+        row = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number.__getitem__, p), np.int64, len(p)) for p in parts)])
+        many = size[row]
+        past = np.r_[0, np.cumsum(many)]
+        ids = flat[np.arange(past[-1]) + np.repeat(begin[row] - past[:-1], many)]
+        return ids, past[np.cumsum([0, *map(len, parts)])]
 
     def joined(self, names: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """For each text the names of its ids, a blank between."""
@@ -220,26 +236,31 @@ def _path(path: str | None) -> str:
     return path or public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids: the ids of every whole text."""
+def _by_chunks(docs: DataFrame, path: str | None, finish, schema: str) -> DataFrame:
+    """``finish(codec, ids, ends)``, columns beside doc_id, of the texts of every chunk."""
     path = _path(path)
 
     def run(batches):
         by = codec(path)
         for b in batches:
-            doc_ids, texts = b["doc_id"], b["text"]
-            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(b["text"]), 0)).astype(np.int64)
             chunk = np.cumsum(sizes) // CHUNK
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)] if len(texts) else []
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), b.num_rows] if b.num_rows else []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                ids, ends = by.encode(texts.slice(lo, hi - lo).to_pylist())
-                for at in range(lo, hi, ROWS):
-                    to = min(hi, at + ROWS)
-                    e = ends[at - lo : to - lo + 1]
-                    values = pa.ListArray.from_arrays(pa.array(e - e[0], pa.int32()), pa.array(ids[e[0] : e[-1]]))
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), values], ["doc_id", "ids"])
+                part = b.slice(lo, hi - lo)
+                columns = finish(by, *by.encode(part["text"].to_pylist()))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], ["doc_id", *(f.split()[0] for f in schema.split(", "))])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {schema}")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids: the ids of every whole text."""
+
+    def finish(by, ids, ends):
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+
+    return _by_chunks(docs, path, finish, "ids array<int>")
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,23 +282,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 of the ids in decimal and of the decoded text."""
-    path = _path(path)
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and SHA-256 of the ids in decimal and of the text they decode to: encoding and
+    decoding in one pass, so that ids need not travel."""
 
-    def run(batches):
-        by = codec(path)
-        for b in batches:
-            ids, ends = _lists(b["ids"])
-            of = [[hashlib.sha256(x).hexdigest() for x in by.joined(names, ids, ends)] for names in (by.numbers, by.tokens)]
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(np.diff(ends), pa.int64()), *(pa.array(x, pa.string()) for x in of)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+    def finish(by, ids, ends):
+        each = by.joined(by.numbers, ids, ends), by.decode(ids, ends)
+        return [pa.array(np.diff(ends), pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in each)]
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    return _by_chunks(docs, path, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir):
-    return digests(encode(table(spark, sf_dir, "documents")))
+    return digests(table(spark, sf_dir, "documents"))
