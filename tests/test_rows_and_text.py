@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,12 +46,44 @@ def test_tokens(spark):
 
 def test_key_phrases_ties_by_first_appearance(spark):
     d = spark.createDataFrame([(1, "zeta alpha zeta beta alpha gamma")], "row_id bigint, text string")
-    found = lexical.key_phrases(lexical.lemmatize(lexical.exploded_words(d)), 3)
+    found = lexical.key_phrases(lexical.lemmatize(lexical.row_words(d)), 3)
     assert [(r["phrase"], r["n"]) for r in found.orderBy("rank").collect()] == [
         ("zeta", 2), ("alpha", 2), ("beta", 1),
     ]
 
 
+def test_words_are_counted_within_the_row(spark):
+    rng = random.Random(3)
+    texts = [[rng.choice(["ab", "abc", "box", "boxes", "zeta", "tables"]) for _ in range(rng.randint(0, 40))] for _ in range(60)]
+    d = spark.createDataFrame([(i, w) for i, w in enumerate([*texts, None])], "row_id bigint, words array<string>")
+    got = {}
+    for r in lexical.key_phrases(d, 3).orderBy("row_id", "rank").collect():
+        got.setdefault(r["row_id"], []).append((r["phrase"], r["n"]))
+    for i, w in enumerate(texts):
+        long = [x for x in w if len(x) > 2]
+        want = sorted(Counter(long).items(), key=lambda x: (-x[1], long.index(x[0])))[:3]
+        assert got.get(i, []) == want
+    assert len(texts) not in got
+
+
+def test_lemmas_and_language_by_join_and_by_lookup(spark, monkeypatch):
+    d = spark.createDataFrame(
+        [(1, ["boxes", "box", "x"], "le chat noir"), (2, [], ""), (3, None, None), (4, ["errors", "error"], "the cat sat")],
+        "row_id bigint, words array<string>, text string",
+    )
+    model = lexical.train_language_model(
+        spark.createDataFrame([("le chat dort", "fr"), ("the cat sleeps", "en"), ("die katze", "de")], "text string, lang string")
+    )
+    parts = []
+    for small in (True, False):
+        monkeypatch.setattr(lexical, "fits", lambda *a, small=small: small)
+        words = {r["row_id"]: r["words"] for r in lexical.lemmatize(d).collect()}
+        told = {r["row_id"]: r["language"] for r in lexical.detect_language(d, model).collect()}
+        parts.append((words, told))
+    assert parts[0] == parts[1]
+    assert parts[0] == ({1: ["box", "box", "x"], 2: [], 3: None, 4: ["error", "error"]}, {1: "fr", 2: "en", 3: "en", 4: "en"})
+
+
 def test_preprocess_empty_and_lemmas(spark):
     d = spark.createDataFrame(
         [(1, None), (2, ""), (3, "Errors in boxes. One box, one error.")],

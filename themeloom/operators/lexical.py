@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.functions import fixed
 from themeloom.functions import text as tx
-from themeloom.runtime import cut, sized_broadcast
+from themeloom.runtime import cut, fits
 
 #: Rough bytes of a (token, language, two doubles) row in a broadcast hash table.
 TOKEN_ROW_BYTES = 160
@@ -43,27 +47,73 @@ def detect_language(
     df: DataFrame, model: DataFrame, text: str = "text", row_id: str = "row_id", default: str = "en"
 ) -> DataFrame:
     """(row_id, language): highest summed token score, ``default`` without tokens; ties to the
-    first language by name.
+    first language by name."""
+    runs = df.select(F.col(row_id).alias("row_id"), tx.letter_runs(F.col(text)).alias("_runs"))
+    return with_language(runs, model, default).select("row_id", "language")
+
+
+def with_language(df: DataFrame, model: DataFrame, default: str = "en") -> DataFrame:
+    """``df`` with ``language``, told by the letter runs in its column ``_runs``, which goes.
 
-    Gains fold to one row per text and language that knows one of its tokens. Among the
-    languages that know none, the cheapest is the best, so one language stands for all of them.
-    Tokens meet the model where they are read while it is small enough to broadcast, else they
-    are joined by token.
+    A model that is small enough to broadcast is looked up row by row in Arrow batches, without a
+    shuffle; a larger one is joined by token.
     """
-    known = sized_broadcast(model.where("token IS NOT NULL"), TOKEN_ROW_BYTES)
+    if not fits(model, TOKEN_ROW_BYTES):
+        return _language_by_join(df, model, default)
+    rows = model.toArrow()
+    known = rows.filter(pc.is_valid(rows["token"]))
+    bare = rows.filter(pc.is_null(rows["token"])).sort_by("lang")
+    langs, cost = bare["lang"].to_pylist(), bare["cost"].to_numpy()
+    known = known.append_column("l", pc.index_in(known["lang"], value_set=bare["lang"])).sort_by([("token", "ascending"), ("l", "ascending")])
+    token = known["token"].combine_chunks()
+    names = token.unique()
+    starts = np.r_[0, np.flatnonzero(np.diff(np.asarray(pc.index_in(token, value_set=names)))) + 1, len(token)]
+    share = df.sparkSession.sparkContext.broadcast(
+        (names, starts, known["l"].to_numpy(), known["gain"].to_numpy(), langs, cost)
+    )
+    kept = [c for c in df.columns if c != "_runs"]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("language", T.StringType())])
+
+    def told(runs: pa.ListArray) -> list[str]:
+        names, starts, lang, gain, langs, cost = share.value
+        many = np.asarray(pc.fill_null(pc.list_value_length(runs), 0)).astype(np.int64)
+        row = np.repeat(np.arange(len(runs)), many)
+        at = pc.index_in(runs.flatten(), value_set=names)
+        seen = np.asarray(pc.is_valid(at))
+        at, row = np.asarray(pc.fill_null(at, 0)).astype(np.int64)[seen], row[seen]
+        width = starts[at + 1] - starts[at]
+        entry = np.arange(width.sum()) + np.repeat(starts[at] - (np.cumsum(width) - width), width)
+        cell = np.repeat(row, width) * len(langs) + lang[entry]
+        total = np.bincount(cell, gain[entry], len(runs) * len(langs)).reshape(len(runs), len(langs))
+        best = (many[:, None] * cost - total).argmin(axis=1)
+        return [langs[i] if n else default for i, n in zip(best.tolist(), many.tolist())]
+
+    def run(batches):
+        for big in batches:
+            for at in range(0, big.num_rows, 512):
+                b = big.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(told(b["_runs"]), pa.string())], [*kept, "language"])
+
+    return df.select(*kept, "_runs").mapInArrow(run, schema)
+
+
+def _language_by_join(df: DataFrame, model: DataFrame, default: str) -> DataFrame:
+    """Gains fold to one row per text and language that knows one of its tokens. Among the
+    languages that know none, the cheapest is the best, so one language stands for all of them."""
+    known = model.where("token IS NOT NULL")
     cheapest = (
         model.where("token IS NULL").agg(F.min(F.struct("cost", "lang")).alias("least")).scalar()
     )
-    runs = df.select(F.col(row_id).alias("row_id"), tx.letter_runs(F.col(text)).alias("_runs"))
-    tokens = runs.select(
+    tokens = df.select(
         "row_id",
-        F.coalesce(F.size("_runs"), F.lit(0)).alias("_n"),
+        F.greatest(F.coalesce(F.size("_runs"), F.lit(0)), F.lit(0)).alias("_n"),
         F.explode_outer("_runs").alias("token"),
     )
+    folded = tokens.groupBy("row_id", "_n", "token").agg(F.count(F.lit(1)).alias("_k"))
     sums = (
-        tokens.join(known, "token", "left")
+        folded.join(known, "token", "left")
         .groupBy("row_id", "lang")
-        .agg(F.max("_n").alias("_n"), F.sum("gain").alias("gain"), F.max("cost").alias("cost"))
+        .agg(F.max("_n").alias("_n"), F.sum(F.col("_k") * F.col("gain")).alias("gain"), F.max("cost").alias("cost"))
     )
     loss = F.struct((F.col("_n") * F.col("cost") - F.col("gain")).alias("loss"), F.col("lang"))
     best = (
@@ -75,12 +125,13 @@ def detect_language(
         .withColumn("_bare", cheapest)
     )
     rest = F.struct((F.col("_n") * F.col("_bare.cost")).alias("loss"), F.col("_bare.lang").alias("lang"))
-    return best.select(
+    told = best.select(
         "row_id",
         F.when(F.col("_n") > 0, F.least(F.coalesce("_best", rest), rest)["lang"])
         .otherwise(F.lit(default))
         .alias("language"),
     )
+    return df.drop("_runs").join(told, "row_id", "left")
 
 
 # ---------------------------------------------------------------- lemmas
@@ -119,45 +170,101 @@ def lemma_map(vocabulary: DataFrame, lexicon: DataFrame | None = None) -> DataFr
     )
 
 
-def vocabulary(tokens: DataFrame, column: str = "word") -> DataFrame:
-    return tokens.select(F.col(column).alias("word")).distinct()
-
-
-def lemmatize(tokens: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """Add ``lemma`` to exploded tokens (row_id, pos, word)."""
-    lemmas = cut(lemma_map(vocabulary(tokens), lexicon))
-    return tokens.join(sized_broadcast(lemmas, TOKEN_ROW_BYTES), "word", "left").withColumn(
-        "lemma", F.coalesce("lemma", "word")
-    )
-
-
-def exploded_words(
+def row_words(
     df: DataFrame, text: str = "text", row_id: str = "row_id", extra_stops: list[str] | None = None
 ) -> DataFrame:
-    """(row_id, pos, word) of the non-stop words."""
+    """(row_id, words): the non-stop words of every row, in order."""
     words = tx.drop_stop_words(tx.word_tokens(F.col(text)), extra_stops)
-    return df.select(F.col(row_id).alias("row_id"), F.posexplode(words).alias("pos", "word"))
+    return df.select(F.col(row_id).alias("row_id"), words.alias("words"))
 
 
-# ---------------------------------------------------------------- key phrases
+def vocabulary(df: DataFrame, column: str = "words") -> DataFrame:
+    """(word, n): the distinct words of an array column; repeats fold before the shuffle."""
+    return df.select(F.explode(column).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def key_phrases(tokens: DataFrame, k: int = 10, word: str = "lemma") -> DataFrame:
-    """(row_id, rank, phrase, n): the k most frequent words longer than two letters,
-    ties by first appearance."""
-    counts = (
-        tokens.where(F.length(word) > 2)
-        .groupBy("row_id", F.col(word).alias("phrase"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
-    )
-    w = Window.partitionBy("row_id").orderBy(F.desc("n"), "first_pos")
+def lemmatize(df: DataFrame, lexicon: DataFrame | None = None, column: str = "words") -> DataFrame:
+    """``df`` with the words of an array column replaced by their lemmas.
+
+    Only the vocabulary is shuffled. A lemma table that is small enough to broadcast is looked up in
+    Arrow batches, row by row; a larger one is joined by word and the rows are put together again.
+    """
+    lemmas = cut(lemma_map(vocabulary(df, column).select("word"), lexicon))
+    if not fits(lemmas, TOKEN_ROW_BYTES):
+        return _lemmas_by_join(df, lemmas, column)
+    table = lemmas.toArrow()
+    share = df.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), table["lemma"].combine_chunks()))
+
+    def run(batches):
+        words, lemma = share.value
+        for b in batches:
+            lists = b[column]
+            flat, many = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0)
+            found = pc.coalesce(lemma.take(pc.index_in(flat, value_set=words)), flat)
+            ends = pa.array(np.r_[0, np.cumsum(np.asarray(many))], pa.int32())
+            done = pa.ListArray.from_arrays(ends, found, mask=pc.is_null(lists))
+            yield b.set_column(b.schema.get_field_index(column), column, done)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _lemmas_by_join(df: DataFrame, lemmas: DataFrame, column: str) -> DataFrame:
+    each = df.select("row_id", F.posexplode(column).alias("pos", "word")).join(lemmas, "word", "left")
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "word").alias("lemma"))))
+    lists = each.groupBy("row_id").agg(F.transform(parts, lambda s: s["lemma"]).alias("_done"))
+    none = F.when(F.col(column).isNotNull(), F.array().cast("array<string>"))
+    joined = df.join(lists, "row_id", "left").withColumn(column, F.coalesce("_done", none))
+    return joined.select(*df.columns)
+
+
+def lemma_counts(df: DataFrame, lexicon: DataFrame | None = None, column: str = "words") -> DataFrame:
+    """(lemma, n, forms): occurrences and distinct words of every lemma."""
+    seen = cut(vocabulary(df, column))
+    lemmas = lemma_map(seen.select("word"), lexicon)
     return (
-        counts.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select("row_id", "rank", "phrase", "n")
+        seen.join(lemmas, "word", "left")
+        .groupBy(F.coalesce("lemma", "word").alias("lemma"))
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"))
     )
 
 
+# ---------------------------------------------------------------- key phrases
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, although body uses it within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ranked_words(words: Column, k: int = 10) -> Column:
+    """The k most frequent words longer than two letters as structs (phrase, n), ties by first
+    appearance. Counted within the row: sorted words, and the places where the word changes."""
+    long = F.filter(words, lambda w: F.length(w) > 2)
+    ordered = F.array_sort(F.transform(long, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def changes(s):
+        place = F.sequence(F.lit(0), F.size(s) - 1)
+        new = F.filter(place, lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+        return F.struct(s.alias("s"), F.when(F.size(s) > 0, new).otherwise(F.array().cast("array<int>")).alias("b"))
+
+    def counted(x):
+        def one(i, j):
+            word = F.get(x["s"], i)
+            less = i - F.coalesce(F.get(x["b"], j + 1), F.size(x["s"]))
+            return F.struct(less.alias("less"), word["i"].alias("first"), word["w"].alias("phrase"))
+
+        best = F.slice(F.array_sort(F.transform(x["b"], one)), 1, k)
+        return F.transform(best, lambda r: F.struct(r["phrase"].alias("phrase"), (-r["less"]).cast("bigint").alias("n")))
+
+    return _bound(_bound(ordered, changes), counted)
+
+
+def key_phrases(df: DataFrame, k: int = 10, words: str = "words") -> DataFrame:
+    """(row_id, rank, phrase, n): ``ranked_words`` as rows."""
+    ranked = df.select("row_id", F.posexplode(ranked_words(F.col(words), k)).alias("rank", "_p"))
+    return ranked.select("row_id", (F.col("rank") + 1).alias("rank"), "_p.phrase", "_p.n")
+
+
 def group_terms(df: DataFrame, group: str, text: str = "text", k: int = 10) -> DataFrame:
     """(group, rank, term, n): leading words of each group of texts.
 
@@ -196,42 +303,24 @@ def preprocess(
     word_count, sentence_count. NULL or '' gives the empty record.
 
     Language is told on the cleaned text before boilerplate goes; without a model it is
-    ``en``.
+    ``en``. Texts are tokenised once and stay where they are; only the vocabulary is shuffled.
     """
     cleaned = df.select(
         F.col(row_id).alias("row_id"), tx.clean_text(F.col(text), repair).alias("_clean")
     )
-    base = cleaned.select("row_id", tx.remove_boilerplate(F.col("_clean")).alias("cleaned_text"))
-    tokens = exploded_words(base, "cleaned_text", "row_id", extra_stops)
-    # one shuffle by text serves the word lists, the counts, the ranking and the joins
-    tokens = lemmatize(tokens, lexicon).repartition("row_id")
-    words = tokens.groupBy("row_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]
-        ).alias("words")
-    )
-    phrases = (
-        key_phrases(tokens, max_phrases)
-        .groupBy("row_id")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda s: s["phrase"]
-            ).alias("key_phrases")
-        )
-    )
-    out = base.join(words, "row_id", "left").join(phrases, "row_id", "left")
-    if model is not None:
-        out = out.join(detect_language(cleaned, model, "_clean"), "row_id", "left")
-    else:
-        out = out.withColumn("language", F.lit("en"))
-    none = F.array().cast("array<string>")
+    told = [] if model is None else [tx.letter_runs(F.col("_clean")).alias("_runs")]
+    base = cleaned.select("row_id", tx.remove_boilerplate(F.col("_clean")).alias("cleaned_text"), *told)
+    words = tx.drop_stop_words(tx.word_tokens(F.col("cleaned_text")), extra_stops)
+    held = cut(base.withColumn("words", words))
+    out = with_language(held, model) if model is not None else held.withColumn("language", F.lit("en"))
+    out = lemmatize(out, lexicon)
     return out.select(
         "row_id",
         "cleaned_text",
         tx.sentences(F.col("cleaned_text")).alias("sentences"),
-        F.coalesce("words", none).alias("words"),
-        F.coalesce("key_phrases", none).alias("key_phrases"),
-        F.coalesce("language", F.lit("en")).alias("language"),
+        "words",
+        F.transform(ranked_words(F.col("words"), max_phrases), lambda p: p["phrase"]).alias("key_phrases"),
+        "language",
     ).select(
         "*",
         F.size("words").alias("word_count"),

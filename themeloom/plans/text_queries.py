@@ -10,7 +10,7 @@ from themeloom.functions import vector
 from themeloom.operators import embed, lexical, profile, rows
 from themeloom.plans import sqltext as q
 from themeloom.plans import tables as t
-from themeloom.runtime import tidy
+from themeloom.runtime import cut, tidy
 
 RUN, SQL = {}, {}
 
@@ -120,16 +120,13 @@ _PHR = """
     "FROM full_tok GROUP BY lemma",
 )
 def _lemmas(spark, sf_dir):
-    tokens = lexical.lemmatize(lexical.exploded_words(t.texts(spark, sf_dir)))
-    return tokens.groupBy("lemma").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("word").alias("forms")
-    )
+    return lexical.lemma_counts(lexical.row_words(t.texts(spark, sf_dir)))
 
 
 @query("key_phrases", f"WITH {_TOK}, {_LEM}, {_PHR} SELECT * FROM phr")
 def _key_phrases(spark, sf_dir):
-    tokens = lexical.lemmatize(lexical.exploded_words(t.texts(spark, sf_dir)))
-    found = lexical.key_phrases(tokens.repartition("row_id"))
+    words = cut(lexical.row_words(t.texts(spark, sf_dir)))
+    found = lexical.key_phrases(lexical.lemmatize(words))
     return found.select("row_id", *_long("rank"), "phrase", "n")
 
 
@@ -146,6 +143,7 @@ def source_terms(spark, sf_dir):
     return found.select("source", *_long("rank"), "term", "n")
 
 
+_ODD_SQL = f"(SELECT * FROM {t.TEXTS} WHERE row_id % 2 = 1)"
 _MODEL = f"""
  lt AS (SELECT lang, unnest({q.letters('text')}) AS token FROM documents),
  c AS (SELECT lang, token, count(*) AS n FROM lt GROUP BY ALL),
@@ -166,6 +164,18 @@ def _detect(spark, sf_dir):
     return lexical.detect_language(d, lexical.train_language_model(d))
 
 
+@query(
+    "detect_language_split",
+    f"""WITH {_MODEL.replace("FROM documents)", "FROM documents WHERE doc_id % 2 = 0)", 1).replace(t.TEXTS, _ODD_SQL)}
+      SELECT * FROM d""",
+)
+def _detect_split(spark, sf_dir):
+    """Learnt from the even documents, told of the odd ones."""
+    d = t.texts(spark, sf_dir)
+    model = lexical.train_language_model(d.where("row_id % 2 = 0"))
+    return lexical.detect_language(d.where("row_id % 2 = 1"), model)
+
+
 @query("language_dist", f"WITH {_MODEL} SELECT language, count(*) AS n FROM d GROUP BY language")
 def _language_dist(spark, sf_dir):
     return profile.language_counts(_detect(spark, sf_dir))
@@ -187,12 +197,23 @@ _REC = f"""
         FROM base LEFT JOIN wl USING (row_id) LEFT JOIN pl USING (row_id))"""
 
 
-@query("preprocess_record", f"WITH {_REC} SELECT * FROM rec")
+_CLEANED = f"(SELECT row_id, {q.clean('text')} AS text FROM {t.TEXTS})"
+
+
+@query(
+    "preprocess_record",
+    f"""WITH {_REC}, {_MODEL.replace(t.TEXTS, _CLEANED)}
+      SELECT rec.*, array_to_string({q.sentences('cleaned_text')}, chr(10)) AS sentences, language
+      FROM rec JOIN d USING (row_id)""",
+)
 def _record(spark, sf_dir):
-    rec = lexical.preprocess(t.texts(spark, sf_dir), repair=False)
+    d = t.texts(spark, sf_dir)
+    rec = lexical.preprocess(d, model=lexical.train_language_model(d), repair=False)
     return rec.select(
         "row_id",
         "cleaned_text",
+        F.concat_ws("\n", "sentences").alias("sentences"),
+        "language",
         F.concat_ws(" ", "words").alias("words"),
         F.concat_ws(" ", "key_phrases").alias("key_phrases"),
         *_long("word_count", "sentence_count"),
