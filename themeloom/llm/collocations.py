@@ -41,7 +41,7 @@ from themeloom.runtime import cut
 LEAST, SHARE, TOP = 10, 50, 2000
 #: Words whose rows are counted together by a worker, at least those of one text; bytes of text
 #: whose rows meet in one block group.
-CHUNK, GROUP_BYTES = 3_000_000, 8 << 20
+CHUNK, GROUP_BYTES = 1_500_000, 4 << 20
 #: Piece ends become line feeds, A-Z lower case.
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r", bytes(range(97, 123)) + b"\n" * 9)
 _BLOCK = "lang string, part int, x binary, y binary, z binary, n binary"
@@ -136,6 +136,7 @@ def graph_blocks(docs: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
                 if held >= chunk:
                     yield from flush()
                     texts, number, held = {}, {b".": 0}, 0
+                    pa.default_memory_pool().release_unused()
         yield from flush()
 
     need = docs.select(F.col("lang").cast("string").alias("lang"), "text")
