@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
 from themeloom.functions import vector
-from themeloom.operators import embed, lexical, profile, rows, themes
+from themeloom.operators import classify, embed, lexical, profile, rows, themes
 
 
 def one(spark, value, fn):
@@ -183,7 +183,13 @@ def test_responders(spark):
     table = themes.theme_table(smp, names, sizes)
     local = table.first()
     assert local["name"] == "x y" and local["data_quality_issues"] == 1
-    assert themes.compare_themes(local, local, broken).startswith("Comparison not available")
+    two = table.unionByName(table.withColumn("cluster_id", F.lit(1)).withColumn("name", F.lit("z")))
+    pairs = spark.createDataFrame([(0, 1)], "theme1 int, theme2 int")
+    said = themes.compare_themes(two, pairs, broken).first()
+    assert said["comparison"] == "Comparison not available between x y and z"
+    echo = lambda prompts: [p.replace("\n", "|") for p in prompts]
+    said = themes.compare_themes(two, pairs, echo).first()["comparison"]
+    assert said == "Compare two themes.||Theme 1: x y|- missing value|- fine||Theme 2: z|- missing value|- fine"
     lines = [r.value for r in themes.theme_summary(table).collect()]
     assert lines[0] == "themes.count = 1" and lines[2].startswith("theme 0: named x y, about ")
 
@@ -194,3 +200,46 @@ def test_quality_share(spark, n):
     r = rows.quality_share(d).first()
     assert r["data_quality_count"] == n and r["total_texts"] == n
     assert r["data_quality_percentage"] == (100.0 if n else 0.0)
+
+
+def test_all_pairs_of_themes_with_a_common_term(spark):
+    lists = {0: ["a", "b"], 1: ["b", "c"], 2: ["d"], 3: ["b", "a"], 4: []}
+    df = spark.createDataFrame(list(lists.items()), "cluster_id int, terms array<string>")
+    got = {(r["theme1"], r["theme2"]): (r["shared"], r["only1"], r["only2"]) for r in themes.compare_terms(df).collect()}
+    assert got == {(0, 1): (["b"], ["a"], ["c"]), (0, 3): (["a", "b"], [], []), (1, 3): (["b"], ["c"], ["a"])}
+
+
+def test_added_examples_equal_a_full_rebuild(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["disk", "full", "login", "error", "page"]
+    rows_ = [(i, " ".join(rng.choice(words) for _ in range(4)), rng.choice([-1, 0, 1, 2])) for i in range(80)]
+    added = [(1000 + i, "new login disk", c) for i, c in enumerate([1, 1, 7])] + [(-5, "early disk", 1)]
+    schema = "row_id bigint, text string, cluster_id int"
+    path = str(tmp_path / "state")
+    themes.write_state(themes.cluster_state(spark.createDataFrame(rows_, schema), 4), path)
+    untouched = sorted(f.name for d in ("cluster_id=0", "cluster_id=2") for f in (tmp_path / "state" / d).glob("*.parquet"))
+    got = themes.add_examples(spark, path, spark.createDataFrame(added, schema), 4)
+    want = themes.cluster_state(spark.createDataFrame(rows_ + added, schema), 4)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    # folders of other clusters are as they were, and a read of the touched ones prunes
+    assert untouched == sorted(f.name for d in ("cluster_id=0", "cluster_id=2") for f in (tmp_path / "state" / d).glob("*.parquet"))
+    plan = themes.touched_state(spark, path, [1, 7])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cluster_id" in plan
+
+
+def test_issue_model_on_unseen_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").selectExpr("doc_id", "1 - quality AS label")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    model = classify.fit(docs.where("doc_id % 2 = 0"))
+    got = classify.scores(classify.classify(docs.where("doc_id % 2 = 1"), model)).first()
+    assert got["n"] > 1000 and got["accuracy"] > 0.95 and got["precision"] > 0.95 and got["recall"] > 0.7, got
+    odd = spark.createDataFrame([(None, None), ("", 1), ("x" * 100_000, 0)], "text string, label int")
+    told = classify.classify(odd, model).collect()
+    assert [r["is_positive"] for r in told[:2]] == [False, False] and len(told) == 3
+    with pytest.raises(ValueError):
+        classify.fit(docs.where("label = 0"))
+    smp = spark.createDataFrame([(0, ["missing value", "fine"])], "cluster_id int, samples array<string>")
+    names = spark.createDataFrame([(0, "x y")], "cluster_id int, name string")
+    sizes = spark.createDataFrame([(0, 7)], "cluster_id int, size bigint")
+    assert themes.theme_table(smp, names, sizes, issue_model=model).first()["sample_count"] == 2

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from themeloom.functions import fixed
 from themeloom.functions import text as tx
-from themeloom.operators import clusters, compare, embed, lexical, rows, themes
+from themeloom.operators import classify, clusters, compare, embed, lexical, rows, themes
 from themeloom.plans import sqltext as q
 from themeloom.plans import tables as t
 from themeloom.plans.vector_queries import CENTERS, DIM, _tidied
-from themeloom.runtime import tidy
+from themeloom.runtime import ensure_checkpoint_dir, tidy
 
 RUN, SQL = {}, {}
 
@@ -239,7 +241,7 @@ def _dq_share(spark, sf_dir):
     f"""WITH {_terms_sql(10)},
       tl AS (SELECT cluster_id, list(term) AS terms FROM tt GROUP BY cluster_id),
       pr AS (SELECT a.cluster_id AS theme1, b.cluster_id AS theme2, a.terms AS x, b.terms AS y
-        FROM tl a JOIN tl b ON b.cluster_id = a.cluster_id + 1)
+        FROM tl a JOIN tl b ON b.cluster_id > a.cluster_id AND list_has_any(a.terms, b.terms))
       SELECT theme1, theme2,
       array_to_string(list_sort(list_filter(x, lambda s: list_contains(y, s))), ' ') AS shared,
       array_to_string(list_sort(list_filter(x, lambda s: NOT list_contains(y, s))), ' ') AS only1,
@@ -248,9 +250,7 @@ def _dq_share(spark, sf_dir):
 )
 def _compare_terms(spark, sf_dir):
     terms = themes.term_lists(themes.top_terms(themes.term_counts(t.themed_texts(spark, sf_dir)), 10))
-    pairs = t.themed_texts(spark, sf_dir).select(F.col("cluster_id").alias("theme1")).distinct()
-    pairs = pairs.withColumn("theme2", F.col("theme1") + 1)
-    found = themes.compare_terms(terms, pairs)
+    found = themes.compare_terms(terms)
     return found.select(
         "theme1", "theme2", *[F.concat_ws(" ", c).alias(c) for c in ("shared", "only1", "only2")]
     )
@@ -332,14 +332,54 @@ def _context_block(spark, sf_dir):
         ORDER BY row_id) AS rn FROM al) GROUP BY cluster_id""",
 )
 def _add_examples(spark, sf_dir):
+    """Benchmark texts added to a stored state; the same as a state of all rows."""
     given = t.read(spark, sf_dir, "benchmark").select(
         (-1 - F.col("item_id")).alias("row_id"), "text", F.lit(0).alias("cluster_id")
     )
-    grown = themes.add_examples(t.themed_texts(spark, sf_dir), given)
-    samples = clusters.cluster_samples(grown)
-    return clusters.cluster_sizes(grown).join(samples, "cluster_id").select(
-        "cluster_id", "size", F.concat_ws("|", "samples").alias("samples")
+    path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    themes.write_state(themes.cluster_state(t.themed_texts(spark, sf_dir)), path)
+    grown = themes.add_examples(spark, path, given)
+    return grown.select(
+        "cluster_id", "size", F.concat_ws("|", F.transform("firsts", lambda f: f["text"])).alias("samples")
+    )
+
+
+@query(
+    "state_terms",
+    f"""WITH al AS (SELECT text, cluster_id FROM {t.THEMED} UNION ALL SELECT text, 3 FROM benchmark),
+      w AS (SELECT cluster_id, unnest({q.content_words('text')}) AS term FROM al)
+      SELECT cluster_id, term, count(*) AS n FROM w WHERE length(term) > 2 GROUP BY ALL""",
+)
+def _state_terms(spark, sf_dir):
+    """Word counts of all clusters after examples were added to one."""
+    given = t.read(spark, sf_dir, "benchmark").select(
+        (-1 - F.col("item_id")).alias("row_id"), "text", F.lit(3).alias("cluster_id")
     )
+    path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    themes.write_state(themes.cluster_state(t.themed_texts(spark, sf_dir)), path)
+    return themes.add_examples(spark, path, given).select("cluster_id", F.inline("terms"))
+
+
+def _issue_rows(spark, sf_dir):
+    """All documents; the labelled ones are issues if their quality is low."""
+    labels = t.read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
+    return t.read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+
+
+@query("issue_classes")
+def _issue_classes(spark, sf_dir):
+    """A model of the labelled documents with an even id, applied to all documents."""
+    rows_ = _issue_rows(spark, sf_dir)
+    model = classify.fit(rows_.where("doc_id % 2 = 0"))
+    return classify.classify(rows_, model).select("doc_id", "is_positive", "confidence", tidy(F.col("probability"), 3).alias("probability"))
+
+
+@query("issue_scores")
+def _issue_scores(spark, sf_dir):
+    """The same model on the labelled documents with an odd id, which it has not seen."""
+    rows_ = _issue_rows(spark, sf_dir)
+    model = classify.fit(rows_.where("doc_id % 2 = 0"))
+    return classify.scores(classify.classify(rows_.where("doc_id % 2 = 1"), model))
 
 
 @query("embed_texts")
