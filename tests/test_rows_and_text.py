@@ -233,7 +233,7 @@ def test_issue_model_on_unseen_labels(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
     model = classify.fit(docs.where("doc_id % 2 = 0"))
     got = classify.scores(classify.classify(docs.where("doc_id % 2 = 1"), model)).first()
-    assert got["n"] > 1000 and got["accuracy"] > 0.95 and got["precision"] > 0.95 and got["recall"] > 0.7, got
+    assert got["n"] > 1000 and got["accuracy"] > 0.95 and got["precision"] > 0.9 and got["recall"] > 0.8, got
     odd = spark.createDataFrame([(None, None), ("", 1), ("x" * 100_000, 0)], "text string, label int")
     told = classify.classify(odd, model).collect()
     assert [r["is_positive"] for r in told[:2]] == [False, False] and len(told) == 3

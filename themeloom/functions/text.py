@@ -1,12 +1,13 @@
 """Text Column builders.
 
-Each builder maps a string Column to a Column and stays inside Catalyst, except
-``repair_encoding`` which needs Unicode normalisation and runs as one Arrow UDF over
-only those values that can need it.
+Each builder maps a string Column to a Column and stays inside Catalyst, except for the Unicode
+normal form in ``repair_encoding``, an Arrow UDF over only those values that can need it.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,38 +56,74 @@ def normalize_space(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, rf"[{SPACE}]+", " "))
 
 
+#: What the bytes 80 to 9F are in cp1252, in order; five of them are nothing there and stay control
+#: characters, as all do in Latin-1.
+_HIGH = "".join(bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in range(0x80, 0xA0))
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_BYTE = rf"[\x{{80}}-\x{{bf}}{_HIGH}]"
+#: Characters that stand for the bytes of one UTF-8 character: Latin-1 letters and signs, general
+#: punctuation and symbols, emoji. Other first bytes are letters that may well precede a sign.
+MOJIBAKE = rf"[ÂÃ]{_BYTE}|â{_BYTE}{{2}}|ð[\x{{9f}}Ÿ]{_BYTE}{{2}}"
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]"
+#: Marks, Hangul letters, and signs that are another character in normal form.
+DECOMPOSED = r"[\p{M}\x{1100}-\x{11ff}\x{2126}\x{212a}\x{212b}]"
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _each_match(t: Column, pattern: str, change) -> Column:
+    """``change`` of every match of a pattern, other characters as they are. NUL marks the matches and
+    goes from the text, as all control characters do."""
+    marked = F.regexp_replace(F.translate(t, "\x00", ""), f"((?:{pattern}))", "\x00$1\x00")
+    parts = F.transform(F.split(marked, "\x00"), lambda x, i: F.when(i % 2 == 1, change(x)).otherwise(x))
+    return F.array_join(parts, "")
+
+
+def _reread(run: Column) -> Column:
+    return F.decode(F.encode(F.translate(run, _HIGH, _C1), "ISO-8859-1"), "UTF-8")
+
+
+def _entity(e: Column) -> Column:
+    body = F.lower(F.regexp_replace(e, "^&#?|;$", ""))
+    code = F.when(body.startswith("x"), F.conv(F.substr(body, F.lit(2)), 16, 10)).otherwise(F.conv(body, 10, 10)).cast("int")
+    bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(~bad, code)), 8, "0")), "UTF-32")
+    numeric = F.when(bad, F.lit("\ufffd")).otherwise(F.translate(char, _C1, _HIGH))
+    names = F.create_map(*[F.lit(x) for name, n in name2codepoint.items() for x in (name, chr(n))], F.lit("apos"), F.lit("'"))
+    name = F.regexp_replace(e, "^&|;$", "")
+    return F.when(e.startswith("&#"), numeric).otherwise(F.coalesce(F.try_element_at(names, name), e))
+
+
 @F.pandas_udf(StringType())
-def _repair(values: pd.Series) -> pd.Series:
-    import html
-    import unicodedata
-
-    def one(s):
-        if s is None:
-            return None
-        try:
-            if "<" not in s:
-                s = html.unescape(s)
-            # UTF-8 read as cp1252 leaves a byte string that decodes cleanly
-            if any(c in s for c in "ÃÂâ€"):
-                try:
-                    s = s.encode("cp1252").decode("utf-8")
-                except UnicodeError:
-                    pass
-            s = "".join(
-                c for c in s if c in "\t\n\r" or unicodedata.category(c) != "Cc"
-            )
-            return unicodedata.normalize("NFC", s)
-        except Exception:
-            return s
-
-    return values.map(one)
+def _composed(values: pd.Series) -> pd.Series:
+    from unicodedata import normalize
+
+    return values.map(lambda s: s if s is None else normalize("NFC", s))
 
 
 def repair_encoding(t: Column) -> Column:
-    """Undo entities, double decoding, control and decomposed characters, curly quotes."""
-    suspect = t.rlike(r"&[#a-zA-Z0-9]+;|[ÃÂâ\p{Mn}]|[\x00-\x08\x0e-\x1f\x7f-\x{9f}]")
-    fixed_text = F.coalesce(_repair(F.when(suspect, t)), t)
-    return F.translate(fixed_text, "‘’‚‛“”„‟", "''''\"\"\"\"")
+    """Undo entities (in texts without tags), UTF-8 that was read as cp1252 or Latin-1, run by run,
+    control characters, decomposed characters and curly quotes.
+
+    All steps are built-in expressions on those values that need them, but for the normal form, an
+    Arrow batch of the values with decomposed characters or numbered entities.
+    """
+    needs = t.rlike(f"{DECOMPOSED}|&#")
+    return F.translate(F.coalesce(_composed(F.when(needs, _repaired(t))), _repaired(t)), "‘’‚‛“”„‟", "''''\"\"\"\"")
+
+
+def _repaired(t: Column) -> Column:
+    def entities(x):
+        return F.when(x.rlike(ENTITY) & ~F.contains(x, F.lit("<")), _each_match(x, ENTITY, _entity)).otherwise(x)
+
+    def reread(x):
+        return F.when(x.rlike(MOJIBAKE), _each_match(x, f"(?:{MOJIBAKE})+", _reread)).otherwise(x)
+
+    return F.regexp_replace(bound(bound(t, entities), reread), CONTROL, "")
 
 
 def clean_text(t: Column, repair: bool = False) -> Column:

@@ -231,11 +231,6 @@ def lemma_counts(df: DataFrame, lexicon: DataFrame | None = None, column: str =
 # ---------------------------------------------------------------- key phrases
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once a row, although body uses it within lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ranked_words(words: Column, k: int = 10) -> Column:
     """The k most frequent words longer than two letters as structs (phrase, n), ties by first
     appearance. Counted within the row: sorted words, and the places where the word changes."""
@@ -256,7 +251,7 @@ def ranked_words(words: Column, k: int = 10) -> Column:
         best = F.slice(F.array_sort(F.transform(x["b"], one)), 1, k)
         return F.transform(best, lambda r: F.struct(r["phrase"].alias("phrase"), (-r["less"]).cast("bigint").alias("n")))
 
-    return _bound(_bound(ordered, changes), counted)
+    return tx.bound(tx.bound(ordered, changes), counted)
 
 
 def key_phrases(df: DataFrame, k: int = 10, words: str = "words") -> DataFrame:

@@ -83,11 +83,28 @@ def _boilerplate(spark, sf_dir):
     )
 
 
-@query("repair_encoding")
+_MARKS = "chr(101) || chr(769)"  # a letter and a combining mark
+
+
+@query(
+    "repair_encoding",
+    f"""SELECT doc_id, translate(nfc_normalize(CASE doc_id % 4 WHEN 0 THEN '日本 ' || text
+      WHEN 1 THEN CASE WHEN contains(text, '<') THEN replace(replace(text, 'é', '&eacute;'), 'ü', '&#252;') ELSE text END
+      WHEN 2 THEN text || ' ' || {_MARKS} ELSE 'a' || text END), '‘’‚‛“”„‟', '''''''''""""') AS result FROM documents""",
+)
 def _repair(spark, sf_dir):
-    return t.read(spark, sf_dir, "pages").select(
-        "page_id", tx.repair_encoding(F.col("html")).alias("result")
+    """Documents with the damage that repair undoes: UTF-8 read as Latin-1 behind other letters,
+    entities, decomposed letters, control characters."""
+    d = t.read(spark, sf_dir, "documents")
+    x = F.col("text")
+    escaped = F.replace(F.replace(x, F.lit("é"), F.lit("&eacute;")), F.lit("ü"), F.lit("&#252;"))
+    damaged = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("日本 "), F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")))
+        .when(F.col("doc_id") % 4 == 1, escaped)
+        .when(F.col("doc_id") % 4 == 2, F.concat(x, F.lit(" e\u0301")))
+        .otherwise(F.concat(F.lit("a\x07\x00"), x))
     )
+    return d.select("doc_id", tx.repair_encoding(damaged).alias("result"))
 
 
 # ------------------------------------------------------------------ corpus-level text
