@@ -23,7 +23,9 @@ import hashlib
 import heapq
 import json
 import re
+from collections import defaultdict
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -137,6 +139,13 @@ class Codec:
         self.merger = Merger(self.vocab, merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splits = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
+        self.odd = re.compile("|".join([r"\s", *map(re.escape, self.special)]))
+        # symbols of bytes inside a word and at its end
+        marks = {ord(t[0]) for t in self.vocab if len(t) == 1 or t[1:] == self.suffix}
+        self.inner, self.final = (
+            np.array([self.vocab.get(chr(i) + end, -1) if i in marks else -1 for i in range(max(marks) + 1)], np.int64)
+            for end in ("", self.suffix)
+        )
         self.words = Tokenizer.from_file(path)  # for its normaliser and its splits into words alone
         names = {i: t for t, i in {**self.vocab, **self.special}.items()}
         size = max(names) + 1
@@ -157,19 +166,25 @@ class Codec:
         return out
 
     def _words_of_all(self, parts: list[bytes]) -> list[list]:
-        """``_words_of`` each part; plain ASCII parts go through the splits as one text, which keeps
-        its length, so that a word's place tells its part."""
+        """``_words_of`` each part. Parts without special tokens and white space go through the
+        normaliser and the splits as one text with blanks between, so that a word's place tells its
+        part; a group in which that fails is split part by part."""
         out: list = [None] * len(parts)
-        plain = [i for i, p in enumerate(parts) if p.isascii() and not (self.special and self.splits.search(p.decode()))]
+        texts = [p.decode() for p in parts]
+        odd = self.odd.search
+        plain = [i for i, t in enumerate(texts) if not odd(t)]
         for at in range(0, len(plain), 4096):
             group = plain[at : at + 4096]
-            text = b" ".join([parts[i] for i in group]).decode()
+            text = " ".join([texts[i] for i in group])
             normal = self.words.normalizer.normalize_str(text) if self.words.normalizer else text
+            pieces = normal.split(" ")
+            if len(pieces) != len(group):
+                continue
             words = self.words.pre_tokenizer.pre_tokenize_str(normal)
-            ends = np.cumsum([len(parts[i]) + 1 for i in group])
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
             first, last = np.array([o for _, o in words], np.int64).reshape(-1, 2).T
             home = np.searchsorted(ends, first, "right")
-            if len(normal) != len(text) or (last >= ends[home]).any():
+            if (last >= ends[home]).any():
                 continue
             for i in group:
                 out[i] = []
@@ -180,25 +195,27 @@ class Codec:
     def _learn(self, parts: list[bytes]) -> None:
         """Merge the distinct words of new parts together and remember the parts' ids."""
         lists = self._words_of_all(parts)
-        words = list(dict.fromkeys(w for ws in lists for w in ws if isinstance(w, str)))
-        symbols, ends, get = [], [], self.vocab.__getitem__
-        for w in words:
-            symbols += [get(c) for c in w[:-1]]
-            symbols.append(get(w[-1] + self.suffix))
-            ends.append(len(symbols))
-        ids, ends = self.merger.merge(np.array(symbols, np.int64), np.array(ends, np.int64))
+        words = [w for w in dict.fromkeys(chain.from_iterable(lists)) if isinstance(w, str)]
+        signs = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        symbols = self.inner[signs]
+        symbols[ends - 1] = self.final[signs[ends - 1]]
+        if (symbols < 0).any():
+            raise ValueError("a byte has no symbol")
+        ids, ends = self.merger.merge(symbols, ends)
         laid, ends = ids.astype("<i4").tobytes(), (4 * ends).tolist()
         by_word = {w: laid[i:j] for w, i, j in zip(words, [0, *ends], ends)}
+        by_word |= {i: i.to_bytes(4, "little") for i in self.special.values()}
         for p, ws in zip(parts, lists):
-            self.seen[p] = b"".join([by_word[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in ws])
+            self.seen[p] = by_word[ws[0]] if len(ws) == 1 else b"".join([by_word[w] for w in ws])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the ends of the texts among them."""
         parts = [(t or "").encode().split() for t in texts]
-        number: dict[bytes, int] = {}
-        for p in parts:
-            for w in dict.fromkeys(p):
-                number.setdefault(w, len(number))
+        sizes = list(map(len, parts))
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__  # a new part gets the next number
+        row = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
         if len(self.seen) + len(number) > PARTS_KEPT:
             self.seen = {w: self.seen[w] for w in number if w in self.seen}
         self._learn([w for w in number if w not in self.seen])
@@ -206,11 +223,10 @@ class Codec:
         flat = np.frombuffer(b"".join(lists), "<i4")
         size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         begin = np.cumsum(size) - size
-        row = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number.__getitem__, p), np.int64, len(p)) for p in parts)])
         many = size[row]
         past = np.r_[0, np.cumsum(many)]
         ids = flat[np.arange(past[-1]) + np.repeat(begin[row] - past[:-1], many)]
-        return ids, past[np.cumsum([0, *map(len, parts)])]
+        return ids, past[np.cumsum([0, *sizes])]
 
     def joined(self, names: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """For each text the names of its ids, a blank between."""
