@@ -100,6 +100,14 @@ def embed_records(
     return embed.embed_hashing(records, model).select("row_id", "embedding")
 
 
+def tuned(vectors: DataFrame, trials: DataFrame, folder: str, options: Options = Options()) -> Options:
+    """Options with the parameters of the best trial: trials are run, saved below ``folder`` and
+    read back, so that later runs may start from them."""
+    bundle.save_trials(tuning.run_trials(vectors, trials, options.silhouette_metric), folder)
+    best = tuning.best_parameters(bundle.load_trials(vectors.sparkSession, folder))
+    return Options(**{**options.__dict__, **best})
+
+
 def train(vectors: DataFrame, options: Options) -> tuple[PipelineModel, DataFrame]:
     """Reducer and (row_id, point, cluster_id)."""
     reducer = fit_reducer(vectors, options.n_components)
@@ -134,17 +142,19 @@ def fit_or_reuse(vectors: DataFrame, options: Options) -> tuple[DataFrame, bool]
     spark = vectors.sparkSession
     folder = options.model_folder
     if folder and not options.force_retrain and bundle.exists(spark, folder):
-        return predict_refit(vectors, bundle.load(spark, folder)), True
+        # tuned parameters go before the stored ones
+        return predict_refit(vectors, bundle.load(spark, folder), options if options.tuning is not None else None), True
     reducer, points = train(vectors, options)
     if folder:
         save_model(folder, reducer, vectors, points, options)
     return points, False
 
 
-def predict_refit(vectors: DataFrame, model: bundle.Bundle) -> DataFrame:
-    """Labels from clustering the new rows alone (ids unrelated to training)."""
+def predict_refit(vectors: DataFrame, model: bundle.Bundle, options: Options | None = None) -> DataFrame:
+    """Labels from clustering the new rows alone (ids unrelated to training), with the stored
+    parameters or those of ``options``."""
     points = cut(reduce(vectors, model.reducer).select("row_id", "point"))
-    p = model.parameters
+    p = model.parameters if options is None else options.__dict__
     labels = density.density_clusters(points, p["min_cluster_size"], p["min_samples"], p["epsilon"])
     return cut(points.join(labels, "row_id"))
 

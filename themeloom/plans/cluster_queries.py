@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from themeloom.operators import density, merge_tree, neighbors, quality, tuning
@@ -9,7 +11,7 @@ from themeloom.operators.reduce import fit_reducer, reduce
 from themeloom.plans import analysis
 from themeloom.plans import tables as t
 from themeloom.plans.vector_queries import dist
-from themeloom.runtime import cut, tidy
+from themeloom.runtime import cut, ensure_checkpoint_dir, tidy
 
 RUN, SQL = {}, {}
 
@@ -216,6 +218,34 @@ def _density_bands(spark, sf_dir):
     return _cut_by_table(t.flat_points(spark, sf_dir), FLAT_SETTINGS, band_rows=60)
 
 
+def _scored_sql(labelled):
+    """Composite scores of (trial, row_id, point, cluster_id)."""
+    return f"""x AS MATERIALIZED ({labelled}), m AS MATERIALIZED (SELECT * FROM x WHERE cluster_id <> -1),
+      one AS (SELECT DISTINCT row_id, point FROM x),
+      dd AS MATERIALIZED (SELECT a.row_id, b.row_id AS o, {dist('a.point', 'b.point')} AS d FROM one a, one b),
+      pair AS (SELECT a.trial, a.row_id, a.cluster_id AS mine, b.cluster_id AS other, sum(dd.d) AS total, count(*) AS n
+        FROM m a JOIN m b ON a.trial = b.trial JOIN dd ON dd.row_id = a.row_id AND dd.o = b.row_id GROUP BY ALL),
+      ab AS (SELECT trial, row_id, max(CASE WHEN mine = other AND n > 1 THEN total / (n - 1) END) AS a,
+        min(CASE WHEN mine <> other THEN total / n END) AS b FROM pair GROUP BY ALL),
+      sil AS (SELECT trial, avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0
+        ELSE (b - a) / greatest(a, b) END) AS s FROM ab GROUP BY trial),
+      dim AS (SELECT trial, cluster_id, row_id, unnest(point) AS v, generate_subscripts(point, 1) AS j FROM m),
+      cen AS (SELECT trial, cluster_id, j, avg(v) AS c, count(*) AS n FROM dim GROUP BY ALL),
+      grand AS (SELECT trial, j, avg(v) AS g FROM dim GROUP BY ALL),
+      bet AS (SELECT trial, sum(n * (c - g) * (c - g)) AS b FROM cen JOIN grand USING (trial, j) GROUP BY trial),
+      wit AS (SELECT trial, sum((v - c) * (v - c)) AS w FROM dim JOIN cen USING (trial, cluster_id, j) GROUP BY trial),
+      z AS (SELECT trial, cluster_id, count(*) AS n FROM m GROUP BY ALL),
+      c AS (SELECT trial, sum(n) AS n, count(*) AS k, CASE WHEN count(*) > 1 THEN 1 - stddev_pop(n) / avg(n) ELSE 0 END AS bal
+        FROM z GROUP BY trial),
+      f AS (SELECT trial, coalesce(c.n, 0) AS n, coalesce(c.k, 0) AS k, total,
+        CASE WHEN c.n > 1 AND c.k > 1 THEN s ELSE 0 END AS silhouette,
+        CASE WHEN c.k >= 2 AND c.n > c.k THEN (b / (c.k - 1)) / (w / (c.n - c.k)) ELSE 0 END AS ch, coalesce(bal, 0) AS bal
+        FROM (SELECT trial, count(*) AS total FROM x GROUP BY trial) LEFT JOIN c USING (trial) LEFT JOIN sil USING (trial)
+        LEFT JOIN bet USING (trial) LEFT JOIN wit USING (trial)),
+      scored AS (SELECT *, CASE WHEN n >= 2 AND k >= 2 THEN 0.4 * silhouette + 0.2 * ch / 1000 + 0.2 * bal + 0.1 * n / total
+          + 0.1 / (1 + abs(k - 10)) ELSE 0.0 END AS score FROM f)"""
+
+
 #: Labellings of the vectors by trial; -1 is noise.
 LABELLINGS = {
     0: "label",
@@ -233,33 +263,10 @@ _LABELLED = " UNION ALL ".join(
 
 @query(
     "trial_scores",
-    f"""WITH x AS MATERIALIZED ({_LABELLED}), m AS MATERIALIZED (SELECT * FROM x WHERE cluster_id <> -1),
-      d AS MATERIALIZED (SELECT a.row_id, b.row_id AS o, {dist('a.point', 'b.point')} AS d
-        FROM {t.POINTS} a, {t.POINTS} b),
-      pair AS (SELECT a.trial, a.row_id, a.cluster_id AS mine, b.cluster_id AS other, sum(d.d) AS total, count(*) AS n
-        FROM m a JOIN m b ON a.trial = b.trial JOIN d ON d.row_id = a.row_id AND d.o = b.row_id GROUP BY ALL),
-      ab AS (SELECT trial, row_id, max(CASE WHEN mine = other AND n > 1 THEN total / (n - 1) END) AS a,
-        min(CASE WHEN mine <> other THEN total / n END) AS b FROM pair GROUP BY ALL),
-      sil AS (SELECT trial, avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0
-        ELSE (b - a) / greatest(a, b) END) AS s FROM ab GROUP BY trial),
-      dim AS (SELECT trial, cluster_id, row_id, unnest(point) AS v, generate_subscripts(point, 1) AS j FROM m),
-      cen AS (SELECT trial, cluster_id, j, avg(v) AS c, count(*) AS n FROM dim GROUP BY ALL),
-      grand AS (SELECT trial, j, avg(v) AS g FROM dim GROUP BY ALL),
-      bet AS (SELECT trial, sum(n * (c - g) * (c - g)) AS b FROM cen JOIN grand USING (trial, j) GROUP BY trial),
-      wit AS (SELECT trial, sum((v - c) * (v - c)) AS w FROM dim JOIN cen USING (trial, cluster_id, j) GROUP BY trial),
-      z AS (SELECT trial, cluster_id, count(*) AS n FROM m GROUP BY ALL),
-      c AS (SELECT trial, sum(n) AS n, count(*) AS k, CASE WHEN count(*) > 1 THEN 1 - stddev_pop(n) / avg(n) ELSE 0 END AS bal
-        FROM z GROUP BY trial),
-      f AS (SELECT trial, coalesce(c.n, 0) AS n, coalesce(c.k, 0) AS k, total,
-        CASE WHEN c.n > 1 AND c.k > 1 THEN s ELSE 0 END AS silhouette,
-        CASE WHEN c.k >= 2 AND c.n > c.k THEN (b / (c.k - 1)) / (w / (c.n - c.k)) ELSE 0 END AS ch, coalesce(bal, 0) AS bal
-        FROM (SELECT trial, count(*) AS total FROM x GROUP BY trial) LEFT JOIN c USING (trial) LEFT JOIN sil USING (trial)
-        LEFT JOIN bet USING (trial) LEFT JOIN wit USING (trial))
+    f"""WITH {_scored_sql(_LABELLED)}
       SELECT trial, round(silhouette, 6) + 0.0 AS silhouette, round(ch, 6) + 0.0 AS calinski_harabasz,
         round(bal, 6) + 0.0 AS cluster_balance, round(n / total, 6) + 0.0 AS noise_penalty,
-        round(1 / (1 + abs(k - 10)), 6) + 0.0 AS cluster_count_score,
-        CASE WHEN n >= 2 AND k >= 2 THEN round(0.4 * silhouette + 0.2 * ch / 1000 + 0.2 * bal + 0.1 * n / total
-          + 0.1 / (1 + abs(k - 10)), 6) + 0.0 ELSE 0.0 END AS score FROM f""",
+        round(1 / (1 + abs(k - 10)), 6) + 0.0 AS cluster_count_score, round(score, 6) + 0.0 AS score FROM scored""",
 )
 def _trial_scores(spark, sf_dir):
     """Several labellings of all vectors, scored in one pass."""
@@ -299,6 +306,57 @@ def _tune(spark, sf_dir):
     return tuning.run_trials(e.select("row_id", "embedding"), trials)
 
 
+#: Settings of the trials below; all coordinates are kept, so that the reduction only turns them.
+_GRID = [(0, 2, 0.0), (1, 2, 0.9), (2, 5, 0.0), (3, 5, 0.9)]
+_UNIT_POINTS = """(SELECT vec_id AS row_id, list_transform(v, lambda x: x / n) AS point FROM (SELECT vec_id, v,
+  sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)))"""
+_UNIT_EDGES = _tree_sql(_REACH.replace(t.POINTS, _UNIT_POINTS))
+
+
+_TRIED = f"""lab AS MATERIALIZED ({_clusters_sql(_GRID, _UNIT_EDGES)}),
+  {_scored_sql(f"SELECT trial, row_id, point, cluster_id FROM lab JOIN {_UNIT_POINTS} USING (row_id)")}"""
+
+
+def _grid_rows(spark, sf_dir):
+    e = t.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    trials = tuning.grid_trials(
+        spark, n_components=[64], min_samples=[3], min_cluster_size=[2, 5], epsilon=[0.0, 0.9]
+    )
+    return e, trials
+
+
+@query(
+    "tune_all",
+    f"""WITH {_TRIED} SELECT trial AS trial_id, 64 AS n_components, 3 AS min_samples,
+      CASE WHEN trial < 2 THEN 2 ELSE 5 END AS min_cluster_size, CASE WHEN trial % 2 = 0 THEN 0.0 ELSE 0.9 END::DOUBLE AS epsilon,
+      round(score, 6) + 0.0 AS score FROM scored""",
+)
+def _tune_all(spark, sf_dir):
+    """Trials on all coordinates: one tree, one table of settings, one pass of scoring."""
+    scored = tuning.run_trials(*_grid_rows(spark, sf_dir))
+    return scored.withColumn("score", tidy(F.col("score")))
+
+
+@query(
+    "tuned_run",
+    f"""WITH {_TRIED}, best AS (SELECT trial FROM scored ORDER BY score DESC, trial LIMIT 1),
+      got AS (SELECT row_id, cluster_id FROM lab JOIN best USING (trial))
+      SELECT run, reused, row_id, cluster_id FROM got, (VALUES (0, false), (1, true), (2, false)) v(run, reused)""",
+)
+def _tuned_run(spark, sf_dir):
+    """Search, save, reload and build with the best parameters; then the stored model is reused, then
+    trained anew by force. All three give the best trial's clusters."""
+    vectors, trials = _grid_rows(spark, sf_dir)
+    base = f"{ensure_checkpoint_dir(spark)}/tuned-{uuid.uuid4().hex}"
+    options = analysis.tuned(vectors, trials, f"{base}/trials", analysis.Options(model_folder=f"{base}/model"))
+    out = None
+    for run, forced in enumerate((False, False, True)):
+        points, reused = analysis.fit_or_reuse(vectors, analysis.Options(**{**options.__dict__, "force_retrain": forced}))
+        part = points.select(F.lit(run).alias("run"), F.lit(reused).alias("reused"), "row_id", "cluster_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("full_analysis")
 def full(spark, sf_dir):
     """Clean, embed, cluster and name all documents; one row per theme."""

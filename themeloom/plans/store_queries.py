@@ -19,7 +19,7 @@ from themeloom.plans import analysis
 from themeloom.plans import sqltext as q
 from themeloom.plans import tables as t
 from themeloom.plans.vector_queries import SQL as VECTOR_SQL
-from themeloom.plans.vector_queries import _order_trials, dist
+from themeloom.plans.vector_queries import DIM, _order_trials, dist
 from themeloom.runtime import ensure_checkpoint_dir, tidy
 from themeloom.sources import bundle, registry, scan, sinks
 from themeloom.streaming import ingest
@@ -224,3 +224,46 @@ def _stream_assign(spark, sf_dir):
     stream = _arriving(spark, _vectors(spark, sf_dir))
     ingest.assign_stream(stream, model, out, f"{out}-mark").awaitTermination()
     return spark.read.parquet(out).select("row_id", "cluster_id")
+
+
+def _three_batches(spark, sf_dir):
+    """Low labels, then twice the high ones, arrive at a model of the low labels, which follows drift
+    above 0.1: (log folder, folder of assignments)."""
+    v = _vectors(spark, sf_dir)
+    base = _folder(spark, "recluster")
+    options = analysis.Options(dim=DIM, epsilon=0.0)
+    old = v.where(F.col("label") < 5).select("row_id", "embedding")
+    unit = PipelineModel([Normalizer(inputCol="_v", outputCol="_pc", p=2.0)])
+    label = F.when(F.col("label") == 0, F.lit(-1)).otherwise(F.col("label")).cast("int")
+    points = reduce(v.where(F.col("label") < 5), unit).select("row_id", "point", label.alias("cluster_id"))
+    analysis.save_model(f"{base}/models/version=1", unit, old, points, options)
+    for part in (old, *[v.where(F.col("label") >= 5).select("row_id", "embedding")] * 2):
+        # one file a batch
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("row_id bigint, embedding array<double>").parquet(f"{base}/in")
+        ingest.recluster_stream(stream, f"{base}/models", f"{base}/out", f"{base}/mark", options).awaitTermination()
+    return f"{base}/models/log", f"{base}/out"
+
+
+@query(
+    "stream_recluster",
+    f"""WITH lo AS ({q.means('(SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE label < 5)', None, 'v')}),
+      hi AS ({q.means('(SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE label >= 5)', None, 'v')}),
+      al AS ({q.means('(SELECT embedding::DOUBLE[] AS v FROM embeddings)', None, 'v')}),
+      n AS (SELECT count(*) FILTER (label < 5) AS lo, count(*) FILTER (label >= 5) AS hi FROM embeddings),
+      d AS (SELECT 1 - {q.cosine('hi.v', 'lo.v')} AS one, 1 - {q.cosine('hi.v', 'al.v')} AS two FROM lo, hi, al),
+      s AS (SELECT one, CASE WHEN one > 0.1 THEN two ELSE one END AS next FROM d),
+      l AS (SELECT 0 AS batch, lo AS rows, 0.0::DOUBLE AS drift FROM n UNION ALL SELECT 1, hi, one FROM n, s
+        UNION ALL SELECT 2, hi, next FROM n, s)
+      SELECT batch::BIGINT AS batch, rows, round(drift, 6) + 0.0 AS drift_score, drift > 0.1 AS retrained,
+        1 + count(*) FILTER (drift > 0.1) OVER (ORDER BY batch) AS version, rows AS assigned FROM l""",
+)
+def _stream_recluster(spark, sf_dir):
+    """What the log says of each batch, and the rows that its version assigned."""
+    log, out = _three_batches(spark, sf_dir)
+    done = spark.read.parquet(out).groupBy("batch", "version").agg(F.count(F.lit(1)).alias("assigned"))
+    found = spark.read.parquet(log).drop("folder").join(done, ["batch", "version"])
+    return found.select(
+        F.col("batch").cast("bigint").alias("batch"), "rows", tidy(F.col("drift_score")).alias("drift_score"),
+        "retrained", F.col("version").cast("bigint").alias("version"), "assigned",
+    )

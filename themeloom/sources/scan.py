@@ -111,6 +111,27 @@ def land(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def land_csv(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Copy a CSV file, or a folder of its parts, into the landing folder and report it: one row
+    (path, file_name, file_size). A name that is there already is replaced once the copy is whole."""
+    check_suffix(path)
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"File not found: {path}")
+    source, fs = hadoop_path(spark, path)
+    name = source.getName()
+    target, to = hadoop_path(spark, f"{folder}/{name}")
+    partial, _ = hadoop_path(spark, f"{folder}/_{name}.partial")
+    conf = spark._jsc.hadoopConfiguration()
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, to, partial, False, True, conf)
+    to.delete(target, True)
+    if not to.rename(partial, target):
+        raise OSError(f"cannot land {name}")
+    size = to.getContentSummary(target).getLength()
+    return spark.range(1).select(
+        F.lit(target.toString()).alias("path"), F.lit(name).alias("file_name"), F.lit(size).cast("bigint").alias("file_size")
+    )
+
+
 def landed_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, file_name, file_size) of the .csv files of a landing folder."""
     # file metadata only: content is pruned, so nothing but the listing is read

@@ -18,6 +18,7 @@ from themeloom.operators.rows import extract_texts
 from themeloom.plans import analysis
 from themeloom.runtime import cut
 from themeloom.sources import bundle
+from themeloom.sources.scan import path_exists
 
 
 def landed_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -85,3 +86,51 @@ def assign_stream(vectors: DataFrame, model_folder: str, out: str, checkpoint: s
         )
 
     return _batches(vectors, write, checkpoint)
+
+
+def current_version(spark: SparkSession, root: str, number: int) -> tuple[int, str]:
+    """(version, folder) of the model that holds before micro-batch ``number``: what the log of
+    earlier batches says, else version 1. A batch that is replayed finds what it found before."""
+    if not path_exists(spark, f"{root}/log"):
+        return 1, f"{root}/version=1"
+    log = spark.read.parquet(f"{root}/log").where(F.col("batch") < number)
+    last = log.orderBy(F.desc("batch")).select("version", "folder").first()
+    return (last["version"], last["folder"]) if last else (1, f"{root}/version=1")
+
+
+def recluster_stream(
+    vectors: DataFrame, root: str, out: str, checkpoint: str, options: analysis.Options, threshold: float = 0.1
+) -> StreamingQuery:
+    """Append (row_id, point, cluster_id, version) of every micro-batch of (row_id, embedding) to
+    ``out``, and cluster anew where the vectors have moved away.
+
+    The model of version 1 lies in ``root/version=1``. A batch whose drift from the training vectors
+    of the current model passes the threshold is added to them, and a bundle of the next version is
+    trained and saved; that batch and the later ones are assigned by it. ``root/log`` keeps a row for
+    every batch: rows, drift_score, retrained, version and its folder. A model is swapped only
+    between batches, and its folder carries the batch, so that a replay writes the same places.
+    """
+    spark = vectors.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = cut(batch.select("row_id", "embedding"))
+        n = batch.count()
+        if not n:
+            return
+        version, folder = current_version(spark, root, number)
+        model = bundle.load(spark, folder)
+        found = drift.drift_decision(drift.drift_score(batch, model.training), threshold).first()
+        if found["needs_retraining"]:
+            version, folder = version + 1, f"{root}/version={version + 1}-batch={number}"
+            grown = cut(model.training.select("row_id", "embedding").unionByName(batch))
+            reducer, points = analysis.train(grown, options)
+            analysis.save_model(folder, reducer, grown, points, options)
+            model = bundle.load(spark, folder)
+        done = analysis.predict_assign(batch, model).withColumn("version", F.lit(version))
+        done.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark.range(1).select(
+            F.lit(n).cast("bigint").alias("rows"), F.lit(found["drift_score"]).alias("drift_score"),
+            F.lit(found["needs_retraining"]).alias("retrained"), F.lit(version).alias("version"), F.lit(folder).alias("folder"),
+        ).write.mode("overwrite").parquet(f"{root}/log/batch={number}")
+
+    return _batches(vectors, write, checkpoint)
