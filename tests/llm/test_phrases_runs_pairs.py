@@ -240,7 +240,7 @@ def test_chunks_and_memory_do_not_matter(spark, texts, monkeypatch):
     ids, ends = whole.encode([t for _, t, _ in texts])
     monkeypatch.setattr(pair_merges, "PARTS_KEPT", 50)
     got = [small.encode([t])[0] for _, t, _ in texts]
-    assert np.concatenate(got).tolist() == ids.tolist() and len(small.seen) < len(whole.seen)
+    assert np.concatenate(got).tolist() == ids.tolist() and len(small.parts) < len(whole.parts)
 
 
 def test_merges_one_rank_at_a_time():

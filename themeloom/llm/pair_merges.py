@@ -31,15 +31,16 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from themeloom.llm.common import table
 
-#: Bytes of text whose words are merged together, at least those of one text, and parts that are
-#: remembered.
-CHUNK, PARTS_KEPT = 4 << 20, 200_000
+#: Bytes of text whose words are merged together, at least those of one text, and parts (and words of
+#: parts) that are remembered, twice: those in use lately, and those before.
+CHUNK, PARTS_KEPT = 8 << 20, 250_000
 
 
 class Merger:
@@ -123,6 +124,37 @@ class Merger:
         return symbols[stay], np.r_[0, np.cumsum(stay)][ends]
 
 
+def bytes_to_signs() -> dict[int, str]:
+    """The sign of each byte in byte-level vocabularies: printable Latin-1 characters are themselves,
+    the other bytes, in order, the characters from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Remembered(dict):
+    """A bounded memory: what is found in the older half moves to the newer one."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def new(self, keys) -> list:
+        """The keys that are not remembered; the others can be read from now on."""
+        keys = list(keys)
+        if len(self) + len(keys) > PARTS_KEPT:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for k in keys:
+            if k not in self:
+                if k in self.old:
+                    self[k] = self.old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class Codec:
     """Ids of texts and texts of ids, by one tokenizer file."""
 
@@ -139,22 +171,27 @@ class Codec:
         self.merger = Merger(self.vocab, merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splits = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.odd = re.compile("|".join([r"\s", *map(re.escape, self.special)]))
-        # symbols of bytes inside a word and at its end
-        marks = {ord(t[0]) for t in self.vocab if len(t) == 1 or t[1:] == self.suffix}
+        # symbols of bytes inside a word and at its end; signs stand for the bytes that are no printable ones
+        signs = bytes_to_signs()
         self.inner, self.final = (
-            np.array([self.vocab.get(chr(i) + end, -1) if i in marks else -1 for i in range(max(marks) + 1)], np.int64)
-            for end in ("", self.suffix)
+            np.array([self.vocab.get(signs[b] + end, -1) for b in range(256)], np.int64) for end in ("", self.suffix)
         )
+        self.bytes_of = {ord(c): b for b, c in signs.items()}
+        # Latin letters and marks need not go through the library's splits
+        self.latin = re.compile(r"[\x21-\x7e\xa1-\u024f]+").fullmatch
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        own = len(steps) == 2 and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and not steps[1].get("use_regex")
+        self.split = regex.compile(steps[0]["pattern"]["Regex"]) if own and "Regex" in steps[0].get("pattern", {}) else None
         self.words = Tokenizer.from_file(path)  # for its normaliser and its splits into words alone
         names = {i: t for t, i in {**self.vocab, **self.special}.items()}
         size = max(names) + 1
         self.tokens = pa.array([f"{names[i]} " if i in names else "" for i in range(size)], pa.large_string())
         self.numbers = pa.array([f"{i} " for i in range(size)], pa.large_string())
-        self.seen: dict[bytes, bytes] = {}  # ids as little-endian 32-bit numbers
+        # ids as little-endian 32-bit numbers
+        self.parts, self.known = Remembered(), Remembered()
 
     def _words_of(self, part: bytes) -> list:
-        """Words (texts) and special tokens (ids) of a part without white space."""
+        """Words (their bytes) and special tokens (ids) of a part without white space."""
         out: list = []
         text = part.decode()
         for piece in self.splits.split(text) if self.special else [text]:
@@ -162,41 +199,41 @@ class Codec:
                 out.append(self.special[piece])
             elif piece:
                 normal = self.words.normalizer.normalize_str(piece) if self.words.normalizer else piece
-                out += [w for w, _ in self.words.pre_tokenizer.pre_tokenize_str(normal)]
+                words = self.words.pre_tokenizer.pre_tokenize_str(normal)
+                out += [w.translate(self.bytes_of).encode("latin-1") for w, _ in words]
         return out
 
     def _words_of_all(self, parts: list[bytes]) -> list[list]:
-        """``_words_of`` each part. Parts without special tokens and white space go through the
-        normaliser and the splits as one text with blanks between, so that a word's place tells its
-        part; a group in which that fails is split part by part."""
+        """``_words_of`` each part. Latin parts without special tokens go through the normaliser and
+        the file's pattern as one text with blanks between, so that the lengths of words tell their
+        parts; a group in which that fails is split part by part."""
         out: list = [None] * len(parts)
         texts = [p.decode() for p in parts]
-        odd = self.odd.search
-        plain = [i for i, t in enumerate(texts) if not odd(t)]
+        special = self.splits.search if self.special else lambda t: None
+        plain = [i for i, t in enumerate(texts) if self.latin(t) and not special(t)] if self.split else []
         for at in range(0, len(plain), 4096):
             group = plain[at : at + 4096]
             text = " ".join([texts[i] for i in group])
             normal = self.words.normalizer.normalize_str(text) if self.words.normalizer else text
-            pieces = normal.split(" ")
-            if len(pieces) != len(group):
+            pieces, words = normal.split(" "), self.split.findall(normal)
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            if len(pieces) != len(group) or not len(last) or last[-1] != ends[-1]:
                 continue
-            words = self.words.pre_tokenizer.pre_tokenize_str(normal)
-            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
-            first, last = np.array([o for _, o in words], np.int64).reshape(-1, 2).T
-            home = np.searchsorted(ends, first, "right")
-            if (last >= ends[home]).any():
+            bounds = np.searchsorted(last, ends)
+            if bounds[-1] >= len(last) or (last[bounds] != ends).any():
                 continue
-            for i in group:
-                out[i] = []
-            for (w, _), h in zip(words, home.tolist()):
-                out[group[h]].append(w)
+            coded = [w.encode() for w in words]
+            bounds = (bounds + 1).tolist()
+            for i, a, b in zip(group, [0, *bounds], bounds):
+                out[i] = coded[a:b]
         return [self._words_of(p) if o is None else o for p, o in zip(parts, out)]
 
     def _learn(self, parts: list[bytes]) -> None:
-        """Merge the distinct words of new parts together and remember the parts' ids."""
+        """Merge the words of new parts that are not known together and remember the parts' ids."""
         lists = self._words_of_all(parts)
-        words = [w for w in dict.fromkeys(chain.from_iterable(lists)) if isinstance(w, str)]
-        signs = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        words = self.known.new(w for w in dict.fromkeys(chain.from_iterable(lists)) if isinstance(w, bytes))
+        signs = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         symbols = self.inner[signs]
         symbols[ends - 1] = self.final[signs[ends - 1]]
@@ -204,10 +241,11 @@ class Codec:
             raise ValueError("a byte has no symbol")
         ids, ends = self.merger.merge(symbols, ends)
         laid, ends = ids.astype("<i4").tobytes(), (4 * ends).tolist()
-        by_word = {w: laid[i:j] for w, i, j in zip(words, [0, *ends], ends)}
-        by_word |= {i: i.to_bytes(4, "little") for i in self.special.values()}
+        known = self.known
+        known.update((w, laid[i:j]) for w, i, j in zip(words, [0, *ends], ends))
+        known.update((i, i.to_bytes(4, "little")) for i in self.special.values())
         for p, ws in zip(parts, lists):
-            self.seen[p] = by_word[ws[0]] if len(ws) == 1 else b"".join([by_word[w] for w in ws])
+            self.parts[p] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the ends of the texts among them."""
@@ -216,10 +254,8 @@ class Codec:
         number: dict[bytes, int] = defaultdict()
         number.default_factory = number.__len__  # a new part gets the next number
         row = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
-        if len(self.seen) + len(number) > PARTS_KEPT:
-            self.seen = {w: self.seen[w] for w in number if w in self.seen}
-        self._learn([w for w in number if w not in self.seen])
-        lists = [self.seen[w] for w in number]
+        self._learn(self.parts.new(number))
+        lists = [self.parts[w] for w in number]
         flat = np.frombuffer(b"".join(lists), "<i4")
         size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         begin = np.cumsum(size) - size
