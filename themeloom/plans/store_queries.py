@@ -13,11 +13,15 @@ from pyspark.ml.feature import Normalizer
 from pyspark.sql import functions as F
 
 from themeloom.functions import fixed
-from themeloom.operators import drift, tuning
+from themeloom.functions import text as tx
+from themeloom.operators import drift, themes, tuning
+from themeloom.operators.profile import detect_text_column
 from themeloom.operators.reduce import reduce
 from themeloom.plans import analysis
 from themeloom.plans import sqltext as q
 from themeloom.plans import tables as t
+from themeloom.plans.theme_queries import SQL as THEME_SQL
+from themeloom.plans.theme_queries import theme_frame
 from themeloom.plans.vector_queries import SQL as VECTOR_SQL
 from themeloom.plans.vector_queries import DIM, _order_trials, dist
 from themeloom.runtime import ensure_checkpoint_dir, tidy
@@ -116,6 +120,104 @@ def _stored_trials(spark, sf_dir):
     return best.withColumn("score", tidy(F.col("score")))
 
 
+# ------------------------------------------------------------------ landed files
+
+_LANGS = ("de", "en", "fr")
+
+
+def _language_files(spark, sf_dir):
+    """A CSV folder for each of some languages, under the text column's own name in each."""
+    d = t.read(spark, sf_dir, "documents")
+    base = _folder(spark, "files")
+    names = dict(zip(_LANGS, ("summary", "bug_text", "Description")))
+    for lang, column in names.items():
+        sinks.write_csv(d.where(F.col("lang") == lang).select("n_chars", F.col("text").alias(column)), f"{base}/{lang}.csv")
+    return base
+
+
+@query(
+    "land_csv",
+    f"""SELECT lang || '.csv' AS file_name, count(*) AS rows, true AS same_size FROM documents
+      WHERE lang IN {_LANGS} GROUP BY lang""",
+)
+def _land(spark, sf_dir):
+    """Files are landed one by one and reported; what lies there has the reported size and all rows."""
+    base, out = _language_files(spark, sf_dir), None
+    for lang in _LANGS:
+        told = scan.land_csv(spark, f"{base}/{lang}.csv", f"{base}/landed").first()
+        same = scan.file_bytes(spark, told["path"]) == told["file_size"] > 0
+        held = scan.read_csv(spark, told["path"])
+        one = held.agg(
+            F.lit(told["file_name"]).alias("file_name"), F.count(F.lit(1)).alias("rows"), F.lit(same).alias("same_size")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "read_files",
+    f"""SELECT lang || '.csv' AS file_name, CASE WHEN text NOT IN ({_NA}) THEN text END AS text
+      FROM documents WHERE lang IN {_LANGS}""",
+)
+def _read_files(spark, sf_dir):
+    """Files whose text columns have different names, as one table with the file's name."""
+    base = _language_files(spark, sf_dir)
+    return scan.read_files(spark, [f"{base}/{lang}.csv" for lang in _LANGS]).drop("row_id")
+
+
+@query(
+    "sink_processed",
+    f"""SELECT doc_id, {q.clean('text')} AS cleaned_text, to_json({q.content_words('text')})::VARCHAR AS words
+      FROM documents WHERE {q.clean('text')} NOT IN ({_NA})""",
+)
+def _sink_processed(spark, sf_dir):
+    """Processed rows, arrays as JSON, written and read back."""
+    d = t.texts(spark, sf_dir)
+    words = tx.drop_stop_words(tx.word_tokens(F.col("text")))
+    folder = _folder(spark, "results")
+    sinks.write_processed(d.select(F.col("row_id").alias("doc_id"), tx.clean_text(F.col("text")).alias("cleaned_text"), words.alias("words")), folder)
+    back = scan.read_csv(spark, f"{folder}/processed_summaries.csv", spark.range(0).selectExpr(
+        "id AS doc_id", "'' AS cleaned_text", "'' AS words").schema)
+    return back.drop("row_id").where("cleaned_text IS NOT NULL")
+
+
+@query(
+    "sink_themes",
+    f"""SELECT cluster_id, name AS theme_name, description, sample_count, data_quality_issues,
+      round(data_quality_percentage, 6) + 0.0 AS data_quality_percentage FROM ({THEME_SQL['theme_table']})""",
+)
+def _sink_themes(spark, sf_dir):
+    folder = _folder(spark, "results")
+    sinks.write_themes(theme_frame(spark, sf_dir), folder)
+    back = scan.read_csv(spark, f"{folder}/theme_analysis.csv", spark.range(0).selectExpr(
+        "0 AS cluster_id", "'' AS theme_name", "'' AS description", "0L AS sample_count", "0L AS data_quality_issues",
+        "0D AS data_quality_percentage").schema)
+    return back.drop("row_id").withColumn("data_quality_percentage", tidy(F.col("data_quality_percentage")))
+
+
+@query("sink_report", f"SELECT value FROM ({THEME_SQL['theme_summary']})")
+def _sink_report(spark, sf_dir):
+    """The theme summary as a text file, line by line."""
+    path = f"{_folder(spark, 'results')}/analysis_report.txt"
+    sinks.write_lines(themes.theme_summary(theme_frame(spark, sf_dir)), path)
+    return spark.read.text(path)
+
+
+@query(
+    "text_columns",
+    """WITH p AS (SELECT avg(length(url)) AS url, avg(length(html)) AS html FROM (SELECT * FROM pages ORDER BY page_id LIMIT 10))
+      SELECT 'documents' AS source, 'text' AS longest, 'text' AS first FROM p UNION ALL
+      SELECT 'pages', CASE WHEN html >= url THEN 'html' ELSE 'url' END, CASE WHEN url > 20 THEN 'url' WHEN html > 20 THEN 'html' END FROM p""",
+)
+def _text_columns(spark, sf_dir):
+    """The text column that both policies find: by its name, and by the lengths of its values."""
+    out = []
+    for name, key in (("documents", "doc_id"), ("pages", "page_id")):
+        d = t.read(spark, sf_dir, name).withColumnRenamed(key, "row_id")
+        out.append((name, *(detect_text_column(d, policy) for policy in ("longest", "first"))))
+    return spark.createDataFrame(out, "source string, longest string, first string")
+
+
 # ------------------------------------------------------------------ stored model
 
 _UNIT = """(SELECT vec_id AS row_id, label, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster_id,
@@ -181,6 +283,19 @@ def _stored_info(spark, sf_dir):
     )
 
 
+@query(
+    "export_info",
+    """SELECT unnest(['model.training rows = ' || count(*), 'model.clusters = ' || count(DISTINCT label) FILTER (label <> 0),
+      'model.cluster ids = ' || (SELECT string_agg(label::VARCHAR, ',' ORDER BY label) FROM (SELECT DISTINCT label
+      FROM embeddings WHERE label BETWEEN 1 AND 4))]) AS value FROM embeddings WHERE label < 5""",
+)
+def _export_info(spark, sf_dir):
+    """What a stored model holds, as the text file tells; lines with paths and times are left out."""
+    path = f"{_folder(spark, 'info')}/model.txt"
+    bundle.export_info(spark, _stored_model(spark, sf_dir), path)
+    return spark.read.text(path).where(F.col("value").rlike("^model[.](training rows|clusters|cluster ids) = "))
+
+
 # ------------------------------------------------------------------ streams
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from themeloom.functions import fixed
+from themeloom.functions import fixed, vector
 from themeloom.functions import text as tx
 from themeloom.operators import classify, clusters, compare, embed, lexical, rows, themes
 from themeloom.plans import sqltext as q
@@ -386,3 +386,15 @@ def _issue_scores(spark, sf_dir):
 def _embed(spark, sf_dir):
     d = t.texts(spark, sf_dir).select("row_id", "text")
     return embed.embed_hashing(d, embed.fit_hashing(d)).select("row_id", "embedding")
+
+
+@query(
+    "embed_lengths",
+    f"""SELECT row_id, 256 AS dim, CASE WHEN len({q.content_words('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length
+      FROM {t.TEXTS}""",
+)
+def _embed_lengths(spark, sf_dir):
+    """Vectors of all documents have the asked dimension and unit length, or none without words."""
+    d = t.texts(spark, sf_dir).select("row_id", "text")
+    made = embed.embed_hashing(d, embed.fit_hashing(d))
+    return made.select("row_id", F.size("embedding").alias("dim"), tidy(vector.norm(F.col("embedding"))).alias("length"))
