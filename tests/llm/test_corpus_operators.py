@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from themeloom.llm import language, mixing, packing, quality, secret_scan, sharding, simhash, token_files, tokens, topk, warc
@@ -214,6 +215,17 @@ def test_shards_are_near_equal_and_gapless(spark, docs, odd, texts, none):
     assert len(held) == 24 and max(held) < 1.05 * sum(held) / 24 and min(held) > 0.95 * sum(held) / 24
 
 
+def test_equal_texts_share_a_shard(spark):
+    """150,000 pairs, some larger groups, and one that outweighs a shard, the only one that is torn."""
+    text = "CASE WHEN id < 300000 THEN concat('text number ', id div 2) WHEN id < 301000 THEN concat('group ', id % 5) ELSE 'hot' END"
+    many = spark.range(320_000).selectExpr("id AS doc_id", f"{text} AS text")
+    got = sharding.shard(many).select("doc_id", "shard", "size")
+    homes = got.join(many, "doc_id").groupBy("text").agg(F.countDistinct("shard").alias("n"))
+    assert [r.text for r in homes.where("n > 1").collect()] == ["hot"]
+    held = [r[1] for r in got.groupBy("shard").agg({"size": "sum"}).collect()]
+    assert len(held) == 24 and max(held) < 1.05 * sum(held) / 24 and min(held) > 0.95 * sum(held) / 24
+
+
 # token files ---------------------------------------------------------------------------------
 
 

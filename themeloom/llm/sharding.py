@@ -2,10 +2,10 @@
 
 Records are ordered by (hash of the text, hash of the id). Key samples, drawn with a chance
 proportional to the record's bytes, give quantile boundaries of many small ranges; a text that
-alone outweighs a range gets one of its own. The bytes of every range are then counted exactly,
-ranges above the mean are divided by the id hash, and whole cells go to shards in order, each to
-the shard in which its middle byte falls. Equal texts lie side by side: they share a shard unless
-the group itself is larger than a cell.
+alone outweighs a range gets one of its own. The bytes of every range are then counted exactly, and
+whole ranges go to shards in order, each to the shard in which its middle byte falls. Equal texts
+are in one range and so share a shard. Only a text that, with its copies, outweighs a sixteenth of a
+shard is divided, by the id hash, since sizes could not come near each other otherwise.
 
 Cases: a null text has no bytes, size 8 and CRC 0; a null doc_id is kept; repeated rows take
 slots of their own; an empty table gives an empty result; other columns are not read.
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from themeloom.llm.common import interval, table, unit_bits
 from themeloom.runtime import cut
 
-#: Ranges for each shard, and samples for each range: they bound the sample and the splitters.
-RANGES, SAMPLES = 128, 16
+#: Ranges for each shard, and samples for each range: they bound the sample and the splitters. The
+#: part of a shard from which one text is divided.
+RANGES, SAMPLES, WHOLE = 128, 16, 1 / 16
 SPAN = 1 << 60
 
 
@@ -63,9 +64,10 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     bounds = splitters(base, total, ranges)
     placed = base.withColumn("r", interval(bounds, F.col("k")))
 
-    mean = max(1, total // ranges)
-    held = placed.groupBy("r").agg(F.sum("size").alias("b"))
-    parts = F.broadcast(held.select("r", F.ceil(F.col("b") / mean).alias("parts")))
+    most = max(1.0, total / shards * WHOLE)
+    held = placed.groupBy("r").agg(F.sum("size").alias("b"), (F.min("k") == F.max("k")).alias("single"))
+    divided = F.when(F.col("single") & (F.col("b") > most), F.ceil(F.col("b") / most)).otherwise(F.lit(1))
+    parts = F.broadcast(held.select("r", divided.alias("parts")))
     cell = F.floor(F.col("d") / float(SPAN) * F.col("parts")).cast("long")
     cells = placed.join(parts, "r").withColumn("s", cell).drop("parts")
 
