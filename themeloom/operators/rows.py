@@ -102,13 +102,15 @@ def lower_case(text: Column) -> Column:
 def dedupe(df: DataFrame, text: str = "text", row_id: str = "row_id") -> DataFrame:
     """Keep the first row of each distinct text.
 
-    The first id per text digest is a map-side-combined minimum, so a text that fills a
-    third of the table still moves one (digest, id) pair per input partition; the texts
-    themselves never enter the aggregation.
+    Texts are compared by digest: digests that occur again, with their first id, are a map-side
+    combined aggregate, and only the rows to drop, ids alone, meet the table. While these are few
+    enough to broadcast the texts stay where they are.
     """
-    digest = F.sha2(F.col(text), 256)
-    kept = df.groupBy(digest.alias("_digest")).agg(F.min(row_id).alias(row_id))
-    return df.join(kept.select(row_id), row_id, "left_semi")
+    digest = F.coalesce(F.sha2(F.col(text), 256), F.lit(""))
+    own = df.select(row_id, digest.alias("_digest"))
+    again = own.groupBy("_digest").agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    gone = own.join(again.drop("_n"), "_digest").where(F.col(row_id) > F.col("_first")).select(row_id)
+    return df.join(gone, row_id, "left_anti")
 
 
 def valid_embeddings(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:

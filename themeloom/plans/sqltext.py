@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from themeloom.functions import fixed
-from themeloom.functions import text as tx
 
-W = tx.SPACE
+# The patterns are written out here a second time, so that a slip in one place shows.
+W = r"\s\x0b\p{Z}\x{85}\x{1c}-\x{1f}"
+URL = r"https?://(?:[a-zA-Z0-9$-_@.&+!*\(),]|%[0-9a-fA-F][0-9a-fA-F])+"
+OTHER = rf"[^\p{{L}}\p{{N}}_{W}.!?,;:()\-]"
+TOKENS = [
+    (r'\.{2,}|--|[;@#$%&?!()\[\]{}<>"]', " "),
+    (r"\.(\s|$)", r" \1"),
+    (r"[:,](\D)", r" \1"),
+    (r"[:,]$", " "),
+    (r"([^' ])('ll|'re|'ve|n't|'s|'m|'d|')(\s|$)", r"\1 \3"),
+]
 
 
 def quote(s: str) -> str:
@@ -21,7 +30,7 @@ def html(x: str) -> str:
 
 
 def urls(x: str) -> str:
-    return replace(x, tx.URL)
+    return replace(x, URL)
 
 
 def emails(x: str) -> str:
@@ -29,7 +38,7 @@ def emails(x: str) -> str:
 
 
 def chars(x: str) -> str:
-    return replace(x, tx.OTHER_CHARS)
+    return replace(x, OTHER)
 
 
 def blanks(x: str) -> str:
@@ -58,11 +67,11 @@ def sentences(x: str) -> str:
 
 def words(x: str) -> str:
     x = f"lower({x})"
-    for pattern, by in tx.TOKEN_RULES:
-        x = replace(x, pattern, by.replace("$", "\\"))
+    for pattern, by in TOKENS:
+        x = replace(x, pattern, by)
     kept = (
         f"list_filter(string_split_regex({x}, {quote(f'[{W}]+')}), "
-        f"lambda w: regexp_matches(w, {quote(tx.WORD_ONLY)}))"
+        f"lambda w: regexp_matches(w, {quote(r'^[\p{L}\p{N}]+$')}))"
     )
     cases = " ".join(
         f"WHEN {quote(a + b)} THEN [{quote(a)}, {quote(b)}]" for a, b in fixed.FUSED_WORDS
