@@ -70,10 +70,12 @@ def test_eps_components(spark, dim, direct, axes, rows):
     assert len(set(want)) > 2
 
 
-@pytest.mark.parametrize("cell_rows,small", [(2048, 4 << 20), (25, 0)])
-def test_spanning_tree_weight(spark, blobs, cell_rows, small):
+@pytest.mark.parametrize("cell_rows,small,task_rows,widen", [(2048, 4 << 20, 10**6, 8), (25, 0, 0, 8), (5, 0, 10**6, 3)])
+def test_spanning_tree_weight(spark, blobs, cell_rows, small, task_rows, widen, monkeypatch):
+    monkeypatch.setattr(density, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(density, "WIDEN", widen)
     nodes, edges = density.spanning_tree(
-        make_points(spark, blobs), 3, k=5, cell_rows=cell_rows, small_bytes=small
+        make_points(spark, blobs), 3, k=5, cell_rows=cell_rows, small_bytes=small, task_rows=task_rows
     )
     rows = edges.collect()
     assert len(rows) == len(blobs) - 1
@@ -127,8 +129,10 @@ def test_values_of_deep_trees(spark):
         parent = [None] + [i - 1 if deep else int(rng.integers(max(0, i - 6), i)) for i in range(1, 400)]
         s = rng.exponential(1, 400) * (10 if deep else 1)
         rows += [(m, i, p, float(v)) for i, (p, v) in enumerate(zip(parent, s))]
-    df = spark.createDataFrame(rows, "m bigint, cid bigint, parent bigint, stability double")
+    df = cut(spark.createDataFrame(rows, "m bigint, cid bigint, parent bigint, stability double").repartition(6))
     got = {(r["m"], r["cid"]): r["eligible"] for r in merge_tree.with_eligible(df).collect()}
+    apart = {(r["m"], r["cid"]): r["eligible"] for r in merge_tree.with_eligible(df, 1).collect()}
+    assert apart == got
     below = {}
     for m, i, p, v in sorted(rows, key=lambda r: (r[0], -r[1])):
         b = below.get((m, i), 0.0)

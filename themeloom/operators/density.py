@@ -33,13 +33,16 @@ from themeloom.operators.neighbors import (
     make_cells,
     matrix,
 )
-from themeloom.runtime import cut, sized_broadcast
+from themeloom.runtime import TASK_ROWS, cut, cut_measured, sized_broadcast
 
 NOISE = -1
 
 #: Core-point pairs of two neighbouring cells up to which they are compared directly.
 DIRECT_PAIRS = 4096
 
+#: Cells of a group, compared with the groups before, in which trees grow on.
+WIDEN = 8
+
 #: Leading coordinates used to find neighbouring cells.
 GRID_AXES = 3
 
@@ -350,14 +353,17 @@ def spanning_tree(
     min_samples: int = 3,
     k: int = 16,
     cell_rows: int = CELL_ROWS,
+    task_rows: int = TASK_ROWS,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): distinct points with ``copies`` and ``core``, and the exact minimum
     spanning tree (lo, hi, w) of their mutual reachability; ties by (w, lo, hi).
 
-    Boruvka rounds use the k-neighbour lists while they prove a component's lightest edge:
-    no unlisted edge of a point is lighter than the reach of its list. Components without
-    proof wait; when only such are left, ``_foreign`` searches for them.
+    The k-neighbour lists prove a component's lightest edge while it is lighter than the reach of its
+    lists, which no unlisted edge is. Trees grow along such edges inside cells first, then inside
+    groups of ``WIDEN`` times as many cells, as long as the edges left in the largest group are no
+    more than ``task_rows``; then in Boruvka rounds of joins. Components without proof wait; when
+    only such are left, ``_foreign`` searches for them.
     """
     k = max(k, min_samples)
     folded = cut(fold_copies(points))
@@ -390,39 +396,58 @@ def spanning_tree(
         .join(found.select(F.col("node").alias("pid"), "comp"), "pid", "left")
         .select("pid", F.coalesce("comp", "pid").alias("comp"))
     )
-    comps = label.join(nodes.select("pid", "reach"), "pid").groupBy("comp")
-    comps = cut(comps.agg(F.min("reach").alias("reach")))
+    least = lambda df: df.groupBy("comp").agg(F.min("reach").alias("reach"), F.min("cell").alias("cell"))
+    home = cells[0].select(F.col("row_id").alias("pid"), "cell")
+    comps, seen = cut_measured(least(label.join(nodes.select("pid", "reach"), "pid").join(home, "pid")), {"n": F.count(F.lit(1))})
     for c in ("a", "b"):
         to = label.select(F.col("pid").alias(c), F.col("comp").alias("_to"))
         edges = edges.join(to, c).withColumn(c, F.col("_to")).drop("_to")
     edges = cut(edges.where("a <> b"))
-    left = comps.count()
-    while left > 1:
+    # a cell of one block has grown all it can
+    width, wide = 1, len(cells[2]) if n > CELL_ROWS else 1
+    while seen["n"] > 1:
         both = edges.select(F.col("a").alias("comp"), F.col("b").alias("other"), "w", "lo", "hi")
         both = both.unionByName(
             edges.select(F.col("b").alias("comp"), F.col("a").alias("other"), "w", "lo", "hi")
         )
-        best = both.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e"))
-        known = cut(comps.join(best, "comp", "left"))
-        # strict: an unlisted edge of equal weight could come first in the tie order
-        chosen = known.where(F.col("e.w") < F.col("reach")).select("comp", "e.*")
-        if chosen.isEmpty():
-            label = cut(label)
-            chosen = _foreign(nodes, label, known, cells)
-        chosen = cut(chosen.select("lo", "hi", "w", F.col("comp").alias("a"), F.col("other").alias("b")))
+        chosen = None
+        if width < wide:
+            width *= WIDEN
+            chosen = _grow_in_groups(both, comps, F.floor(F.col("cell") / width), task_rows)
+            if chosen is not None and chosen.isEmpty():
+                continue
+        if chosen is None:
+            best = both.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e"))
+            known = cut(comps.join(best, "comp", "left"))
+            # strict: an unlisted edge of equal weight could come first in the tie order
+            chosen = known.where(F.col("e.w") < F.col("reach")).select("comp", "e.*")
+            if chosen.isEmpty():
+                label = cut(label)
+                chosen = _foreign(nodes, label, known, cells)
+            chosen = cut(chosen.select("lo", "hi", "w", F.col("comp").alias("a"), F.col("other").alias("b")))
         tree = tree.unionByName(chosen.select("lo", "hi", "w").distinct())
         moves = cut(connected_components(chosen.select("a", "b")))
         moves = sized_broadcast(moves, 64)
         to = lambda df, c: df.join(
             moves.select(F.col("node").alias(c), F.col("comp").alias("_to")), c, "left"
         ).withColumn(c, F.coalesce("_to", c)).drop("_to")
-        comps = cut(to(comps, "comp").groupBy("comp").agg(F.min("reach").alias("reach")))
+        comps, seen = cut_measured(least(to(comps, "comp")), {"n": F.count(F.lit(1))})
         label = to(label, "comp")
         edges = cut(to(to(edges, "a"), "b").where("a <> b"))
-        left = comps.count()
     return nodes, cut(tree)
 
 
+def _grow_in_groups(both: DataFrame, comps: DataFrame, group, task_rows: int) -> DataFrame | None:
+    """Edges provable inside groups of components, None where a group has more than ``task_rows``."""
+    grouped = comps.select("comp", "reach", group.alias("block"))
+    load = both.join(grouped, "comp").groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    if (load.agg(F.max("n")).first()[0] or 0) > task_rows:
+        return None
+    lists = both.groupBy("comp").agg(F.collect_list(F.struct("w", "lo", "hi", "other")).alias("steps"))
+    rows = grouped.join(lists, "comp").withColumnRenamed("comp", "pid")
+    return cut(_grow(rows, ["block"]))
+
+
 def _grow_in_cells(nodes: DataFrame, near: DataFrame, placed: DataFrame) -> DataFrame:
     """Tree edges provable inside one block of a cell, before anything global runs: most
     merging happens here, in one pass and in parallel."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -18,20 +19,22 @@ def connected_components(edges: DataFrame, by: str | None = None, task_rows: int
     """(node, comp) of every node of ``edges`` (a, b); comp is the smallest node reached.
 
     With ``by``, edges of different values of that column belong to graphs of their own, and the
-    result carries the column. Every task first replaces its edges, ``task_rows`` at a time, by
-    stars around their smallest nodes. Large-star and small-star steps (Kiveris et al. 2014) then
+    result carries the column. The edges are dealt to tasks of about ``task_rows``, each of which
+    replaces its own by stars around their smallest nodes. Large-star and small-star steps (Kiveris et al. 2014) then
     alternate until nothing changes: minima per node are combined map-side, and a node with most of
     the edges meets its one-row minimum in a join whose hot key AQE splits.
     """
     pairs = edges.select((F.col(by) if by else F.lit(0)).cast("bigint").alias("part"), "a", "b").where("a <> b")
     h = F.xxhash64("part", "a", "b")
     mark = {"n": F.count(F.lit(1)), "x": F.bit_xor(h), "s": F.sum(F.shiftright(h, 20))}
-    e, before = cut_measured(pairs.mapInPandas(_stars(task_rows), "part bigint, a bigint, b bigint").distinct(), mark)
-    while True:
-        e, now = cut_measured(_small_star(_large_star(e)), mark)
-        if now == before:
-            break
+    pairs, seen = cut_measured(pairs, {"n": mark["n"]})
+    tasks = max(1, ceil(seen["n"] / task_rows))
+    e, now = cut_measured(pairs.coalesce(tasks).mapInPandas(_stars(task_rows), "part bigint, a bigint, b bigint"), mark)
+    # stars of one task are whole components
+    before = now if tasks == 1 else None
+    while now != before:
         before = now
+        e, now = cut_measured(_small_star(_large_star(e)), mark)
     roots = e.select("part", F.col("b").alias("node")).distinct().withColumn("comp", F.col("node"))
     found = e.select("part", F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
     return found.withColumnRenamed("part", by) if by else found.drop("part")
@@ -84,7 +87,7 @@ def _stars(task_rows: int):
                 continue
             held.append(f)
             n += len(f)
-            if n >= task_rows:
+            if n >= 2 * task_rows:  # parts of a table are not quite equal
                 yield joined(pd.concat(held))
                 held, n = [], 0
         if held:

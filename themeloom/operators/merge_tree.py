@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.operators.graph import connected_components
-from themeloom.runtime import cut, cut_measured
+from themeloom.runtime import TASK_ROWS, cut, cut_measured
 
 #: Edges of a band, which one task merges.
 BAND_ROWS = 200_000
@@ -204,20 +204,68 @@ def cluster_trees(
     return cut(clusters), cut(first.unionByName(copies.select("m", "pid", F.col("born").alias("cid"))))
 
 
-def with_eligible(clusters: DataFrame) -> DataFrame:
-    """Clusters with ``eligible``: the children's values do not beat the cluster's own stability."""
+_STATE = (
+    "m bigint, cid bigint, parent bigint, s double, got double, open bigint, kid bigint, value double, "
+    "base bigint, least double, more double, fresh boolean"
+)
+
+
+def _settled(frames):
+    """Values of the clusters whose children's values the task knows, from the leaves on; ``fresh``
+    marks a value that the parent, which another task holds, has yet to be told."""
+    f = pd.concat(list(frames) or [pd.DataFrame(columns=[c.split()[0] for c in _STATE.split(", ")])])
+    place = {k: i for i, k in enumerate(zip(f["m"].tolist(), f["cid"].tolist()))}
+    own, got, open_, kid = (f[c].tolist() for c in ("s", "got", "open", "kid"))
+    parent = [None if pd.isna(p) else place.get((m, int(p)), -1) for m, p in zip(f["m"].tolist(), f["parent"])]
+    value, fresh, ids = [None] * len(f), [False] * len(f), f["cid"].tolist()
+    ready = [i for i, n in enumerate(open_) if n == 0]
+    for i in ready:
+        value[i], up = max(own[i], got[i]), parent[i]
+        fresh[i] = up == -1
+        if up is not None and up >= 0:
+            got[up], open_[up], kid[up] = got[up] + value[i], open_[up] - 1, kid[up] ^ ids[i]
+            if open_[up] == 0:
+                ready.append(up)
+    f = f.assign(got=got, open=open_, kid=kid, value=pd.Series(value, f.index, dtype=float), fresh=fresh)
+    f["base"] = pd.Series([k if n == 1 else None for k, n in zip(kid, open_)], f.index, dtype="Int64")
+    f["more"] = f["got"].where(f["base"].notna(), 0.0).astype(float)
+    yield f.assign(parent=f["parent"].astype("Int64"))
+
+
+def _told(step: DataFrame) -> DataFrame:
+    """Fresh values taken into the parents; a parent with one child left waits for its value."""
+    given = step.where("fresh AND parent IS NOT NULL").groupBy("m", F.col("parent").alias("cid")).agg(
+        F.sum("value").alias("_got"), F.count(F.lit(1)).alias("_n"), F.bit_xor("cid").alias("_kid")
+    )
+    got, open_ = F.col("got") + F.coalesce("_got", F.lit(0.0)), F.col("open") - F.coalesce("_n", F.lit(0))
+    kid = F.col("kid").bitwiseXOR(F.coalesce("_kid", F.lit(0)))
+    lone = (open_ == 1) & F.col("base").isNull()
+    return step.join(given, ["m", "cid"], "left").select(
+        "m", "cid", "parent", "s", got.alias("got"), open_.alias("open"), kid.alias("kid"), "value",
+        F.when(lone, kid).otherwise(F.col("base")).alias("base"),
+        "least",
+        F.when(lone, got).otherwise(F.col("more")).alias("more"),
+    )
+
+
+def with_eligible(clusters: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Clusters with ``eligible``: the children's values do not beat the cluster's own stability.
+
+    Tasks of about ``task_rows`` settle what they hold with all its descendants; rounds of joins
+    settle the rest.
+    """
     kids = clusters.groupBy("m", F.col("parent").alias("cid")).agg(F.count(F.lit(1)).alias("open"), F.bit_xor("cid").alias("kid"))
     kids = kids.where("cid IS NOT NULL")
-    none = F.lit(None)
     state = clusters.select("m", "cid", "parent", F.col("stability").alias("s")).join(kids, ["m", "cid"], "left")
-    state = state.select(
-        "m", "cid", "parent", "s", F.lit(0.0).alias("got"), F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("kid", F.lit(0)).alias("kid"),
-        none.cast("double").alias("value"), F.when(F.col("open") == 1, F.col("kid")).alias("base"),
-        F.col("s").alias("least"), F.lit(0.0).alias("more"),
-    )
-    waiting = 1
-    state = cut(state)
-    while waiting:
+    zero = {"got": F.lit(0.0), "open": F.coalesce("open", F.lit(0)), "kid": F.coalesce("kid", F.lit(0)), "least": F.col("s"), "more": F.lit(0.0)}
+    none = {"value": F.lit(None).cast("double"), "base": F.lit(None).cast("bigint"), "fresh": F.lit(False)}
+    n = {"n": F.count_if(F.col("value").isNull()), "fresh": F.count_if("fresh")}
+    state, seen = cut_measured(state.withColumns(zero | none).select(*[c.split()[0] for c in _STATE.split(", ")]), n)
+    tasks = max(1, ceil(seen["n"] / task_rows))
+    state, seen = cut_measured(state.coalesce(tasks).mapInPandas(_settled, _STATE), n)
+    if seen["fresh"]:
+        state, seen = cut_measured(_told(state), {"n": n["n"]})
+    while seen["n"]:
         # a cluster with one open child is max(least, more + value of base), and so are chains of them
         below = state.select("m", F.col("cid").alias("base"), *[F.col(c).alias(f"_{c}") for c in ("value", "base", "least", "more")])
         known = F.col("_value").isNotNull()
@@ -231,23 +279,7 @@ def with_eligible(clusters: DataFrame) -> DataFrame:
             F.when(hop, F.greatest(F.col("least"), F.col("more") + F.col("_least"))).otherwise(F.col("least")).alias("least"),
             F.when(hop, F.col("more") + F.col("_more")).otherwise(F.col("more")).alias("more"),
         )
-        step = cut(step)
-        given = step.where("fresh AND parent IS NOT NULL").groupBy("m", F.col("parent").alias("cid")).agg(
-            F.sum("value").alias("_got"), F.count(F.lit(1)).alias("_n"), F.bit_xor("cid").alias("_kid")
-        )
-        got, open_ = F.col("got") + F.coalesce("_got", F.lit(0.0)), F.col("open") - F.coalesce("_n", F.lit(0))
-        kid = F.col("kid").bitwiseXOR(F.coalesce("_kid", F.lit(0)))
-        lone = (open_ == 1) & F.col("base").isNull()
-        state, seen = cut_measured(
-            step.join(given, ["m", "cid"], "left").select(
-                "m", "cid", "parent", "s", got.alias("got"), open_.alias("open"), kid.alias("kid"), "value",
-                F.when(lone, kid).otherwise(F.col("base")).alias("base"),
-                "least",
-                F.when(lone, got).otherwise(F.col("more")).alias("more"),
-            ),
-            {"n": F.count_if(F.col("value").isNull())},
-        )
-        waiting = seen["n"]
+        state, seen = cut_measured(_told(step), {"n": n["n"]})
     beaten = state.select("m", "cid", (F.col("s") >= F.col("got") - TIE * F.abs("got")).alias("eligible"))
     return clusters.join(beaten, ["m", "cid"])
 

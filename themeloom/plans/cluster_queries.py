@@ -175,7 +175,7 @@ def _spanning_tree(spark, sf_dir):
 @query("spanning_tree_rounds", _TREE)
 def _spanning_tree_rounds(spark, sf_dir):
     """The same by the joins and cells that larger tables take."""
-    return _weights(_tree(spark, sf_dir, cell_rows=128, small_bytes=0)[1])
+    return _weights(_tree(spark, sf_dir, cell_rows=32, small_bytes=0, task_rows=150)[1])
 
 
 def _weights(edges):
