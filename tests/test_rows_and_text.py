@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from themeloom.functions import text as tx
 from themeloom.functions import vector
 from themeloom.operators import classify, embed, lexical, profile, rows, themes
+from themeloom.runtime import cut_measured
 
 
 def one(spark, value, fn):
@@ -231,6 +232,7 @@ def test_issue_model_on_unseen_labels(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet").selectExpr("doc_id", "1 - quality AS label")
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    cut_measured(docs.select("doc_id"), {"n": F.count("doc_id")})  # a session that has observed something
     model = classify.fit(docs.where("doc_id % 2 = 0"))
     got = classify.scores(classify.classify(docs.where("doc_id % 2 = 1"), model)).first()
     assert got["n"] > 1000 and got["accuracy"] > 0.95 and got["precision"] > 0.9 and got["recall"] > 0.8, got

@@ -3,6 +3,8 @@ the distinct words and marks of a text and buckets of measures of its surface.""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -10,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.runtime import cut
+from themeloom.runtime import cut, ensure_checkpoint_dir
 
 #: Hash buckets, strength of the penalty, and the probability from which a text is an issue.
 BUCKETS, PENALTY, THRESHOLD = 1 << 16, 3e-3, 0.7
@@ -51,7 +53,11 @@ def fit(df: DataFrame, text: str = "text", label: str = "label", buckets: int =
         featuresCol="_bits", labelCol="_label", probabilityCol="_p", predictionCol="_guess",
         rawPredictionCol="_raw", regParam=PENALTY, maxIter=50,
     ).fit(data)
-    return PipelineModel([hashed, model])
+    # a stored model is read back without the summary of its training, which holds the session and
+    # so cannot be sent to tasks
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/classifier-{uuid.uuid4().hex}"
+    PipelineModel([hashed, model]).write().save(path)
+    return PipelineModel.load(path)
 
 
 def classify(df: DataFrame, model: PipelineModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
