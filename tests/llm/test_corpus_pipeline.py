@@ -45,5 +45,5 @@ def test_stages(spark, tmp_path):
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in catalog.RUN}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
     assert catalog.SQL.keys() <= catalog.RUN.keys()
