@@ -61,3 +61,14 @@ def test_silhouette_of_many_clusters_sends_few_rows(spark, monkeypatch):
     info = cut(points.select(F.lit(0).cast("bigint").alias("trial"), F.col("row_id").alias("pid"), F.col("cluster_id").cast("bigint").alias("cluster_id"), "point", F.lit(1).cast("bigint").alias("weight")))
     sizes = info.groupBy("trial", "cluster_id").agg(F.sum("weight").alias("size"), F.ceil(F.count(F.lit(1)) / 40).alias("parts"))
     assert quality.distance_sums(info, sizes, 6, False).count() <= 240 * (6 + 6 + 2)
+    # repeated ids: every row of theirs counts as often as the labels that meet it
+    both = points.unionByName(points.where("row_id < 20"))
+    one = both.select(F.col("row_id").alias("pid"), "point", F.lit(1).alias("weight"))
+    labels = both.select(F.lit(3).cast("bigint").alias("trial"), F.col("row_id").alias("pid"), F.col("cluster_id").cast("bigint").alias("cluster_id"))
+    got = {r["pid"]: r["value"] for r in quality.silhouette_values(one, labels).collect()}
+    times = np.r_[np.full(20, 4), np.ones(220, int)]
+    for i in range(len(x)):
+        mine = label == label[i]
+        a = (d[i] * times)[mine].sum() / (times[mine].sum() - 1) * times[i]
+        b = min((d[i] * times)[label == c].sum() / times[label == c].sum() for c in set(label) if c != label[i]) * times[i]
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-9

@@ -77,7 +77,7 @@ def silhouette_values(points: DataFrame, labels: DataFrame, squared: bool = Fals
         .agg(
             F.max(F.when(same & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
             F.min(F.when(~same, F.col("total") / F.col("size"))).alias("b"),
-            F.min("least").alias("least"),
+            F.min(F.when(same, F.col("least"))).alias("least"),
         )
     )
     a, b = F.col("a"), F.least("b", "least")
@@ -89,7 +89,8 @@ def silhouette_values(points: DataFrame, labels: DataFrame, squared: bool = Fals
 
 def distance_sums(info: DataFrame, sizes: DataFrame, ways: int, squared: bool) -> DataFrame:
     """(trial, pid, other, total, least): of a point and a block of members, the sums of distances to
-    the parts of large clusters and to its own cluster, and the least mean to another whole cluster."""
+    the parts of large clusters and to its own cluster, and, with its own cluster as ``other``, the
+    least mean to another whole cluster."""
     every = F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
     place = F.xxhash64("trial", "cluster_id") + F.pmod(F.xxhash64("pid"), "parts")
     asked = info.select("trial", "pid", "cluster_id", "point", F.pmod(F.xxhash64("pid"), F.lit(ways)).alias("block"), every.alias("other"))
@@ -102,9 +103,12 @@ def distance_sums(info: DataFrame, sizes: DataFrame, ways: int, squared: bool) -
     def run(q: pa.Table, m: pa.Table) -> pa.Table:
         if not q.num_rows or not m.num_rows:
             return _SUMS.empty_table()
-        trial, m = q["trial"][0].as_py(), m.sort_by("_name")
+        trial, q, m = q["trial"][0].as_py(), q.sort_by("pid"), m.sort_by("_name")
         x, y = to_matrix(q["point"].combine_chunks()), to_matrix(m["_point"].combine_chunks())
-        pid, mine = q["pid"].to_numpy(), q["cluster_id"].to_numpy()
+        # an id with several rows is asked with their sums, once for each of its clusters
+        pid, first, place = np.unique(q["pid"].to_numpy(), return_index=True, return_inverse=True)
+        place, mine = np.unique(np.stack([place, q["cluster_id"].to_numpy()]), axis=1)
+        first, until = np.r_[first, len(x)], np.searchsorted(place, np.arange(len(pid) + 1))
         weight, name = m["_weight"].to_numpy().astype(float), m["_name"].to_numpy()
         starts = np.flatnonzero(np.r_[True, np.diff(name) != 0])
         names, size = name[starts], m["_size"].to_numpy()[starts].astype(float)
@@ -114,28 +118,32 @@ def distance_sums(info: DataFrame, sizes: DataFrame, ways: int, squared: bool) -
         def keep(pids, others, totals, least):
             n = len(pids)
             out.append(pa.table({
-                "trial": pa.array(np.full(n, trial)), "pid": pa.array(pids), "other": pa.array(others, pa.int64()) if others is not None else pa.nulls(n, pa.int64()),
+                "trial": pa.array(np.full(n, trial)), "pid": pa.array(pids), "other": pa.array(others, pa.int64()),
                 "total": pa.array(totals) if totals is not None else pa.nulls(n, pa.float64()), "least": pa.array(least) if least is not None else pa.nulls(n, pa.float64()),
             }, schema=_SUMS))
 
-        for at in range(0, len(x), step):
-            ids, own = pid[at : at + step], mine[at : at + step]
-            d = pair_distances(x[at : at + step], y, squared)
+        for at in range(0, len(pid), step):
+            to = min(at + step, len(pid))
+            d = pair_distances(x[first[at] : first[to]], y, squared)
             if (weight != 1).any():
                 d *= weight
             total = np.add.reduceat(d, starts, axis=1)
-            j = np.minimum(np.searchsorted(names, own), len(names) - 1)
-            home = names[j] == own
-            i = np.flatnonzero(home & whole[j])
-            keep(ids[i], own[i], total[i, j[i]], None)
+            if len(total) > to - at:
+                total = np.add.reduceat(total, first[at:to] - first[at], axis=0)
             for c in np.flatnonzero(~whole):
-                keep(ids, np.full(len(ids), names[c]), total[:, c], None)
-            if whole.any():
-                total /= size
-                total[np.flatnonzero(home), j[home]] = np.inf
-                least = total[:, whole].min(axis=1)
-                i = np.flatnonzero(np.isfinite(least))
-                keep(ids[i], None, None, least[i])
+                keep(pid[at:to], np.full(to - at, names[c]), total[:, c], None)
+            if not whole.any():
+                continue
+            own, row = mine[until[at] : until[to]], place[until[at] : until[to]] - at
+            j = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            home = np.flatnonzero(names[j] == own)
+            i = home[whole[j[home]]]
+            keep(pid[at + row[i]], own[i], total[row[i], j[i]], None)
+            total = total[row] / size
+            total[home, j[home]] = np.inf
+            least = total[:, whole].min(axis=1)
+            i = np.flatnonzero(np.isfinite(least))
+            keep(pid[at + row[i]], own[i], None, least[i])
         return pa.concat_tables(out)
 
     found = asked.groupBy("trial", "block", "other").cogroup(members.groupBy("_trial", "_block", "_other"))
