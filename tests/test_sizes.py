@@ -72,3 +72,22 @@ def test_silhouette_of_many_clusters_sends_few_rows(spark, monkeypatch):
         a = (d[i] * times)[mine].sum() / (times[mine].sum() - 1) * times[i]
         b = min((d[i] * times)[label == c].sum() / times[label == c].sum() for c in set(label) if c != label[i]) * times[i]
         assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
+
+
+def test_silhouettes_of_trials_in_many_partitions(spark):
+    x = np.random.default_rng(4).normal(size=(60, 2))
+    points = make_points(spark, x).select(F.col("row_id").alias("pid"), "point", F.lit(1).alias("weight"))
+    trial = F.explode(F.expr("sequence(0L, 7L)")).alias("trial")
+    labels = points.select(trial, "pid").select("trial", "pid", (F.col("pid") % (F.col("trial") + 2)).alias("cluster_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["trial"], r["pid"]): r["value"] for r in quality.silhouette_values(points, labels).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    d = pair_distances(x)
+    for t in range(8):
+        label = np.arange(60) % (t + 2)
+        for i in range(60):
+            a = d[i, label == label[i]].sum() / ((label == label[i]).sum() - 1)
+            b = min(d[i, label == c].mean() for c in set(label) if c != label[i])
+            assert abs(got[t, i] - (b - a) / max(a, b)) < 1e-9
