@@ -85,6 +85,44 @@ def test_lemmas_and_language_by_join_and_by_lookup(spark, monkeypatch):
     assert parts[0] == ({1: ["box", "box", "x"], 2: [], 3: None, 4: ["error", "error"]}, {1: "fr", 2: "en", 3: "en", 4: "en"})
 
 
+def test_only_rare_tokens_of_open_rows_are_joined(spark, monkeypatch):
+    rng = random.Random(5)
+    common = {"en": "the of and to is".split(), "fr": "le de et les un".split(), "de": "der die und zu ist".split()}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(sorted(common))
+        words = rng.choices(common[lang] + common["en"][:2], k=rng.randint(0, 12)) + [rng.choice("abcdefgh") * rng.randint(3, 9) + lang[0] for _ in range(rng.randint(0, 3))]
+        rows.append((i // 2, " ".join(words) if i % 17 else None, lang))
+    d = spark.createDataFrame(rows, "row_id bigint, text string, lang string")
+    model = lexical.train_language_model(d)
+    told = lambda: Counter((r["row_id"], r["language"]) for r in lexical.detect_language(d, model).collect())
+    want, n = told(), model.count()
+    joined, lookup = [], lexical._looked_up
+    monkeypatch.setattr(lexical, "_looked_up", lambda *a: joined.append(lookup(*a)) or joined[-1])
+    monkeypatch.setattr(lexical, "_language_by_join", None)  # all tokens must not travel
+    for share in (0, 40, n - 1):  # rows of the model that may be broadcast
+        monkeypatch.setattr(lexical, "TOKEN_ROW_BYTES", lexical.BROADCAST_BYTES // share if share else 2 * lexical.BROADCAST_BYTES)
+        assert told() == want
+        sent = joined[-1].where("_rare IS NOT NULL")
+        assert sent.count() < len(rows)
+        if share == 40:
+            common_words = {w for ws in common.values() for w in ws}
+            assert not common_words & {w for r in sent.collect() for w in r["_rare"]}
+
+
+def test_lemma_tables_are_sized_by_their_bytes(spark, monkeypatch):
+    d = spark.createDataFrame([(1, ["boxes", "box", "cars", "car"])], "row_id bigint, words array<string>")
+    monkeypatch.setattr(lexical, "_lemmas_by_join", None)
+    monkeypatch.setattr(lexical, "TOKEN_ROW_BYTES", 1 << 40)
+    assert lexical.lemmatize(d).first()["words"] == ["box", "box", "car", "car"]
+
+
+def test_sizes_of_records_need_no_lemmas(spark):
+    d = spark.createDataFrame([(1, None), (1, "Errors in boxes. One box, one error."), (None, "Bug: it <b>fails</b>! Twice.")], "row_id bigint, text string")
+    sizes = lambda df: sorted(map(str, df.select("row_id", "word_count", "sentence_count").collect()))
+    assert sizes(lexical.record_sizes(d)) == sizes(lexical.preprocess(d))
+
+
 def test_preprocess_empty_and_lemmas(spark):
     d = spark.createDataFrame(
         [(1, None), (2, ""), (3, "Errors in boxes. One box, one error.")],
