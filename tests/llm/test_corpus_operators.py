@@ -237,6 +237,37 @@ def test_parts_give_the_ids_of_whole_texts(texts):
             assert np.frombuffer(e.ids([x])[0], e.dtype).tolist() == t.encode(x, add_special_tokens=False).ids, x[:80]
 
 
+def test_letters_are_encoded_once_whatever_marks_follow():
+    """The library sees the letters of a word once, and never with the special token between words."""
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.sent = tokenizer, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.sent += texts
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    texts = ["x quaint, quaint. quaint$$$ quaint", "x quaint! (quaint) 'quaint 've quaint's"] * 2
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e = tokens.Encoder(public_tokenizers.path(name), spaced)
+        e.tokenizer = watch = Counting(e.tokenizer)
+        for x, ids in zip(texts, e.ids(texts)):
+            assert ids.tolist() == watch.tokenizer.encode(x, add_special_tokens=False).ids
+        sent = " ".join(watch.sent)
+        assert sent.count("quaint") == 4 and "<|" not in sent  # alone, and three parts that are not a word and marks
+
+
+@pytest.mark.parametrize("kept", [4, 40])
+def test_parts_that_were_forgotten_are_encoded_anew(kept, texts, monkeypatch):
+    monkeypatch.setattr(tokens, "PARTS_KEPT", kept)
+    more = ["J\u030c aJ\u030cb, Kk.", "it's don't,' 's", "foo<|endoftext|>, a", "\u00d7a\u00f7, \u0130x. \u0132 \u01c5x!", "\u00aa \u00ba \u00c9. \u00e9", "</w> \u0120a,", "a\u0338, \u226e"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e = tokens.Encoder(public_tokenizers.path(name), spaced)
+        for x in [*more, *list(texts.values())[:40], *more]:
+            assert e.ids([x])[0].tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids, x[:80]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 17, 1024, 1025, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import table
-from themeloom.llm.tokens import encoded, encoder
+from themeloom.llm.tokens import TEXTS, encoded, encoder
 from themeloom.runtime import cut
 
 CAPACITY, END, WASTE = 2048, 1, 0.03
@@ -89,8 +89,8 @@ def _cut_up(path: str, capacity: int, end: int):
         filler = Filler(TaskContext.get().partitionId(), capacity)
         by = encoder(path, spaced=False)
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
+            for at in range(0, big.num_rows, TEXTS):
+                batch = big.slice(at, TEXTS)
                 docs = batch["doc_id"].to_pylist()
                 for doc_id, ids in zip(docs, encoded(batch["text"].to_pylist(), by, end)):
                     begin = 0
