@@ -283,3 +283,12 @@ def test_issue_model_on_unseen_labels(spark):
     names = spark.createDataFrame([(0, "x y")], "cluster_id int, name string")
     sizes = spark.createDataFrame([(0, 7)], "cluster_id int, size bigint")
     assert themes.theme_table(smp, names, sizes, issue_model=model).first()["sample_count"] == 2
+
+
+def test_words_made_once_give_the_same_vectors(spark):
+    from themeloom.operators import embed
+
+    df = spark.createDataFrame([(1, "Apples and pears"), (2, None), (3, "pears pears 12 x-y")], "row_id long, text string")
+    made = embed.with_words(df).drop("text")
+    want = {r["row_id"]: r["embedding"] for r in embed.embed_hashing(df, embed.fit_hashing(df)).collect()}
+    assert {r["row_id"]: r["embedding"] for r in embed.embed_hashing(made, embed.fit_hashing(made)).collect()} == want

@@ -81,6 +81,11 @@ def _words_of(df: DataFrame, text: str) -> Column:
     return F.col("words") if "words" in df.columns else content_words(F.col(text))
 
 
+def with_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``words``, which a fit and its application then share; ``cut`` the result in between."""
+    return df.withColumn("words", content_words(F.col(text)))
+
+
 def content_words(t: Column) -> Column:
     return tx.drop_stop_words(tx.word_tokens(F.coalesce(t, F.lit(""))))
 

@@ -12,7 +12,7 @@ from themeloom.operators import classify, clusters, compare, embed, lexical, row
 from themeloom.plans import sqltext as q
 from themeloom.plans import tables as t
 from themeloom.plans.vector_queries import CENTERS, DIM, _tidied
-from themeloom.runtime import ensure_checkpoint_dir, tidy
+from themeloom.runtime import cut, ensure_checkpoint_dir, tidy
 
 RUN, SQL = {}, {}
 
@@ -382,10 +382,15 @@ def _issue_scores(spark, sf_dir):
     return classify.scores(classify.classify(rows_.where("doc_id % 2 = 1"), model))
 
 
+def _embedded(spark, sf_dir):
+    """Vectors of all documents, whose words are made once, for the fit and for the vectors."""
+    d = cut(embed.with_words(t.texts(spark, sf_dir).select("row_id", "text")).drop("text"))
+    return embed.embed_hashing(d, embed.fit_hashing(d))
+
+
 @query("embed_texts")
 def _embed(spark, sf_dir):
-    d = t.texts(spark, sf_dir).select("row_id", "text")
-    return embed.embed_hashing(d, embed.fit_hashing(d)).select("row_id", "embedding")
+    return _embedded(spark, sf_dir).select("row_id", "embedding")
 
 
 @query(
@@ -395,6 +400,5 @@ def _embed(spark, sf_dir):
 )
 def _embed_lengths(spark, sf_dir):
     """Vectors of all documents have the asked dimension and unit length, or none without words."""
-    d = t.texts(spark, sf_dir).select("row_id", "text")
-    made = embed.embed_hashing(d, embed.fit_hashing(d))
+    made = _embedded(spark, sf_dir)
     return made.select("row_id", F.size("embedding").alias("dim"), tidy(vector.norm(F.col("embedding"))).alias("length"))
