@@ -26,7 +26,7 @@ def features(text: Column) -> Column:
     word has) of the shares of capitals, marks and digits, of distinct words and lines, and the size."""
     low = F.lower(text)
     words = F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))
-    lines = F.filter(F.split(text, "\n"), lambda line: line != "")
+    lines = F.array_remove(F.split(text, "\n"), "")
     chars = F.greatest(F.length(text), F.lit(1))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)) / chars
     distinct = lambda xs: F.size(F.array_distinct(xs)) / F.greatest(F.size(xs), F.lit(1))
@@ -37,7 +37,9 @@ def features(text: Column) -> Column:
     bucket = lambda x: F.least(F.lit(STEPS - 1), F.floor(x * STEPS)).cast("string")
     surface = F.array(*[F.concat(F.lit(f" {name}="), bucket(x)) for name, x in shares.items()])
     tokens = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+|[^\s\p{L}]+"), F.lit(0)))
-    return F.when(F.size(tokens) > 0, F.concat(tokens, surface)).otherwise(F.array().cast("array<string>"))
+    # no branch: only what every row needs is shared between expressions, and words stand in three of them
+    found = F.concat(tokens, surface)
+    return F.slice(found, F.lit(1), F.when(F.size(tokens) > 0, F.size(found)).otherwise(F.lit(0)))
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "label", buckets: int = BUCKETS) -> PipelineModel:
