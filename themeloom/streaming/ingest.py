@@ -16,7 +16,7 @@ from themeloom.operators import drift
 from themeloom.operators.embed import mean_vector
 from themeloom.operators.rows import extract_texts
 from themeloom.plans import analysis
-from themeloom.runtime import cut
+from themeloom.runtime import cut, widen
 from themeloom.sources import bundle
 from themeloom.sources.scan import path_exists
 
@@ -113,7 +113,8 @@ def recluster_stream(
     spark = vectors.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = cut(batch.select("row_id", "embedding"))
+        # a batch may be one file, read by one task: all that follows takes as many as there are cores
+        batch = cut(widen(batch.select("row_id", "embedding"), "row_id"))
         n = batch.count()
         if not n:
             return
