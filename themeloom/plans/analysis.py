@@ -87,7 +87,7 @@ def clean_records(df: DataFrame, column: str = "text", repair: bool = True) -> D
         "row_id", tx.remove_boilerplate(tx.clean_text(F.col("text"), repair)).alias("text")
     )
     # tokens are kept: weighting, hashing and naming all read them
-    return cleaned.withColumn("words", embed.content_words(F.col("text")))
+    return cleaned.withColumn("words", tx.words_of_clean(F.col("text")))
 
 
 def embed_records(
